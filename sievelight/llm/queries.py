@@ -16,6 +16,14 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]).drop("hit_spans")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import ann
+    from sievelight.llm.textscan import checkpoint_root
+
+    checkpoint_root(spark)
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import language_id
 
@@ -24,18 +32,32 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import url_filters
+    from sievelight.llm.textscan import checkpoint_root
+
+    checkpoint_root(spark)
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import bpe
 
     return bpe.digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import html_extract
+
+    return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import secret_scan
 
     return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_language_id, op7_bpe, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_nearest_neighbours, op4_language_id, op6_url_filter, op7_bpe, op8_html_text, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
