@@ -52,12 +52,18 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import token_shards
+
+    return token_shards.document_stats(token_shards.write(table(spark, sf_dir, "documents")), spark)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import secret_scan
 
     return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_nearest_neighbours, op4_language_id, op6_url_filter, op7_bpe, op8_html_text, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_nearest_neighbours, op4_language_id, op6_url_filter, op7_bpe, op8_html_text, op9_token_shards, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
