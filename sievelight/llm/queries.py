@@ -16,6 +16,12 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]).drop("hit_spans")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import suffix_dedup
+
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import ann
     from sievelight.llm.textscan import checkpoint_root
@@ -64,6 +70,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_nearest_neighbours, op4_language_id, op6_url_filter, op7_bpe, op8_html_text, op9_token_shards, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_dedup, op3_nearest_neighbours, op4_language_id, op6_url_filter, op7_bpe, op8_html_text, op9_token_shards, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
