@@ -38,6 +38,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelight.llm import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import url_filters
     from sievelight.llm.textscan import checkpoint_root
@@ -70,6 +76,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_dedup, op3_nearest_neighbours, op4_language_id, op6_url_filter, op7_bpe, op8_html_text, op9_token_shards, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_dedup, op3_nearest_neighbours, op4_language_id, op5_ngram_jaccard_join, op6_url_filter, op7_bpe, op8_html_text, op9_token_shards, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
