@@ -14,7 +14,8 @@ What remains is verified by the exact intersection. Equal sets are one class fro
 each other; a block pair returns its linked pairs only as a spanning forest and as counts of links.
 
 Edge cases: text without words has an empty set, is linked with nothing and is its own component; with fewer than k
-words the whole sequence is the one shingle; repeated rows are copies; other columns are ignored.
+words the whole sequence is the one shingle; repeated rows are copies; a null doc_id names a component only where no
+other row of it has one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -148,14 +149,25 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) ->
 
 def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, n_links and component_id (the least doc_id reachable by links) of every row."""
-    ts.checkpoint_root(documents.sparkSession)
-    docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    return _judge(documents, k, percent).select("doc_id", "n_shingles", "n_links", "component_id")
+
+
+def _measured(documents: DataFrame, keep: list[str], k: int) -> DataFrame:
+    """``keep`` with the size and the two hashes of every row's set."""
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in documents.select(*keep).schema)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(len(s), *fingerprint(s)) for s in shingle_sets(b.column(1), k)]
+            rows = [(len(s), *fingerprint(s)) for s in shingle_sets(b.column(len(keep)), k)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), pa.int64()) for c in cols)], ["doc_id", "n_shingles", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(list(c), pa.int64()) for c in cols)], [*keep, "n_shingles", "f1", "f2"])
+
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(measure, schema + "n_shingles long, f1 long, f2 long")
+
+
+def _judge(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    ts.checkpoint_root(documents.sparkSession)
+    docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,8 +181,7 @@ def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
             if own:
                 yield _signed(own, sigs)
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    known = docs.mapInArrow(measure, f"doc_id {kind}, n_shingles long, f1 long, f2 long").checkpoint()
+    known = _measured(docs, ["doc_id"], k).checkpoint()
     classes = known.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     signed = docs.select("text").mapInArrow(sign, "sig long, f1 long")
     # A set of which there are copies signs once for each; "varied" needs two different sets.
@@ -225,7 +236,8 @@ def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
         a, b = (np.array([e[s] for e in edges], np.int64) for s in (0, 1))
         return pd.DataFrame({"f1": np.concatenate((f1[some], f1[a])), "f2": np.concatenate((f2[some], f2[a])), "g1": np.concatenate((f1[some], f1[b])), "g2": np.concatenate((f2[some], f2[b])), "links": np.concatenate((links[some], np.zeros(len(a), np.int64)))})
 
-    texts = docs.join(dealt.select(F.col("rep").alias("doc_id"), "f1", "f2", "near", "n_blocks", "block", "copies").hint("shuffle_hash"), "doc_id")
+    wanted = dealt.select("rep", "f1", "f2", "near", "n_blocks", "block", "copies").hint("shuffle_hash")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]))
     sets = texts.mapInArrow(fetch, "near long, bi int, bj int, block int, f1 long, f2 long, copies long, tokens binary")
     found = sets.groupBy("near", "bi", "bj").applyInPandas(verify, "f1 long, f2 long, g1 long, g2 long, links long").checkpoint()
     name = lambda x, y: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0"))
@@ -233,17 +245,22 @@ def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     counts = found.groupBy("f1", "f2").agg(F.sum("links").alias("links"))
     rooted = classes.join(counts, ["f1", "f2"], "left").withColumn("node", name("f1", "f2")).join(forest, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    judged = rooted.join(least, "root").select("f1", "f2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = known.join(judged, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out
+    judged = rooted.join(least, "root").select("f1", "f2", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return known.join(judged, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), "f1", "f2", "root")
 
 
 def _signed(own: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(np.array(own, np.int64), [len(s) for s in sigs]))], ["sig", "f1"])
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """One row of each component: the first by doc_id (repeated ids: the first of its texts); all columns stay."""
-    judged = join(documents, **options).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    kept = documents.join(judged, documents["doc_id"].eqNullSafe(judged["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def keep_one(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with all its columns: the one with the least doc_id (nulls last), then set hashes.
+
+    Rows without words are components of their own, so all of them stay.
+    """
+    judged = _judge(documents, k, percent).where("n_shingles > 0")
+    first = judged.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "f1", "f2")).alias("one")).select(F.col("one.doc_id").alias("__id"), F.col("one.f1").alias("__f1"), F.col("one.f2").alias("__f2"))
+    rows = _measured(documents, documents.columns, k)
+    chosen = rows.join(first, rows["doc_id"].eqNullSafe(first["__id"]) & (rows["f1"] == first["__f1"]) & (rows["f2"] == first["__f2"]), "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id", "f1", "f2"])
+    return chosen.unionByName(rows.where("n_shingles = 0")).select(*documents.columns)
