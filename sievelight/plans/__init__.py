@@ -1 +1 @@
-
+"""Queries: what a user runs, by name."""
