@@ -72,7 +72,18 @@ def read_rows(spark: SparkSession, path: str, headers: tuple[tuple[str, ...], ..
                         out = []
                 yield pd.DataFrame(out, columns=["path", "ord", "row_number", "fields", "header", "problem"]).astype({"ord": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, _PARSED)
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, _PARSED)
+    empty = _empty_files(spark, path)  # scans leave them out
+    return rows.unionByName(spark.createDataFrame([(p, None, 1, None, None, "empty_file") for p in empty], _PARSED)) if empty else rows
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for s in fs.globStatus(where) or ():
+        found += [x for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if x.isFile() and x.getLen() == 0]
+    return [x.getPath().toString() for x in found]
 
 
 def _field(name: str):

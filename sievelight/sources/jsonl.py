@@ -49,7 +49,7 @@ def coverage_issues(rows: DataFrame, expected: DataFrame, id_col: str = "problem
 
 def read_prediction_map(spark: SparkSession, path: str) -> DataFrame:
     """(id, prediction) of JSON files that are one object of id: integer."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})).alias("id", "prediction"))
 
 

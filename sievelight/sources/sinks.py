@@ -38,7 +38,13 @@ def write_once(spark: SparkSession, path: str, text: str, overwrite: bool = Fals
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    """A small file, on any file system (Spark's readers skip names that begin with an underscore)."""
+    fs, p, jvm = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
 
 
 def canonical(payload) -> str:
@@ -110,7 +116,7 @@ def write_submission(predictions: DataFrame, expected: DataFrame, path: str, fal
     out = rows.repartitionByRange("ord").sortWithinPartitions("ord").select(F.col("id").alias("ID"), "answer")
     out.write.mode("errorifexists").option("header", True).option("lineSep", "\n").csv(path)
     back = spark.read.schema("ID string, answer string").option("header", True).csv(path)
-    places = back.join(expected, back["ID"] == expected["id"], "left").select("ord", F.col("ID").alias("id"), "answer")
+    places = back.withColumnRenamed("ID", "id").join(expected, "id", "left").select("ord", "id", "answer")
     validation.require_valid(validation.submission_issues(places, expected), "written submission")
     manifest = hashed({"header": ["ID", "answer"]} | digest_of(back))
     write_json(spark, f"{path}/{MANIFEST}", manifest)
