@@ -134,8 +134,9 @@ def compare(gold: DataFrame, a: DataFrame, b: DataFrame, groups: DataFrame | Non
     rows = paired(gold, a, b)
     profile = group_profile(rows, groups)
     unit = "row_iid" if groups is None else "duplicate_cluster"
-    named = profile.agg(F.sum("n").alias("bootstrap_group_count"))
-    return mcnemar(contingency(rows)).crossJoin(F.broadcast(bootstrap_ci(bootstrap_deltas(profile, samples, seed), confidence))).crossJoin(F.broadcast(named)).withColumns({"bootstrap_unit": F.lit(unit), "bootstrap_samples": F.lit(samples)})
+    n = profile.agg(F.sum("n")).first()[0]
+    low, high = bootstrap_ci(bootstrap_deltas(profile, samples, seed), confidence).first()
+    return mcnemar(contingency(rows)).withColumns({"ci_low": F.lit(low), "ci_high": F.lit(high), "bootstrap_group_count": F.lit(n), "bootstrap_unit": F.lit(unit), "bootstrap_samples": F.lit(samples)})
 
 
 def holm(p_values: DataFrame, family: list[str] | None = None, alpha: float = 0.05) -> DataFrame:

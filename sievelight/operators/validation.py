@@ -75,10 +75,12 @@ def submission_issues(rows: DataFrame, expected: DataFrame) -> DataFrame:
     sets = expected.select("id", F.col("ord").alias("want")).join(seen, "id", "full_outer")
     codes = F.array_compact(F.array(F.when(F.col("n") > 1, "duplicate_ids"), F.when(F.col("n").isNull(), "missing_ids"), F.when(F.col("want").isNull(), "extra_ids")))
     odd = sets.select("id", F.explode(codes).alias("code"), F.lit(None).cast("long").alias("row_number"))
-    totals = rows.agg(F.count("*").alias("a")).crossJoin(expected.agg(F.count("*").alias("b"))).where("a <> b").select(F.lit(None).cast("string").alias("id"), F.lit("row_count").alias("code"), F.lit(None).cast("long").alias("row_number"))  # two counts
-    torn = sets.agg(F.max((F.col("n").isNull() | F.col("want").isNull() | (F.col("n") > 1)).cast("int")).alias("torn"))
-    order = sets.where("n = 1 AND want IS NOT NULL AND at <> want").agg(F.min("want").alias("w"), F.count("*").alias("c")).crossJoin(torn).where("c > 0 AND torn = 0")
-    first = order.select(F.lit(None).cast("string").alias("id"), F.lit("id_order").alias("code"), (F.col("w") + 2).cast("long").alias("row_number"))
+    nothing = F.lit(None).cast("string").alias("id")
+    sizes = rows.agg(F.count("*").alias("n")).unionAll(expected.agg(-F.count("*"))).agg(F.sum("n").alias("n"))
+    totals = sizes.where("n <> 0").select(nothing, F.lit("row_count").alias("code"), F.lit(None).cast("long").alias("row_number"))
+    whole = (F.col("n") == 1) & F.col("want").isNotNull()
+    order = sets.agg(F.min(F.when(whole & (F.col("at") != F.col("want")), F.col("want"))).alias("w"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("torn"))
+    first = order.where("w IS NOT NULL AND torn = 0").select(nothing, F.lit("id_order").alias("code"), (F.col("w") + 2).cast("long").alias("row_number"))
     return out.unionByName(odd).unionByName(totals).unionByName(first)
 
 
@@ -157,9 +159,8 @@ def run_issues(rows: DataFrame, constant: list[str]) -> DataFrame:
 def sample_index_issues(rows: DataFrame) -> DataFrame:
     """(id, code): problems whose sample indices aren't 0 .. n - 1 once each, or whose n differs from the largest."""
     per = rows.groupBy("problem_id").agg(F.count("*").alias("n"), F.count_distinct("sample_index").alias("d"), F.min("sample_index").alias("lo"), F.max("sample_index").alias("hi"))
-    most = per.agg(F.max("n").alias("most"))
-    seen = per.crossJoin(F.broadcast(most))  # one number
-    return issues(seen, "problem_id", {"repeated_index": F.col("d") < F.col("n"), "not_contiguous": (F.col("lo") != 0) | (F.col("hi") != F.col("d") - 1), "uneven": F.col("n") != F.col("most")})
+    most = per.agg(F.max("n")).first()[0] or 0
+    return issues(per, "problem_id", {"repeated_index": F.col("d") < F.col("n"), "not_contiguous": (F.col("lo") != 0) | (F.col("hi") != F.col("d") - 1), "uneven": F.col("n") != most})
 
 
 def encoding_issues(rows: DataFrame, ignored: int = -100) -> DataFrame:
