@@ -31,8 +31,22 @@ QUESTION_WORD = r"(?i)\b(?:what|which|find|solve|compute|determine|how)\b"
 # ---- end of fixed values ---------------------------------------------------------------------------------
 
 
+#: What a text that matches must hold, in lower case; a text without any of them is spared the pattern.
+NEEDS = {
+    ANSWER_CUE: ("answer", "solution", "####"), NUMERIC_BOXED: ("boxed", "fbox"), URL_OR_IMAGE: ("://", "www.", "<img", "![", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp"), VISUAL: ("above", "below", "figure", "diagram", "graph", "image", "picture"),
+    ASYMPTOTE: ("asy]", "import", "draw", "dot", "label", "fill", "size"), MULTIPART: ("answer", "solve", "find", "part"), LATEX: ("$", "\\"),
+}
+
+
 def _has(t: Column, pattern: str) -> Column:
-    return t.rlike("(?Ud)" + pattern)
+    found = t.rlike("(?Ud)" + pattern)
+    if pattern not in NEEDS:
+        return found
+    low = F.lower(F.translate(t, "ıİſ", "iis"))  # as matching without case takes them
+    some = low.contains(NEEDS[pattern][0])
+    for x in NEEDS[pattern][1:]:
+        some |= low.contains(x)
+    return some & found
 
 
 def stripped(question: Column) -> Column:
@@ -53,7 +67,7 @@ def flag_columns(t: Column) -> dict[str, Column]:
         "asymptote": _has(t, ASYMPTOTE),
         "multi_part": (F.regexp_count(t, F.lit("(?Ud)" + PART_MARKER)) >= 2) | _has(t, MULTIPART),
         "non_ascii": T.is_non_ascii(t),
-        "multilingual": t.rlike(SCRIPTS),
+        "multilingual": T.is_non_ascii(t) & t.rlike(SCRIPTS),
         "latex_proxy": _has(t, LATEX),
     }
 

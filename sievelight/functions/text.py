@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # ---- fixed values: patterns and marks of the text views -------------------------------------------------
+#: All that counts as white space, in regular expressions and as characters.
 WS = r"[\s\x1c-\x1f]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 DASHES = "\u2212\u2013\u2014"
 TIMES, DIVIDE = "\u00d7", "\u00f7"
 FRACTIONS = r"\\(?:dfrac|tfrac)(?![A-Za-z])"
 SIZING = r"\\(?:left|right)(?![A-Za-z])"
 DELIMITERS = ("$", r"\(", r"\)", r"\[", r"\]")
 SPACING = r"\\(?:,|;|:|!|quad\b|qquad\b|enspace\b|thinspace\b)"
-EDGES = r"([{}()\[\]^_=+\-*/<>|,;:])"
+EDGES = r"[{}()\[\]^_=+\-*/<>|,;:]"
 EXERCISE_NUMBER = r"^\d+(?:\.\d+)*[.)]?\s+(?=(?:what|which|find|if|how|determine|compute|solve)\b)"
 NUMBER = r"(?<![A-Za-z0-9_])([+-]?)(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![A-Za-z0-9_])"
 CANONICAL_INTEGER = r"^(?:0|-?[1-9][0-9]*)\z"
@@ -61,46 +63,57 @@ def _nfkc_folded(x: pd.Series) -> pd.Series:
 
 
 def _newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return F.when(c.contains("\r"), F.regexp_replace(c, r"\r\n?", "\n")).otherwise(c)
 
 
 def normalize_question(c: Column) -> Column:
     """Line ends as LF, no-break spaces as spaces, NFKC; nothing is stripped or collapsed. Null stays null."""
     x = F.replace(_newlines(c), F.lit("\u00a0"), F.lit(" "))
-    return F.coalesce(_nfkc(F.when(x.rlike(INERT), x)), x)
+    return F.coalesce(_nfkc(F.when(_changeable(x), x)), x)
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end, as Unicode has it."""
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def _changeable(x: Column) -> Column:
+    """True where NFKC or folding may do more than lower-casing; ASCII is told by its length alone."""
+    return (F.octet_length(x) != F.length(x)) & x.rlike(INERT)
 
 
 def canonical_text(c: Column) -> Column:
-    """The comparison form: normalised, case-folded, without TeX delimiters, spacing and sizing, spaces collapsed."""
+    """The comparison form: normalised, case-folded, without TeX delimiters, spacing and sizing, spaces collapsed.
+
+    Patterns are kept from texts that lack the characters they need, and only match where something changes.
+    """
     x = F.replace(_newlines(c), F.lit("\u00a0"), F.lit(" "))
-    x = F.coalesce(_nfkc_folded(F.when(x.rlike(INERT), x)), F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
+    x = F.coalesce(_nfkc_folded(F.when(_changeable(x), x)), F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
     x = F.translate(x, DASHES + DIVIDE, "-" * len(DASHES) + "/")
     x = F.replace(x, F.lit(TIMES), F.lit(r"\times"))
-    x = F.regexp_replace(x, FRACTIONS, r"\\frac")
-    x = F.regexp_replace(x, SIZING, "")
+    tex = lambda y, f: F.when(y.contains("\\"), f(y)).otherwise(y)
+    x = tex(x, lambda y: F.regexp_replace(F.regexp_replace(y, FRACTIONS, r"\\frac"), SIZING, ""))
     for mark in DELIMITERS:
         x = F.replace(x, F.lit(mark), F.lit(""))
-    x = F.regexp_replace(x, "(?U)" + SPACING, "")
-    x = strip(F.regexp_replace(x, f"(?U){WS}+", " "))
-    return F.regexp_replace(x, f" ?{EDGES} ?", "$1")
+    x = tex(x, lambda y: F.regexp_replace(y, "(?U)" + SPACING, ""))
+    x = strip(F.regexp_replace(x, rf"(?U) *[\s\x1c-\x1f&&[^ ]]{WS}*| {{2,}}", " "))
+    return F.regexp_replace(x, f"(?<={EDGES}) | (?={EDGES})", "")
 
 
 def source_format_text(c: Column, canonical: Column | None = None) -> Column:
     """The comparison form without a leading exercise number, a trailing ``#`` and spaces before sentence marks."""
     x = canonical_text(c) if canonical is None else canonical
     x = F.regexp_replace(x, "(?iU)" + EXERCISE_NUMBER, "")
-    x = F.regexp_replace(x, rf"(?U){WS}*#{WS}*\z", "")
-    return strip(F.regexp_replace(x, rf"(?U){WS}+([?.!])", "$1"))
+    x = F.when(x.endswith("#"), F.regexp_replace(x, rf"(?U){WS}*#{WS}*\z", "")).otherwise(x)
+    for mark in "?.!":
+        x = F.replace(x, F.lit(f" {mark}"), F.lit(mark))  # the comparison form has single spaces only
+    return strip(x)
 
 
 def masked_template_text(c: Column, canonical: Column | None = None) -> Column:
     """The comparison form with the magnitude of every number masked; signs stay."""
-    return F.regexp_replace(canonical_text(c) if canonical is None else canonical, NUMBER, "$1<num>")
+    x = canonical_text(c) if canonical is None else canonical
+    return F.when(x.rlike("[0-9]"), F.regexp_replace(x, NUMBER, "$1<num>")).otherwise(x)
 
 
 def sha256(c: Column) -> Column:
@@ -133,7 +146,7 @@ def is_multiline(c: Column) -> Column:
 
 
 def is_non_ascii(c: Column) -> Column:
-    return c.rlike(r"[^\x00-\x7F]")
+    return F.octet_length(c) != F.length(c)
 
 
 def has_control(c: Column) -> Column:

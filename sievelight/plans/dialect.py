@@ -31,7 +31,7 @@ def canonical(x: str) -> str:
     for mark in T.DELIMITERS:
         x = f"replace({x}, {lit(mark)}, '')"
     x = sub(x, T.SPACING, "")
-    return sub(strip(sub(x, r"\s+", " ")), f" ?{T.EDGES} ?", r"\1")
+    return sub(strip(sub(x, r"\s+", " ")), f" ?({T.EDGES}) ?", r"\1")
 
 
 def source_text(canonical_sql: str) -> str:
