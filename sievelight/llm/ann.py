@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.llm import textscan as ts
+
 TRAIN_ROWS = 20_000
 MAX_CENTROIDS = 2048
 CELL_ENTRIES = 48
@@ -61,7 +63,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "vkey", "v"])
 
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(col).cast("array<double>"))
-    return rows.mapInArrow(run, "vec_id long, vkey binary, v binary"), dim
+    return rows.transform(ts.in_batches, run, "vec_id long, vkey binary, v binary"), dim
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -138,7 +140,7 @@ def search(vectors: DataFrame, is_query, top: int = 20, probe: int = PROBE, id_c
             cell = nearest(v[:, :half], c1)[0] * k2 + nearest(v[:, half:], c2)[0]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int64())], ["vkey", "ids", "v", "cell"])
 
-    placed = entries.select("vkey", "ids", "v").mapInArrow(assign, "vkey binary, ids array<long>, v binary, cell long").checkpoint()
+    placed = entries.select("vkey", "ids", "v").transform(ts.in_batches, assign, "vkey binary, ids array<long>, v binary, cell long").checkpoint()
     size = np.zeros(k1 * k2, np.int64)
     for cell, count in placed.groupBy("cell").count().collect():  # at most MAX_CENTROIDS squared
         size[cell] = count
@@ -186,8 +188,8 @@ def search(vectors: DataFrame, is_query, top: int = 20, probe: int = PROBE, id_c
                 out.append((key, [{"far": f, "id": d} for f, d in hits]))
         return pd.DataFrame(out, columns=["qkey", "hits"])
 
-    probes = questions.select("vkey", "v").mapInArrow(traverse, "qkey binary, q binary, cell long, eb int, qb int")
-    dealt = placed.select("vkey", "ids", "v", "cell").mapInArrow(deal, "ids array<long>, v binary, cell long, eb int, qb int")
+    probes = questions.select("vkey", "v").transform(ts.in_batches, traverse, "qkey binary, q binary, cell long, eb int, qb int")
+    dealt = placed.select("vkey", "ids", "v", "cell").transform(ts.in_batches, deal, "ids array<long>, v binary, cell long, eb int, qb int")
     keys = ["cell", "eb", "qb"]
     ranked = dealt.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(rank, "qkey binary, hits array<struct<far:double,id:long>>")
     merged = ranked.groupBy("qkey").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, top + 1).alias("hits"))

@@ -31,8 +31,8 @@ from sievelight.llm import textscan as ts
 #: Mean chunk length is this power of two, in bytes.
 CHUNK_BITS = 8
 #: Entries of a worker's dictionaries, beyond which they start afresh.
-MAX_PIECES = 1_200_000
-MAX_CHUNKS = 60_000
+MAX_PIECES = 250_000
+MAX_CHUNKS = 30_000
 
 _B2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _B2_INV = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
@@ -294,7 +294,7 @@ def encode(documents: DataFrame, path: str | None = None, keep: list[str] | None
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], [*keep, *names])
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, ids array<int>" + ", decoded string" * decode)
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, f"{schema}, ids array<int>" + ", decoded string" * decode)
 
 
 def digests(documents: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
@@ -311,4 +311,4 @@ def digests(documents: DataFrame, keep: list[str], path: str | None = None) -> D
                 back.append(hashlib.sha256(decode_ids(ids, path).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -57,7 +57,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["item", "k", "h", "gram"])
 
-    return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "item string, k int, h long, gram binary")
+    return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).transform(ts.in_batches, run, "item string, k int, h long, gram binary")
 
 
 class _Grams:
@@ -146,7 +146,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], width: int
             grams = grams or _Grams(shared.value)
             yield _rows_to_batch([b.column(i) for i in range(len(keep))], keep, _scan_batch(b.column(len(keep)), grams))
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, schema)
 
 
 def _scan_by_shuffle(documents: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
@@ -166,7 +166,7 @@ def _scan_by_shuffle(documents: DataFrame, windows: DataFrame, keep: list[str])
 
     keyed = documents.select(*keep, F.col("text").cast("string").alias("__text")).withColumn("__tk", F.sha2(F.coalesce("__text", F.lit("")), 256))
     texts = keyed.groupBy("__tk").agg(F.first("__text").alias("__text"))
-    found = texts.select("__tk", "__text").mapInArrow(emit, "tk string, k int, h long").distinct().join(windows, ["k", "h"]).select(F.col("tk").alias("__tk"), "item", "k", "h", "gram").distinct()
+    found = texts.select("__tk", "__text").transform(ts.in_batches, emit, "tk string, k int, h long").distinct().join(windows, ["k", "h"]).select(F.col("tk").alias("__tk"), "item", "k", "h", "gram").distinct()
 
     def judge(_key, text: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
         rows = _scan_batch(pa.array(text["__text"], pa.string()), _Grams(list(grams[["item", "k", "h", "gram"]].itertuples(index=False, name=None))))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm import textscan as ts
+
 # Fixed element lists of HTML.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -229,4 +231,4 @@ def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
             texts = [main_text(x.as_py()) for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*keep, F.col("html").cast("string").alias("__html")).mapInArrow(run, f"{schema}, text string, n_chars long")
+    return pages.select(*keep, F.col("html").cast("string").alias("__html")).transform(ts.in_batches, run, f"{schema}, text string, n_chars long")

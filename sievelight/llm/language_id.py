@@ -95,9 +95,9 @@ def train(documents: DataFrame, id_col: str = "doc_id", folds: int = 5) -> dict:
         for i, row in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row.tobytes()], pa.binary())], ["lang", "counts"])
 
-    part = rows.select("lang", F.col("text").cast("string")).mapInArrow(count, "lang int, counts binary")
-    part = part.repartition(len(langs) * 8, "lang", F.crc32("counts") % 8).mapInArrow(add, "lang int, counts binary")
-    part = part.repartition(len(langs), "lang").mapInArrow(add, "lang int, counts binary")
+    part = rows.select("lang", F.col("text").cast("string")).transform(ts.in_batches, count, "lang int, counts binary")
+    part = part.repartition(len(langs) * 8, "lang", F.crc32("counts") % 8).transform(ts.in_batches, add, "lang int, counts binary")
+    part = part.repartition(len(langs), "lang").transform(ts.in_batches, add, "lang int, counts binary")
     counts = np.zeros((len(langs), BUCKETS))
     for i, raw in part.collect():  # one row of BUCKETS numbers for each language
         counts[i] += np.frombuffer(raw, np.int64)
@@ -155,7 +155,7 @@ def predict(documents: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                     pred[lo + d], score[lo + d] = langs[best[d]], float(sure[d])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], [*keep, "lang_pred", "score", "ambiguous"])
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(doc_id, folds: int = 5) -> bool:

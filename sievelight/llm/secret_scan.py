@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.llm import textscan as ts
+
 KINDS = ("assign", "access", "hex")
 # Fixed values of the base kinds.
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -163,7 +165,7 @@ def scan(documents: DataFrame, keep: list[str]) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], [*keep, *names])
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<start:int,end:int,kind:string>>")
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, f"{schema}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<start:int,end:int,kind:string>>")
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int]], filler: str = "[SECRET]") -> str | None:

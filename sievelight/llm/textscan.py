@@ -5,6 +5,8 @@ Texts are handled as UTF-8 bytes of an Arrow buffer, in slices of bounded size;
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text scanned at once; a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -38,6 +42,28 @@ def checkpoint_root(spark, fallback: str = "/tmp/sievelight-checkpoints") -> str
     return root
 
 
+def tidied(fn):
+    """``fn`` over Arrow batches; a reused worker then gives the memory that its task has freed back to the system."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def in_batches(df, fn, schema: str):
+    """``df`` through ``fn`` in Arrow batches of at most ``BATCH_BYTES`` (or one longer text), however long the texts."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("bB") or 0) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(tidied(fn), schema)
+
+
 @lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     p = np.full(n, base, np.uint64)

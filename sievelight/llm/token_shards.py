@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.llm import bpe
+from sievelight.llm import textscan as ts
 from sievelight.llm.textscan import checkpoint_root, mix
 
 BLOCK_BYTES = 1 << 20
@@ -128,7 +129,7 @@ def write(documents: DataFrame, folder: str | None = None, path: str | None = No
                     yield from flush()
         yield from flush()
 
-    packed = ordered.select("shard", "doc_id", "text").mapInArrow(pack, "shard int, block int, first_id long, n_docs long, n_ids long, keys binary, occurrence binary, sizes binary, width int, ids binary")
+    packed = ordered.select("shard", "doc_id", "text").transform(ts.in_batches, pack, "shard int, block int, first_id long, n_docs long, n_ids long, keys binary, occurrence binary, sizes binary, width int, ids binary")
     packed.write.option("compression", "none").mode("overwrite").parquet(f"{folder}/shards")
     _write_index(spark.read.parquet(f"{folder}/shards"), folder)
     return folder
@@ -156,7 +157,7 @@ def _write_index(shards: DataFrame, folder: str) -> None:
         table[slot_of(h, seeds, len(h))] = np.frombuffer(b"".join(rows["slot"]), SLOT)
         return pd.DataFrame({"bucket": [key[0]], "seeds": [seeds.astype("<u4").tobytes()], "table": [table.tobytes()]})
 
-    flat = shards.select("shard", "block", "keys", "occurrence", "sizes").mapInArrow(entries, "bucket long, h long, slot binary")
+    flat = shards.select("shard", "block", "keys", "occurrence", "sizes").transform(ts.in_batches, entries, "bucket long, h long, slot binary")
     flat.groupBy("bucket").applyInPandas(build, "bucket long, seeds binary, table binary").write.mode("overwrite").parquet(f"{folder}/index")
 
 
@@ -181,7 +182,7 @@ def lookup(keys: DataFrame, folder: str) -> DataFrame:
         ok = got["mark"] == (h & np.uint64(0xFFFFFFFF))
         return pd.DataFrame({"doc_id": asked["doc_id"], "occurrence": asked["occurrence"]} | {c: got[c] for c in ("shard", "block", "offset", "count")})[ok]
 
-    asked = keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("int")).mapInArrow(place, "doc_id long, occurrence int, h long, bucket long")
+    asked = keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("int")).transform(ts.in_batches, place, "doc_id long, occurrence int, h long, bucket long")
     return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, "doc_id long, occurrence int, shard int, block int, offset int, count int")
 
 
@@ -201,7 +202,7 @@ def document_stats(folder: str, spark) -> DataFrame:
                 k = np.frombuffer(keys, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(k, mask=k == _NULL), pa.array(np.frombuffer(occ, "<i4"))], ["doc_id", "occurrence"])
 
-    found = lookup(shards.select("keys", "occurrence").mapInArrow(keys_of, "doc_id long, occurrence int"), folder)
+    found = lookup(shards.select("keys", "occurrence").transform(ts.in_batches, keys_of, "doc_id long, occurrence int"), folder)
 
     def read(_key, slots: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
