@@ -29,11 +29,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, path: str, lateness: str = "2 hours", folder: str | None = None) -> DataFrame:
-    """(event_type, hour, n, total): tumbling windows under a watermark; the last windows close with an end marker.
+    """(event_type, hour, n, total): tumbling windows, of which every batch overwrites the table with the state so far.
 
-    Late rows beyond ``lateness`` are dropped by Spark, as in any watermarked aggregation; here all rows come in one
-    batch, so none is late. Rows are written when their window closes, so open ones are added from state at the end:
-    complete mode to a table that foreachBatch overwrites.
+    Sums are decimals, so they don't depend on the order of arrival.
     """
     folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = read_files(spark, path).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", lateness)
