@@ -11,8 +11,8 @@ window is found through the suffixes at its anchors.
 3. One suffix of each other run is dealt by range to buckets: splitters come from the leading bytes of a sample of
    texts. A bucket sorts its suffixes by multikey quicksort on 8-byte characters; neighbours that share the whole
    gram form runs of the suffix array, in which the windows are compared.
-4. Leading bytes that fill several splitters are dealt over all their buckets; suffixes of such buckets are then
-   compared across the boundaries, by the fingerprints of their windows.
+4. Leading bytes that fill several splitters are dealt over all their buckets; suffixes of such buckets, and of those
+   that turn out too large to hold, are then compared across the boundaries, by the fingerprints of their windows.
 
 Texts are identified by two 64-bit hashes, so equal rows are handled once each and repeat each other.
 
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ LENGTH = 200
 GRAM = 32
 #: Texts from whose suffixes the splitters are drawn.
 SAMPLE_TEXTS = 2_000
-BUCKET_BYTES = 6 << 20
+SAMPLE_LEADS = 500_000
+BUCKET_BYTES = 3 << 19
 
 _B2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _B2_INV = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
@@ -143,6 +145,22 @@ def _compare(rows: pd.DataFrame, length: int, gram: int) -> tuple[np.ndarray, ..
     return buf, start, slot, order[tied]
 
 
+def _compared(own: pd.DataFrame, spread: bool, length: int, gram: int) -> pa.RecordBatch:
+    """Rows (k1, k2, lo, h1, h2) of a bucket: its repeated spans (h1 is their end, h2 null) or, spread, all its windows' fingerprints."""
+    buf, start, slot, tied = _compare(own, length, gram)
+    part = np.arange(len(own)) if spread else np.sort(tied)
+    k1, k2 = own["k1"].to_numpy(), own["k2"].to_numpy()
+    rec, j, h1, h2 = _windows(buf, start[part], (slot[part] & 255) + 1, length)
+    if spread:
+        r, lo, x, y = part[rec], (slot[part[rec]] >> 16) + j, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))
+    else:
+        ok = _repeated(h1, h2)
+        r, j0, j1 = _ranges(rec[ok], j[ok], length)
+        r = part[r]
+        lo, x, y = (slot[r] >> 16) + j0, pa.array((slot[r] >> 16) + j1), pa.nulls(len(r), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(k1[r]), pa.array(k2[r]), pa.array(lo), x, y], ["k1", "k2", "lo", "h1", "h2"])
+
+
 def _ranges(rec: np.ndarray, j: np.ndarray, length: int):
     """Maximal runs of windows of the same record: (record, first window, end of the last window's bytes)."""
     if not len(rec):
@@ -170,14 +188,14 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
                 slot = p0 << 16 | (a - p0) << 8 | (p1 - p0)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[lo + t], k2[lo + t], slot, h.view(np.int64), run.view(np.int64))], ["k1", "k2", "slot", "h", "c"])
 
-    found = docs.mapInArrow(find, "k1 long, k2 long, slot long, h long, c long")
+    found = docs.transform(ts.in_batches, find, "k1 long, k2 long, slot long, h long, c long")
     often = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
     again = found.join(often, "h").checkpoint()
     runs = again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "slot")).alias("one"))
     whole = again.join(runs.where("n > 1").select("h", "c"), ["h", "c"]).select("k1", "k2", F.shiftright("slot", 16).alias("lo"), (F.shiftright("slot", 16) + F.col("slot").bitwiseAND(255) + length).alias("hi"))
     varied = again.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("h")
     ones = runs.join(varied, "h").select("one.*").checkpoint()
-    buckets = max(1, -(-ones.count() * (length + 100) // BUCKET_BYTES))
+    buckets = min(SAMPLE_LEADS, max(1, -(-ones.count() * (length + 100) // BUCKET_BYTES)))
     splitters = _splitters(docs, buckets, length, gram)
     shared = spark.sparkContext.broadcast(splitters)
     wanted = ones.groupBy("k1", "k2").agg(F.collect_list("slot").alias("slots"))  # at most the anchors of one text
@@ -199,39 +217,44 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
                     yield _dealt(out, shared.value)
                     out, held = [], 0
 
-    suffixes = docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "slots").mapInArrow(cut, "k1 long, k2 long, slot long, bytes binary, bucket int, hot boolean").repartition(buckets, "bucket")
+    suffixes = docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "slots").transform(ts.in_batches, cut, "k1 long, k2 long, slot long, bytes binary, bucket int, hot boolean")
+    suffixes = suffixes.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's suffixes, a bucket at a time; windows of buckets that share their leading bytes go on as fingerprints."""
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows is None or not rows.num_rows:
-            return
-        rows = rows.to_pandas().drop_duplicates(["k1", "k2", "slot"])
-        for (_bucket, hot), own in rows.groupby(["bucket", "hot"]):
-            own = own.reset_index(drop=True)
-            buf, start, slot, tied = _compare(own, length, gram)
-            part = np.arange(len(own)) if hot else np.sort(tied)
-            k1, k2 = own["k1"].to_numpy(), own["k2"].to_numpy()
-            rec, j, h1, h2 = _windows(buf, start[part], (slot[part] & 255) + 1, length)
-            if hot:
-                r, lo, x, y = part[rec], (slot[part[rec]] >> 16) + j, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))
-            else:
-                ok = _repeated(h1, h2)
-                r, j0, j1 = _ranges(rec[ok], j[ok], length)
-                r = part[r]
-                lo, x, y = (slot[r] >> 16) + j0, pa.array((slot[r] >> 16) + j1), pa.nulls(len(r), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(k1[r]), pa.array(k2[r]), pa.array(lo), x, y], ["k1", "k2", "lo", "h1", "h2"])
-
-    compared = suffixes.mapInArrow(compare, "k1 long, k2 long, lo long, h1 long, h2 long")
-    parts = whole
-    if len(np.unique(splitters)) == len(splitters):
-        return parts.unionByName(compared.select("k1", "k2", "lo", F.col("h1").alias("hi")))
+        """A task's suffixes, a bucket at a time. Windows of buckets that share their leading bytes, or that are too large
+        to be held, go on as fingerprints."""
+        at, held, size, spread = None, [], 0, False
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held).to_pandas().drop_duplicates(["k1", "k2", "slot"])
+                for hot, own in rows.groupby("hot"):
+                    yield _compared(own.reset_index(drop=True), bool(hot) or spread, length, gram)
+
+        for b in batches:
+            which = b.column(4).to_numpy()
+            cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi > lo:
+                    if which[lo] != at:
+                        yield from settle()
+                        at, held, size, spread = which[lo], [], 0, False
+                    part = b.slice(lo, hi - lo)
+                    held.append(part)
+                    size += pc.sum(pc.binary_length(part.column(3))).as_py()
+                    if size > 4 * BUCKET_BYTES:
+                        spread = True
+                        yield from settle()
+                        held, size = [], 0
+        yield from settle()
+
+    compared = suffixes.transform(ts.in_batches, compare, "k1 long, k2 long, lo long, h1 long, h2 long")
     compared = compared.checkpoint()
     local = compared.where("h2 IS NULL").select("k1", "k2", "lo", F.col("h1").alias("hi"))
     across = compared.where("h2 IS NOT NULL")
     twice = across.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     met = across.join(twice, ["h1", "h2"]).select("k1", "k2", "lo", (F.col("lo") + length).alias("hi"))
-    return parts.unionByName(local).unionByName(met)
+    return whole.unionByName(local).unionByName(met)
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -240,14 +263,23 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def _splitters(docs: DataFrame, buckets: int, length: int, gram: int) -> np.ndarray:
-    """buckets - 1 quantiles of the leading bytes of the suffixes of at most SAMPLE_TEXTS texts."""
+    """buckets - 1 quantiles of the leading bytes of the suffixes of about SAMPLE_TEXTS texts, chosen by their hash.
+
+    Only leading bytes (8 for each suffix) leave the tasks, at most SAMPLE_LEADS of them.
+    """
     if buckets == 1:
         return np.zeros(0, np.int64)
-    leads = []
-    for row in docs.where("length(text) >= 50").orderBy("k2").select("text").limit(SAMPLE_TEXTS).collect():
-        buf = np.frombuffer(row[0].encode("utf-8", "surrogatepass"), np.uint8)
-        leads.append(_leads(buf, anchors(buf, np.array([0, len(buf)]), length, gram)[2]))
-    leads = np.sort(np.concatenate(leads)) if leads else np.zeros(0, np.int64)
+    n = docs.count()
+    part = docs.where(F.pmod("k2", F.lit(1_000_003)) <= int(1_000_003 * min(1.0, SAMPLE_TEXTS / max(1, n)))).select("text")
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _lo, _hi, buf, offs in ts.text_slices(b.column(0)):
+                t, _p0, a, *_ = anchors(buf, offs, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(_leads(buf, offs[t] + a))], ["lead"])
+
+    rows = part.transform(ts.in_batches, lead, "lead long").limit(SAMPLE_LEADS).toPandas()
+    leads = np.sort(rows["lead"].to_numpy(np.int64))
     return leads[(np.arange(1, buckets) * len(leads)) // buckets] if len(leads) else np.zeros(0, np.int64)
 
 
@@ -291,5 +323,5 @@ def dedup(documents: DataFrame, keep: list[str], length: int = LENGTH, gram: int
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(*named, F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), text.alias("text"))
     joined = docs.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), F.col("text").alias("__text"), "spans")
-    out = joined.mapInArrow(run, schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.transform(ts.in_batches, run, schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if texts else out.drop("kept")
