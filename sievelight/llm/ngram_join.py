@@ -3,10 +3,11 @@
 A text is its set of distinct shingles. Two sets with a Jaccard similarity of at least t differ in at most
 D = (1 - t) / (1 + t) * (|x| + |y|) tokens. The join intersects these filters before it verifies anything:
 
-1. Partition orders. Order j of P = D + 1 ranks the tokens of hash class j first; the prefix under it is those
-   tokens. D differences can touch at most D classes, so a similar pair has one order with equal prefixes. Prefixes
-   are compared by their hash, among sets of like size; sets without any partner are done here.
-2. Frequency orders. Sets that step 1 connects are dealt to pairs of blocks of bounded size. Within two blocks the
+1. Partition orders. Tokens are hashed to D // 2 + 1 groups of three classes each. Every order ranks two classes of one
+   group first; the prefix under it is their tokens. D differences leave a group with at most one, which touches one
+   of its classes, so a similar pair has an order with equal prefixes. Prefixes are compared by their hash, among sets
+   of like size; sets without any partner are done here.
+2. Frequency orders. Sets that step 1 connects are dealt to pairs of blocks of bounded size (in sets and in tokens). Within two blocks the
    tokens are ordered by rising frequency with ties broken by different hashes, and a pair must share a token of its
    classical prefixes (of |x| - ceil(t |x|) + 1 tokens) under each of these orders.
 
@@ -25,18 +26,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelight.llm import textscan as ts
-from sievelight.llm.components import components
+from sievelight.operators.clusters import components
 
 K = 3
 #: The similarity in hundredths.
 PERCENT = 90
 #: Ratio between the bounds of neighbouring size classes.
 GROWTH = 1.5
-BLOCK = 512
+#: Sets and tokens of a block, on average.
+BLOCK = 1024
+BLOCK_TOKENS = 1_000_000
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -80,19 +83,27 @@ def bound(c: int) -> int:
 
 
 def signatures(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Hashes of the prefixes under the partition orders of the set's size class, and of the next if a partner can be there."""
+    """Hashes of the prefixes under the partition orders of the set's size class, and of the next if a partner can be there.
+
+    A prefix is what two of a group's three hash classes hold, so each group gives three. Sets too small to have a
+    different partner give none.
+    """
     n = len(tokens)
     if not n:
         return np.zeros(0, np.int64)
     c, out = size_class(n), []
     for own in (c, c + 1) if n * 100 >= bound(c) * percent else (c,):
-        parts = differences(2 * bound(own), percent) + 1
+        most = differences(2 * bound(own), percent)
+        if not most:
+            continue
+        groups = most // 2 + 1
         h = ts.mix(tokens + np.uint64(own + 1))
-        part = (h % np.uint64(parts)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, ts.mix(h))
-        out.append(ts.mix(sums + np.uint64(own + 1) * np.uint64(0xD1B54A32D192ED03) + np.arange(parts, dtype=np.uint64)))
-    return np.concatenate(out).view(np.int64)
+        sums = np.zeros(3 * groups, np.uint64)
+        np.add.at(sums, (h % np.uint64(3 * groups)).astype(np.int64), ts.mix(h))
+        part = sums.reshape(groups, 3)
+        name = np.arange(3 * groups, dtype=np.uint64).reshape(groups, 3) + np.full(1, own + 1, np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        out.append(ts.mix(part.sum(1, keepdims=True) - part + ts.mix(name)).ravel())
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def _prefixes(tokens: np.ndarray, doc: np.ndarray, size: np.ndarray, df: np.ndarray, seed: int, percent: int) -> np.ndarray:
@@ -162,7 +173,7 @@ def _measured(documents: DataFrame, keep: list[str], k: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(list(c), pa.int64()) for c in cols)], [*keep, "n_shingles", "f1", "f2"])
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(measure, schema + "n_shingles long, f1 long, f2 long")
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, measure, schema + "n_shingles long, f1 long, f2 long")
 
 
 def _judge(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -170,26 +181,31 @@ def _judge(documents: DataFrame, k: int, percent: int) -> DataFrame:
     docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a set of which a task has copies signs once for it: 8 bytes for each of a task's rows
         for b in batches:
-            own, sigs = [], []
+            own, sigs, held = [], [], 0
             for s in shingle_sets(b.column(0), k):
-                own.append(fingerprint(s)[0])
-                sigs.append(signatures(s, percent))
-                if len(own) >= 2000:
+                f1 = fingerprint(s)[0]
+                if f1 not in seen:
+                    seen.add(f1)
+                    own.append(f1)
+                    sigs.append(signatures(s, percent))
+                    held += len(sigs[-1])
+                if held >= 100_000:
                     yield _signed(own, sigs)
-                    own, sigs = [], []
+                    own, sigs, held = [], [], 0
             if own:
                 yield _signed(own, sigs)
 
     known = _measured(docs, ["doc_id"], k).checkpoint()
-    classes = known.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    signed = docs.select("text").mapInArrow(sign, "sig long, f1 long")
-    # A set of which there are copies signs once for each; "varied" needs two different sets.
-    varied = signed.groupBy("sig").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("sig", "lo")
-    pairs = signed.join(varied, "sig").select(F.col("f1").alias("a"), F.col("lo").alias("b")).distinct()
+    classes = known.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"))
+    signed = docs.select("text").transform(ts.in_batches, sign, "sig long, f1 long")
+    # Every set is paired with the least that shares a prefix: one shuffle by prefix, without lists of its sets.
+    least = signed.withColumn("lo", F.min("f1").over(Window.partitionBy("sig"))).where("f1 <> lo")
+    pairs = least.select(F.col("f1").alias("a"), F.col("lo").alias("b")).distinct()
     near = components(pairs).withColumnsRenamed({"node": "f1", "root": "near"})
     dealt = classes.join(near, "f1").checkpoint()
-    blocks = dealt.groupBy("near").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    blocks = dealt.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("n_blocks"))
     dealt = dealt.join(blocks, "near").withColumn("block", F.pmod(F.xxhash64("f2"), F.col("n_blocks")).cast("int"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +254,7 @@ def _judge(documents: DataFrame, k: int, percent: int) -> DataFrame:
 
     wanted = dealt.select("rep", "f1", "f2", "near", "n_blocks", "block", "copies").hint("shuffle_hash")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]))
-    sets = texts.mapInArrow(fetch, "near long, bi int, bj int, block int, f1 long, f2 long, copies long, tokens binary")
+    sets = texts.transform(ts.in_batches, fetch, "near long, bi int, bj int, block int, f1 long, f2 long, copies long, tokens binary")
     found = sets.groupBy("near", "bi", "bj").applyInPandas(verify, "f1 long, f2 long, g1 long, g2 long, links long").checkpoint()
     name = lambda x, y: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0"))
     forest = components(found.where("links = 0").select(name("f1", "f2").alias("a"), name("g1", "g2").alias("b")))

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sievelight.llm import ann, bpe, components, decontaminate, html_extract, language_id, ngram_join, queries, secret_scan, suffix_dedup, textscan, token_shards, url_filters
+from sievelight.llm import ann, bpe, decontaminate, html_extract, language_id, ngram_join, queries, secret_scan, suffix_dedup, textscan, token_shards, url_filters
+from sievelight.operators.clusters import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 UPPER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -213,14 +214,28 @@ def test_ngram_jaccard_join(spark, odd, monkeypatch, block):
         kept = ngram_join.keep_one(docs)
         assert kept.columns == docs.columns
         empty = sum(not shingles(r.text) for r in docs.collect())
-        comps = {(w[2]) for w in want if w[1]}
-        assert kept.count() == len(comps) + empty + sum(r.text == "another text under the same id" for r in docs.collect())
+        # Every component with words, as brute force finds them over row numbers (ids repeat), keeps one row.
+        texts = [r.text for r in docs.collect()]
+        comps = {w[2] for w in brute_components(list(enumerate(texts))) if w[1]}
+        assert kept.count() == len(comps) + empty
+
+
+def test_similar_sets_share_a_prefix():
+    rng = np.random.default_rng(8)
+    for n in (*range(1, 40), 100, 137, 400, 1300):
+        for _ in range(12):
+            x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            most = n * 10 // 100
+            y = np.concatenate((x[rng.integers(0, most + 1) :], rng.integers(0, 1 << 63, rng.integers(0, most // 2 + 1)).astype(np.uint64)))
+            inter, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            if 100 * inter >= 90 * union and inter < union:
+                assert np.intersect1d(ngram_join.signatures(x), ngram_join.signatures(y)).size
 
 
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     import itertools
 
     near = collections.defaultdict(set)
