@@ -7,9 +7,10 @@ a star and never a clique; hubs are only aggregated and joined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelight.operators.ranking import meet
 from sievelight.session import settled
 
 
@@ -38,7 +39,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def label_edges(labels: DataFrame) -> DataFrame:
     """Edges (a, b) of a table (id, label): every member with the least of its label."""
     least = labels.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("b"))
-    return labels.join(least, "label").where("id <> b").select(F.col("id").alias("a"), "b")
+    return meet(labels, least, "label").where("id <> b").select(F.col("id").alias("a"), "b")
 
 
 def build_clusters(ids: DataFrame, pairs: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
@@ -63,5 +64,11 @@ def build_clusters(ids: DataFrame, pairs: DataFrame | None = None, labels: DataF
 
 
 def clusters_by_label(records: DataFrame, label: str, id_col: str = "id") -> DataFrame:
-    """(id, group_id) where one label per record decides, without any iteration: the least id of each label."""
-    return records.select(F.col(id_col).alias("id"), F.min(id_col).over(Window.partitionBy(label)).alias("group_id"))
+    """(id, group_id) where one label per record decides, without any iteration: the least id of each label.
+
+    The least is taken before rows meet it, so a label with a third of all rows is never held as a whole. Records
+    without a label are groups of their own.
+    """
+    rows = records.select(F.col(id_col).alias("id"), F.col(label).alias("label"))
+    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))
+    return meet(rows, least, "label", "left").select("id", F.coalesce("least", "id").alias("group_id"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.operators.ranking import meet
+
 
 def exclude(records: DataFrame, excluded: DataFrame, id_col: str = "id") -> DataFrame:
     """Records whose id isn't excluded. Spark broadcasts the exclusions only below its own size threshold."""
@@ -34,7 +36,7 @@ def fingerprint_groups(records: DataFrame, fp: str, id_col: str = "id") -> DataF
 def duplicate_groups(records: DataFrame, fp: str, id_col: str = "id") -> DataFrame:
     """(fp, n, first_id, id): every member of a group with more than one; one row per member, so a huge group stays spread."""
     groups = fingerprint_groups(records, fp, id_col).where("n > 1")
-    return records.select(F.col(fp).alias("fp"), F.col(id_col).alias("id")).join(groups, "fp").select("fp", "n", "first_id", "id")
+    return meet(records.select(F.col(fp).alias("fp"), F.col(id_col).alias("id")), groups, "fp").select("fp", "n", "first_id", "id")
 
 
 def duplicate_summary(records: DataFrame, fp: str, id_col: str = "id") -> DataFrame:
