@@ -2,14 +2,20 @@
 
 Each half of a vector is quantised by its own codebook, so a cell is a pair of centroids. A query walks the cells in
 order of the summed inner products of its halves with the two centroids (a heap over the sorted halves, as in the
-multi-sequence algorithm) until the cells hold ``probe`` entries, and the entries are ranked by their exact products.
+multi-sequence algorithm) until the cells hold ``probe`` entries. Cells with neighbouring numbers lie on one page of
+about ``BLOCK`` entries, and all entries of a page that a query meets are ranked by their exact products.
+
+``probe`` is fitted to the table: the exact neighbours of at most ``FIT_QUERIES`` queries, chosen by a hash, are found
+in one pass over all entries, and ``probe`` is what walks must hold for ``RECALL`` of these neighbours to be met. Where
+vectors have no structure that is a large share of the table, and time grows as queries times vectors.
 
 The codebooks are fitted on at most ``TRAIN_ROWS`` vectors, chosen by a hash of the id; every vector is indexed. The
 number of cells follows the number of vectors up to ``MAX_CENTROIDS`` squared; their sizes (at most that many
 integers) are what the driver gathers and broadcasts.
 
 Equal vectors are one entry with their ``top + 1`` smallest ids (more can't reach any result), found with a salted
-pre-aggregation, and equal queries are asked once. Large cells are dealt out in blocks.
+pre-aggregation, and equal queries are asked once. Large cells are dealt out in blocks; a task holds the entries of
+one block, while the queries stream past.
 
 Edge cases: null, zero, non-finite vectors and those of another than the most frequent length take no part; repeated
 ids are separate rows, and a query skips every row of its own id; an empty table gives an empty result; with fewer than ``top`` candidates all are returned.
@@ -22,7 +28,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +37,11 @@ from sievelight.llm import textscan as ts
 TRAIN_ROWS = 20_000
 MAX_CENTROIDS = 2048
 CELL_ENTRIES = 48
-#: Entries that a query ranks at least (fewer only where there are fewer).
+#: Entries that a query ranks at least (fewer only where there are fewer), however few the fit asks for.
 PROBE = 4_000
+#: Queries whose exact neighbours are found for the fit, and the share of these neighbours that walks must meet.
+FIT_QUERIES = 256
+RECALL = 0.95
 BLOCK = 4_096
 _SALTS = 64
 
@@ -114,8 +122,48 @@ def _matrix(col, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.float64).reshape(len(col), dim)
 
 
-def search(vectors: DataFrame, is_query, top: int = 20, probe: int = PROBE, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``top`` nearest found of each row where ``is_query`` (a condition on vec_id) holds."""
+def best_hits(scores: np.ndarray, ids: list[list[int]], top: int) -> list[tuple[float, int, int]]:
+    """(-score, id, entry) of the ``top`` best ids by falling score, then id; every entry has ids."""
+    at = np.flatnonzero(scores >= np.partition(scores, len(scores) - top)[len(scores) - top]) if len(scores) > top else np.arange(len(scores))
+    return sorted((-float(scores[i]), d, int(i)) for i in at for d in ids[i])[:top]
+
+
+def fitted_probe(placed: DataFrame, questions: DataFrame, dim: int, top: int, books: tuple[np.ndarray, np.ndarray], size: np.ndarray) -> int:
+    """The entries that walks must hold to meet ``RECALL`` of the exact neighbours of the fit's queries; at least ``PROBE``."""
+    asked = questions.orderBy(F.xxhash64("vkey"), "vkey").limit(FIT_QUERIES).collect()
+    if not asked:
+        return PROBE
+    q = placed.sparkSession.sparkContext.broadcast(_matrix([bytes(r["v"]) for r in asked], dim))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list] = [[] for _ in range(len(q.value))]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, cell, x = b.column(0).to_pylist(), b.column(2).to_numpy(), _matrix(b.column(1).to_pylist(), dim)
+            for lo in range(0, len(x), 4096):
+                for i, own in enumerate(q.value @ x[lo : lo + 4096].T):
+                    best[i] = sorted(best[i] + [(f, d, int(cell[lo + e])) for f, d, e in best_hits(own, ids[lo : lo + 4096], top + 1)])[: top + 1]
+        out = [[{"far": f, "id": d, "cell": c} for f, d, c in hits] for hits in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64()), ("cell", pa.int64())])))], ["q", "hits"])
+
+    found = placed.select("ids", "v", "cell").transform(ts.in_batches, exact, "q int, hits array<struct<far:double,id:long,cell:long>>")
+    found = found.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, top + 1).alias("hits")).collect()  # at most FIT_QUERIES rows
+    half, need = books[0].shape[1], []
+    for i, hits in found:
+        v = q.value[i]
+        order = np.argsort(-((books[0] @ v[:half])[:, None] + books[1] @ v[half:]).ravel(), kind="stable")
+        before = np.empty(len(order), np.int64)
+        before[order] = np.cumsum(size[order]) - size[order]
+        need += [int(before[h["cell"]]) + 1 for h in [h for h in hits if h["id"] != asked[i]["own"]][:top]]
+    return max(PROBE, sorted(need)[-(-len(need) * int(RECALL * 100) // 100) - 1]) if need else PROBE
+
+
+def search(vectors: DataFrame, is_query, top: int = 20, probe: int | None = None, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``top`` nearest found of each row where ``is_query`` (a condition on vec_id) holds.
+
+    ``probe`` is fitted to the table where it isn't given.
+    """
     spark = vectors.sparkSession
     rows, dim = usable(vectors, id_col, col)
     half = max(1, dim // 2)
@@ -144,54 +192,70 @@ def search(vectors: DataFrame, is_query, top: int = 20, probe: int = PROBE, id_c
     size = np.zeros(k1 * k2, np.int64)
     for cell, count in placed.groupBy("cell").count().collect():  # at most MAX_CENTROIDS squared
         size[cell] = count
-    sizes = spark.sparkContext.broadcast(size)
+    page = (np.cumsum(size) - size) // BLOCK
+    held = np.bincount(page, weights=size).astype(np.int64)
+    layout = spark.sparkContext.broadcast((size, page, np.maximum(1, -(-held // (2 * BLOCK)))))  # the last: blocks of each page
 
     asked = rows.where(is_query).select("vec_id", "vkey", "v").distinct()
-    questions = asked.groupBy("vkey").agg(F.first("v").alias("v"))
+    questions = asked.groupBy("vkey").agg(F.first("v").alias("v"), F.min("vec_id").alias("own"))
+    reach = fitted_probe(placed, questions, dim, top, books.value, size) if probe is None else probe
+    schema = "page long, eb int, asks boolean, key binary, v binary, ids array<long>"
+    types = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    names = ["page", "eb", "asks", "key", "v", "ids"]
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries to all blocks of the pages that their walks meet."""
         c1, c2 = books.value
+        sizes, pages, blocks = layout.value
         for b in batches:
             keys, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
             v = _matrix(raw, dim)
             left, right = v[:, :half] @ c1.T, v[:, half:] @ c2.T
-            for lo in range(0, len(keys), 256):
+            for lo in range(0, len(keys), 64):
                 out = []
-                for i in range(lo, min(lo + 256, len(keys))):
-                    for cell in walk(left[i], right[i], sizes.value, probe):
-                        nb = -(-int(sizes.value[cell]) // BLOCK)
-                        qb = int.from_bytes(keys[i][:4], "little") % nb
-                        out += [(keys[i], raw[i], cell, eb, qb) for eb in range(nb)]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["qkey", "q", "cell", "eb", "qb"])
+                for i in range(lo, min(lo + 64, len(keys))):
+                    for p in np.unique(pages[walk(left[i], right[i], sizes, reach)]).tolist():
+                        out += [(p, eb, True, keys[i], raw[i], None) for eb in range(int(blocks[p]))]
+                cols = list(zip(*out, strict=True)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries to their block, once for each block of queries."""
+        """Entries to a block of their page."""
+        _, pages, blocks = layout.value
+        for b in batches:
+            p = pages[b.column(3).to_numpy()]
+            eb = np.array([int.from_bytes(x[4:8], "little") for x in b.column(0).to_pylist()], np.int64) % blocks[p]
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(eb.astype(np.int32)), pa.array(np.zeros(len(p), bool)), b.column(0), b.column(2), b.column(1)], names)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks in order, each with its entries before its queries."""
+        at, parts, ids, x = None, [], [], None
+        hit = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))
         for b in batches:
-            nb = -(-sizes.value[b.column(3).to_numpy()] // BLOCK)
-            eb = np.array([int.from_bytes(x[4:8], "little") for x in b.column(0).to_pylist()], np.int64) % nb
-            at = np.repeat(np.arange(len(nb)), nb)
-            qb = np.arange(len(at)) - np.repeat(np.cumsum(nb) - nb, nb)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in (1, 2, 3)), pa.array(eb[at].astype(np.int32)), pa.array(qb.astype(np.int32))], ["ids", "v", "cell", "eb", "qb"])
-
-    def rank(_key, e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(e) or not len(q):
-            return pd.DataFrame({"qkey": [], "hits": []})
-        x, out = _matrix(e["v"], dim), []
-        for lo in range(0, len(q), 256):
-            part = q.iloc[lo : lo + 256]
-            s = _matrix(part["q"], dim) @ x.T
-            for key, own in zip(part["qkey"], s, strict=True):
-                at = np.flatnonzero(own >= np.partition(own, len(own) - top - 1)[len(own) - top - 1]) if len(own) > top + 1 else np.arange(len(own))
-                hits = sorted((-float(own[i]), int(d)) for i in at for d in e["ids"].iloc[i])[: top + 1]
-                out.append((key, [{"far": f, "id": d} for f, d in hits]))
-        return pd.DataFrame(out, columns=["qkey", "hits"])
-
-    probes = questions.select("vkey", "v").transform(ts.in_batches, traverse, "qkey binary, q binary, cell long, eb int, qb int")
-    dealt = placed.select("vkey", "ids", "v", "cell").transform(ts.in_batches, deal, "ids array<long>, v binary, cell long, eb int, qb int")
-    keys = ["cell", "eb", "qb"]
-    ranked = dealt.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(rank, "qkey binary, hits array<struct<far:double,id:long>>")
+            pages, ebs, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.flatnonzero((np.diff(pages) != 0) | (np.diff(ebs) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if at != (pages[lo], ebs[lo]):
+                    at, parts, ids, x = (pages[lo], ebs[lo]), [], [], None
+                v = _matrix(b.column(4).slice(lo, hi - lo).to_pylist(), dim)
+                if not asks[lo]:
+                    parts.append(v)
+                    ids += b.column(5).slice(lo, hi - lo).to_pylist()
+                    continue
+                if not parts:
+                    continue  # a block that the hash left empty
+                x = np.concatenate(parts) if x is None else x
+                keys = b.column(3).slice(lo, hi - lo)
+                for a in range(0, len(v), 256):
+                    out = [[{"far": f, "id": d} for f, d, _ in best_hits(own, ids, top + 1)] for own in v[a : a + 256] @ x.T]
+                    yield pa.RecordBatch.from_arrays([keys.slice(a, 256), pa.array(out, hit)], ["qkey", "hits"])
+
+    probes = questions.select("vkey", "v").transform(ts.in_batches, traverse, schema)
+    dealt = placed.select("vkey", "ids", "v", "cell").transform(ts.in_batches, deal, schema)
+    met = dealt.unionByName(probes).repartition("page", "eb").sortWithinPartitions("page", "eb", "asks")
+    ranked = met.transform(ts.in_batches, rank, "qkey binary, hits array<struct<far:double,id:long>>")
     merged = ranked.groupBy("qkey").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, top + 1).alias("hits"))
     own = asked.select("vec_id", "vkey").distinct().join(merged, F.col("vkey") == F.col("qkey"))
     best = F.slice(F.filter("hits", lambda h: h["id"] != F.col("vec_id")), 1, top)

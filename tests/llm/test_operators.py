@@ -146,6 +146,19 @@ def test_recall_on_the_embeddings(spark):
     assert np.mean(recall) > 0.5  # 150 of 500 entries; production ranks at least 4,000
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_recall_beyond_the_least_probe(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    x = np.random.default_rng(11).normal(size=(16_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(set)
+    for r in ann.search(df, "vec_id % 100 = 0").collect():
+        got[r.query_id].add(r.vec_id)
+    recall = [len(got[q] & set(np.argsort(-(x @ x[q]), kind="stable")[1:21].tolist())) / 20 for q in range(0, len(x), 100)]
+    assert np.mean(recall) >= 0.9
+
+
 def test_language_id(spark, sf, odd):
     model = language_id.train(odd)
     out = rows(language_id.predict(odd, model, ["doc_id", "lang", "text"]))
