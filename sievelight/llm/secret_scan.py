@@ -2,7 +2,8 @@
 
 Every text is scanned for the base kinds; then encoded regions (URL escapes, backslash-u escapes, base64, and
 gzip or zlib data inside base64) are unwrapped, each layer is scanned again and its own regions join the
-worklist, until nothing new appears. A layer whose digest was already seen is a cycle and isn't followed.
+worklist, until nothing new appears. A layer that equals one around it is a cycle and isn't followed; equal layers
+elsewhere are unwrapped once, and their spans are mapped to every place where they occur.
 Every finding maps back to the outermost characters that carry it.
 
 Edge cases: null counts as empty; undecodable regions are left alone; the same span found through several
@@ -109,21 +110,36 @@ def _inflate(data: bytes) -> Iterator[bytes]:
 
 def all_spans(raw: bytes, base: list[tuple[int, int, int]] | None = None) -> set[tuple[int, int, int]]:
     """The base matches, with the source spans of those found in any decoded layer."""
-    found = set(base_matches(raw) if base is None else base)
-    seen = {hashlib.blake2b(raw, digest_size=16).digest()}
-    work = [(raw, None)]
-    while work:
-        layer, up = work.pop()
-        for inner, place in _layers(layer):
-            digest = hashlib.blake2b(inner, digest_size=16).digest()
-            to = place if up is None else (lambda s, e, place=place, up=up: up(*place(s, e)))
+    # A frame of the walk: digest, spans so far, regions still to come, place in the layer around it, depth of the
+    # outermost layer around it that one of its cycles returns to.
+    digest = hashlib.blake2b(raw, digest_size=16).digest()
+    stack = [[digest, set(base_matches(raw) if base is None else base), _layers(raw), None, 0]]
+    around, done = {digest: 0}, {}
+    while True:
+        frame = stack[-1]
+        for inner, place in frame[2]:
             if not inner:
                 continue
-            found.update((*to(s, e), k) for s, e, k in base_matches(inner))
-            if digest not in seen:
-                seen.add(digest)
-                work.append((inner, to))
-    return found
+            digest = hashlib.blake2b(inner, digest_size=16).digest()
+            if digest in around:
+                frame[4] = min(frame[4], around[digest])
+                spans = base_matches(inner)
+            elif digest in done:
+                spans = done[digest]
+            else:
+                around[digest] = len(stack)
+                stack.append([digest, set(base_matches(inner)), _layers(inner), place, len(stack)])
+                break
+            frame[1].update((*place(s, e), k) for s, e, k in spans)
+        else:
+            digest, found, _, place, back = stack.pop()
+            del around[digest]
+            if not stack:
+                return found
+            if back == len(stack):
+                done[digest] = found
+            stack[-1][4] = min(stack[-1][4], back)
+            stack[-1][1].update((*place(s, e), k) for s, e, k in found)
 
 
 _MAYBE = re.compile(rb"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|[A-Za-z0-9+/_-]{16}")

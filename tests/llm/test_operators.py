@@ -430,6 +430,30 @@ def test_secret_layers():
     assert secret_scan.mask("a token=abcdef b", secret_scan.scan_text("a token=abcdef b")[1]) == "a [SECRET] b"
 
 
+def test_equal_secret_layers_all_have_spans():
+    one = base64.b64encode(b"password=hunter22").decode()
+    two = base64.b64encode(one.encode()).decode()
+    zipped = base64.b64encode(gzip.compress(two.encode(), mtime=0)).decode()
+    for wrapped in (two, zipped, "".join(f"%{ord(c):02X}" for c in one)):
+        text = f"{wrapped} middle {wrapped}\n{wrapped}"
+        starts = [m.start() for m in re.finditer(re.escape(wrapped), text)]
+        spans = secret_scan.scan_text(text)[1]
+        assert len(starts) == 3 and all(any(at <= s < e <= at + len(wrapped) for s, e, _ in spans) for at in starts), wrapped
+        assert wrapped not in secret_scan.mask(text, spans)
+    # An equal layer inside another one, met before or after it.
+    outer = base64.b64encode(f"see {two} there".encode()).decode()
+    for text in (f"{two} {outer}", f"{outer} {two}"):
+        masked = secret_scan.mask(text, secret_scan.scan_text(text)[1])
+        assert two not in masked and outer not in masked
+
+
+def test_secret_cycles_end(monkeypatch):
+    # a's layer is b, b's are a and c, c's is a: a cycle that must not hide what c holds where c also occurs outside.
+    links = {b"root": [b"a", b"c"], b"a": [b"b"], b"b": [b"a", b"c"], b"c": [b"a", b"token=abcdef"]}
+    monkeypatch.setattr(secret_scan, "_layers", lambda raw: iter([(x, lambda s, e, i=i: (i, i + 1)) for i, x in enumerate(links.get(raw, []))]))
+    assert secret_scan.all_spans(b"root") == {(0, 1, 0), (1, 2, 0)}
+
+
 def test_secret_query(spark, odd):
     extra = spark.createDataFrame([(1, "token=abcdef, x"), (2, None), (3, "AKIA" + "Z" * 30)], "doc_id long, text string")
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.spans) for r in secret_scan.scan(extra, ["doc_id"]).collect()}
