@@ -86,9 +86,9 @@ def _layers(raw: bytes) -> Iterator[tuple[bytes, callable]]:
         except ValueError:
             continue
         whole = (m.start(), m.end())
-        if out[:2] == b"\x1f\x8b" or out[:1] == b"\x78":
+        if out[:2] == b"\x1f\x8b" or out[:1] == b"\x78" and int.from_bytes(out[:2], "big") % 31 == 0:
             yield from ((piece, lambda s, e, w=whole: w) for piece in _inflate(out))
-        elif _PRINTABLE.fullmatch(out):
+        if _PRINTABLE.fullmatch(out):  # also after a header: a text can begin like one
             yield out, lambda s, e, w=whole: (w[0] + s // 3 * 4, min(w[1], w[0] + -(-e // 3) * 4))
 
 

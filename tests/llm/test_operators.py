@@ -454,6 +454,17 @@ def test_secret_cycles_end(monkeypatch):
     assert secret_scan.all_spans(b"root") == {(0, 1, 0), (1, 2, 0)}
 
 
+def test_secret_in_base64_of_a_text_that_begins_like_zlib():
+    deep = base64.b64encode(b"password=hunter22").decode()
+    for inner in ("x-token: AbCdEf123456", "x^ token=abcdef12", f"x marks {deep}", f"x^3 {deep}"):
+        wrapped = base64.b64encode(inner.encode()).decode()
+        spans = secret_scan.scan_text(f"a {wrapped} b")[1]
+        assert [k for _, _, k in spans] == [0] and all(2 <= s < e <= 2 + len(wrapped) for s, e, _ in spans), inner
+    for level in (0, 1, 6, 9):
+        zipped = base64.b64encode(zlib.compress(b"token=abcdef12 " * 9, level)).decode()
+        assert secret_scan.scan_text(f"a {zipped} b")[1] == [(2, 2 + len(zipped), 0)]
+
+
 def test_secret_query(spark, odd):
     extra = spark.createDataFrame([(1, "token=abcdef, x"), (2, None), (3, "AKIA" + "Z" * 30)], "doc_id long, text string")
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.spans) for r in secret_scan.scan(extra, ["doc_id"]).collect()}
