@@ -55,11 +55,14 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
-def _trigrams(buf: np.ndarray) -> np.ndarray:
-    """Bucket of the trigram at each byte (the last two of a slice see spaces)."""
+def _trigrams(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Bucket of the trigram at each byte (the last two of a text see spaces)."""
     b = np.full(len(buf) + 2, 0x20, np.uint32)
     b[: len(buf)] = _FOLD[buf]
-    key = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+    second, third = b[1:-1].copy(), b[2:].copy()
+    size = np.diff(offs)
+    second[offs[1:][size > 0] - 1] = third[offs[1:][size > 0] - 1] = third[offs[1:][size > 1] - 2] = 0x20
+    key = b[:-2] << 16 | second << 8 | third
     bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(17)
     bucket[key == 0x202020] = 0
     return bucket.astype(np.int32)
@@ -80,7 +83,7 @@ def train(documents: DataFrame, id_col: str = "doc_id", folds: int = 5) -> dict:
         for b in batches:
             which = [number[x] for x in b.column(0).to_pylist()]
             for lo, hi, buf, offs in ts.text_slices(b.column(1)):
-                grams = _trigrams(buf)
+                grams = _trigrams(buf, offs)
                 lang = np.repeat(np.array(which[lo:hi], np.int64), np.diff(offs))
                 total += np.bincount(lang * BUCKETS + grams, minlength=total.size).reshape(total.shape)
         for i, row in enumerate(total):
@@ -135,7 +138,7 @@ def predict(documents: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             n, texts = b.num_rows, b.column(len(keep))
             pred, score = ["und"] * n, np.zeros(n)
             for lo, hi, buf, offs in ts.text_slices(texts) if langs else ():
-                grams = _trigrams(buf)
+                grams = _trigrams(buf, offs)
                 live = grams != 0
                 size = np.diff(offs)
                 full = np.flatnonzero(size)

@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievelight.llm import ann, bpe, decontaminate, html_extract, language_id, ngram_join, queries, secret_scan, suffix_dedup, textscan, token_shards, url_filters
 from sievelight.operators.clusters import components
@@ -173,6 +174,17 @@ def test_language_id(spark, sf, odd):
     assert {r["lang_pred"] for r in rows(language_id.predict(odd, one, ["doc_id"]))} == {"und", "en"}
 
 
+def test_language_does_not_depend_on_neighbours(spark, odd):
+    model = language_id.train(odd)
+    other = language_id.train(odd.orderBy(F.desc("doc_id")).coalesce(1))
+    assert np.array_equal(model["weights"], other["weights"])
+    words = sorted({w for r in odd.limit(20).collect() for w in (r.text or "").split()})[:150] + ["a", "é", "", "ab c"]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    alone = {r.doc_id: (r.lang_pred, round(r.score, 12)) for r in language_id.predict(docs.repartition(len(words), "doc_id"), model, ["doc_id"]).collect()}
+    for order in (F.asc("doc_id"), F.desc("doc_id"), F.xxhash64("doc_id")):
+        assert alone == {r.doc_id: (r.lang_pred, round(r.score, 12)) for r in language_id.predict(docs.orderBy(order).coalesce(1), model, ["doc_id"]).collect()}
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 9, 40])
 def test_codewords_are_apart(n):
     code = language_id.codewords(n)
