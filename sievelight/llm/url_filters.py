@@ -61,7 +61,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, reverse: bool = False, rounds:
     base = seeds.select("host", (F.col("weight") * (1 - damping)).alias("score"))
     for i in range(rounds):
         moved = steps.join(score, steps.src == score.host).groupBy("dst").agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
-        score = base.unionByName(moved.withColumnRenamed("dst", "host")).groupBy("host").agg(F.sum("score").alias("score"))
+        stuck = score.join(out, score.host == out.src, "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("stuck"))  # one row
+        back = seeds.crossJoin(stuck).select("host", (F.col("weight") * F.col("stuck") * damping).alias("score"))
+        score = base.unionByName(back).unionByName(moved.withColumnRenamed("dst", "host")).groupBy("host").agg(F.sum("score").alias("score"))
         if (i + 1) % cut_every == 0 and i + 1 < rounds:
             score = score.checkpoint()
     return score

@@ -321,6 +321,22 @@ def test_pagerank_against_matrix(spark):
         assert abs(got.get(f"h{i}", 0.0) - score[i]) < 1e-12
 
 
+@pytest.mark.parametrize("reverse", [False, True])
+def test_dangling_hosts_return_their_mass(spark, reverse):
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("d", "a", 1), ("d", "e", 3)]  # c and e lead nowhere, d is reached by none
+    seeds = {"a": 0.25, "e": 0.25, "d": 0.5}
+    found = url_filters.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(list(seeds.items()), "host string, weight double"), reverse=reverse)
+    got = {r.host: r.score for r in found.collect()}
+    m, base = np.zeros((5, 5)), np.array([seeds.get(h, 0.0) for h in "abcde"])
+    for a, b, n in edges:
+        m["abcde".index(a if reverse else b), "abcde".index(b if reverse else a)] = n
+    m = np.where(m.sum(0) > 0, m / np.maximum(1, m.sum(0)), base[:, None])
+    score = base.copy()
+    for _ in range(8):
+        score = 0.15 * base + 0.85 * m @ score
+    assert sum(got.values()) == pytest.approx(1) and [got.get(h, 0.0) for h in "abcde"] == pytest.approx(score.tolist())
+
+
 TEXTS = ["", "  lead", "a", "x<|endoftext|>y  z", "tab\t\tfoo \n\n bar  ", "é è x\u00a0y  z", "日本語 テスト", "a" * 3000, "it's  I'll\r\n  don't", "\u3000x \u3000 y", "x\x1cy", "x  y\u2028z", "'s 't", "🙂 ok🙂", "\x00\x01 a"]
 
 
