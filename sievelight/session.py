@@ -20,14 +20,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, fallback: str = "/tmp/sievelight-checkpoints") -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where none is set (as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or fallback
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where none is set, a local session gets one beside its warehouse; a cluster must name one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes an intermediate folder that this engine wrote, in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, so that what follows survives lost executors and isn't computed twice."""
     shared_folder(df.sparkSession)
