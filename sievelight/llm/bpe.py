@@ -11,7 +11,8 @@ and encoded where missing: by the tokenizers library, or, where its file is a pl
 the same vocabulary, which gives the same ids in a third of the time.
 
 Edge cases: null counts as empty (no ids, empty decoded text); the text of a special token in a document becomes
-that token's id, as in the library; a text without white space is one piece.
+that token's id, as in the library; a text without white space is one piece; very long texts are encoded whole;
+repeated rows give equal rows; an empty table gives an empty result; only the columns asked for are kept.
 """
 
 from __future__ import annotations
@@ -283,7 +284,7 @@ def decode_ids(ids: np.ndarray, path: str) -> str:
 def encode(documents: DataFrame, path: str | None = None, keep: list[str] | None = None, decode: bool = False) -> DataFrame:
     """``keep`` with ids (array<int>) of each text and, if asked for, the text decoded from them."""
     path, keep = path or default_path(), documents.columns if keep is None else keep
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
+    schema = ts.widened(documents.select(*keep), "ids array<int>" + ", decoded string" * decode)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,13 +295,13 @@ def encode(documents: DataFrame, path: str | None = None, keep: list[str] | None
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], [*keep, *names])
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, f"{schema}, ids array<int>" + ", decoded string" * decode)
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, schema)
 
 
 def digests(documents: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
     """``keep`` with the number of ids and the digests of ids and decoded text; the ids never leave the task."""
     path = path or default_path()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
+    schema = ts.widened(documents.select(*keep), "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,4 +312,4 @@ def digests(documents: DataFrame, keep: list[str], path: str | None = None) -> D
                 back.append(hashlib.sha256(decode_ids(ids, path).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, schema)

@@ -7,7 +7,8 @@ same verification.
 
 Edge cases: a null or empty text has no words and is clean; an item without words has no window; an item
 shorter than ``width`` words is one window; repeated items and repeated rows each keep their own result; a
-null item id still makes hits but isn't listed; extra columns of either table are ignored.
+null item id still makes hits but isn't listed; very long texts are scanned whole; windows equal in several items name
+all of them; extra columns of either table are ignored by ``scan`` and, whatever their names, kept by ``remove_contaminated``.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], width: int
     if len(few) > max_broadcast:
         return _scan_by_shuffle(documents, windows, keep)
     shared = spark.sparkContext.broadcast([tuple(r) for r in few])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema) + ", " + _RESULT
+    schema = ts.widened(documents.select(*keep), _RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = None
@@ -178,9 +179,9 @@ def _scan_by_shuffle(documents: DataFrame, windows: DataFrame, keep: list[str])
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, mode: str = "documents", **options) -> DataFrame:
     """``documents``: drops contaminated rows. ``spans``: cuts the verified hit spans out of contaminated texts instead."""
-    judged = scan(documents, benchmark, documents.columns, **options)
     if mode == "documents":
-        return judged.where(~F.col("contaminated")).select(*documents.columns)
+        return scan(ts.boxed(documents, "text"), benchmark, ["__row"], **options).where(~F.col("contaminated")).select("__row.*")
+    judged = scan(ts.boxed(documents, "text"), benchmark, ["__row", "text"], **options)
 
     @F.pandas_udf("string")
     def cut(text, spans, bad):
@@ -195,4 +196,4 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, mode: str =
 
         return text.combine(spans, lambda t, s: (t, s)).combine(bad, lambda p, c: one(p[0], p[1], c))
 
-    return judged.withColumn("text", cut("text", "hit_spans", "contaminated")).select(*documents.columns)
+    return judged.withColumn("text", cut(F.col("text").cast("string"), "hit_spans", "contaminated")).select(*(F.col("text") if c == "text" else F.col(f"__row.`{c}`") for c in documents.columns))

@@ -224,11 +224,11 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` with the main text and its length in code points."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
+    schema = ts.widened(pages.select(*keep), "text string, n_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(x.as_py()) for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*keep, F.col("html").cast("string").alias("__html")).transform(ts.in_batches, run, f"{schema}, text string, n_chars long")
+    return pages.select(*keep, F.col("html").cast("string").alias("__html")).transform(ts.in_batches, run, schema)

@@ -9,7 +9,9 @@ Training needs no sample: every task sums the trigram counts of its texts per la
 and the matrices are added. What reaches the driver is one matrix of languages x ``BUCKETS``.
 
 Edge cases: null or letterless text is ``und`` with score 0; null languages don't train; without any training
-text everything is ``und``; one language alone is always predicted; ties go to the first language by name.
+text everything is ``und``; one language alone is always predicted; ties go to the first language by name; very long
+texts count whole; repeated rows count and are judged each; an empty table gives an empty result; only the columns
+asked for are kept, and none of them is an input.
 """
 
 from __future__ import annotations
@@ -130,7 +132,7 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def predict(documents: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """``keep`` with lang_pred, score and ambiguous, from the text alone."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x 64 bits x BUCKETS floats
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
+    schema = ts.widened(documents.select(*keep), "lang_pred string, score double, ambiguous boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, code, weights = (shared.value[k] for k in ("langs", "code", "weights"))
@@ -158,7 +160,7 @@ def predict(documents: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                     pred[lo + d], score[lo + d] = langs[best[d]], float(sure[d])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(pred, pa.string()), pa.array(score), pa.array(score < AMBIGUOUS)], [*keep, "lang_pred", "score", "ambiguous"])
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, schema)
 
 
 def held_out(doc_id, folds: int = 5) -> bool:

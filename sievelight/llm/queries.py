@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelight.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,9 +26,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import ann
-    from sievelight.llm.textscan import checkpoint_root
 
-    checkpoint_root(spark)
+    shared_folder(spark)
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
@@ -46,9 +47,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelight.llm import url_filters
-    from sievelight.llm.textscan import checkpoint_root
 
-    checkpoint_root(spark)
+    shared_folder(spark)
     return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 

@@ -163,7 +163,7 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[
 
 def scan(documents: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` with counts per base kind, the base digest, all spans as text and as an array of code point spans."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
+    schema = ts.widened(documents.select(*keep), "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<start:int,end:int,kind:string>>")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))]
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"]
 
@@ -181,7 +181,7 @@ def scan(documents: DataFrame, keep: list[str]) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], [*keep, *names])
 
-    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, f"{schema}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<start:int,end:int,kind:string>>")
+    return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, run, schema)
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int]], filler: str = "[SECRET]") -> str | None:

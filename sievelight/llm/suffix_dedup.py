@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm import textscan as ts
+from sievelight.session import shared_folder
 
 LENGTH = 200
 GRAM = 32
@@ -177,7 +178,7 @@ _FOUND = "k1 long, k2 long, lo long, hi long"
 def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, lo, hi): byte spans, possibly overlapping, that repeated windows cover, by the hashes of the text."""
     spark = documents.sparkSession
-    ts.checkpoint_root(spark)
+    shared_folder(spark)
     docs = _keyed(documents)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +298,6 @@ def _dealt(out: list[tuple], splitters: np.ndarray) -> pa.RecordBatch:
 def dedup(documents: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """``keep`` with n_bytes, n_removed, n_spans and kept_sha256, and with ``texts`` also the bytes kept."""
     spans = repeated_spans(documents, length, gram).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))  # of one text
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,5 +323,5 @@ def dedup(documents: DataFrame, keep: list[str], length: int = LENGTH, gram: int
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(*named, F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), text.alias("text"))
     joined = docs.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), F.col("text").alias("__text"), "spans")
-    out = joined.transform(ts.in_batches, run, schema + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = joined.transform(ts.in_batches, run, ts.widened(documents.select(*keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
     return out if texts else out.drop("kept")

@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text scanned at once; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 19
@@ -32,14 +34,14 @@ SOLID = np.ones(256, bool)
 SOLID[0x09:0x0E] = SOLID[0x20] = False
 
 
-def checkpoint_root(spark, fallback: str = "/tmp/sievelight-checkpoints") -> str:
-    """The shared folder the cluster names; sets a local one only where none is set (as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = fallback
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+def widened(df, more: str) -> StructType:
+    """The schema of ``df`` followed by the columns of a DDL string."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def boxed(df, *own: str):
+    """All columns of ``df`` as the one column ``__row``, beside the columns ``own``; helper columns can't clash with them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), *own)
 
 
 def tidied(fn):

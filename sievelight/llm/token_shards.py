@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from sievelight.llm import bpe
 from sievelight.llm import textscan as ts
-from sievelight.llm.textscan import checkpoint_root, mix
+from sievelight.llm.textscan import mix
+from sievelight.session import shared_folder
 
 BLOCK_BYTES = 1 << 20
 #: Documents in an index bucket, on average.
@@ -83,7 +84,7 @@ def slot_of(h: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
 def write(documents: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2, shards: int | None = None) -> str:
     """Encodes and writes ``documents`` (doc_id, text); returns the folder."""
     spark, path = documents.sparkSession, path or bpe.default_path()
-    folder = folder or f"{checkpoint_root(spark)}/token-shards-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
     size = bpe.load(path).get_vocab_size(with_added_tokens=True)
     width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

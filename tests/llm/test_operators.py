@@ -194,13 +194,13 @@ def test_codewords_are_apart(n):
     assert (language_id.decode(margins, code)[0] == np.arange(n)).all()
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(UPPER))
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def brute_components(data, percent=90):
-    sets = [shingles(t) for _, t in data]
+def brute_components(data, percent=90, k=3):
+    sets = [shingles(t, k) for _, t in data]
     root = list(range(len(data)))
 
     def find(i):
@@ -235,6 +235,9 @@ def test_ngram_jaccard_join(spark, odd, monkeypatch, block):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == collections.Counter(want)
     assert len({w[2] for w in want}) < len(want) - 20
     assert ngram_join.join(docs.limit(0)).count() == 0
+    sets = [shingles(r.text) for r in docs.collect()]
+    links = sorted(sum(bool(x) and 100 * len(x & y) >= 90 * len(x | y) for y in sets) - bool(x) for x in sets)
+    assert sorted(r.n_links for r in got.collect()) == links
     if block == 512:
         kept = ngram_join.keep_one(docs)
         assert kept.columns == docs.columns
@@ -245,16 +248,53 @@ def test_ngram_jaccard_join(spark, odd, monkeypatch, block):
         assert kept.count() == len(comps) + empty
 
 
-def test_similar_sets_share_a_prefix():
-    rng = np.random.default_rng(8)
-    for n in (*range(1, 40), 100, 137, 400, 1300):
-        for _ in range(12):
-            x = rng.integers(0, 1 << 63, n).astype(np.uint64)
-            most = n * 10 // 100
-            y = np.concatenate((x[rng.integers(0, most + 1) :], rng.integers(0, 1 << 63, rng.integers(0, most // 2 + 1)).astype(np.uint64)))
-            inter, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
-            if 100 * inter >= 90 * union and inter < union:
-                assert np.intersect1d(ngram_join.signatures(x), ngram_join.signatures(y)).size
+def batches_of(token, f1, df, cuts):
+    order = np.lexsort((f1, token))
+    for part in np.array_split(order, cuts):
+        yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(f1[part]), pa.array(df[part])], ["token", "f1", "df"])
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 90])
+@pytest.mark.parametrize("hot", [False, True])
+def test_similar_sets_share_a_prefix_under_every_order(percent, hot):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for n in (*range(1, 40), 100, 137, 400):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        sets.append(x)
+        for _ in range(6):
+            gone = rng.integers(0, len(x) * (100 - percent) // 100 + 1)
+            sets.append(np.unique(np.concatenate((x[rng.permutation(len(x))[gone:]], rng.integers(0, 1 << 63, rng.integers(0, 3)).astype(np.uint64)))))
+    common = np.sort(rng.permutation(np.unique(np.concatenate(sets)))[:300]) if hot else np.zeros(0, np.uint64)
+    own = [ngram_join.offered(s, common, percent) for s in sets]
+    token, f1, df = np.concatenate([t for t, _ in own]).view(np.int64), np.repeat(np.arange(len(sets)), [len(t) for t, _ in own]), np.concatenate([d for _, d in own])
+    found = collections.defaultdict(lambda: ([], []))
+    for b in ngram_join.frequencies(batches_of(token, f1, df, 7)):
+        for f, t, d in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            found[f][0].append(t)
+            found[f][1].append(d)
+    firsts = [ngram_join.prefixes(np.array(found[i][0], np.int64).view(np.uint64), np.array(found[i][1], np.int32), len(s), int(ngram_join.ranked(s, percent).sum()), percent) for i, s in enumerate(sets)]
+    met = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            inter, union = len(np.intersect1d(x, sets[j])), len(np.union1d(x, sets[j]))
+            if 100 * inter >= percent * union and inter < union:
+                met += 1
+                assert all(np.intersect1d(p, q).size for p, q in zip(firsts[i], firsts[j], strict=True))
+    assert met > 100
+
+
+def test_frequencies_of_common_tokens(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 5)
+    rng = np.random.default_rng(3)
+    token, f1 = rng.integers(0, 40, 900) ** 2 // 40, rng.integers(0, 60, 900)
+    sets = collections.defaultdict(set)
+    for t, f in zip(token.tolist(), f1.tolist(), strict=True):
+        sets[t].add(f)
+    want = {(f, t, min(5, len(s))) for t, s in sets.items() for f in s if len(s) > 1}
+    for cuts in (1, 4, 50, 300):
+        got = [x for b in ngram_join.frequencies(batches_of(token, f1, np.zeros(900, np.int32), cuts)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_components(spark):
@@ -435,7 +475,7 @@ def test_minimal_perfect_hash(n):
 
 def test_secret_base_kinds():
     base, _ = secret_scan.scan_text("é token: \"abcdef12\" secret=token:abcdef API_KEY = 'q1w2e3' passwd=short AKIA" + "A" * 16 + " AKIAX " + "0f" * 12 + " ſecret=abcdef1")
-    assert [(k, e - s) for s, e, k in base] == [(0, 16), (0, 16), (1, 20), (2, 24)]
+    assert [(k, e - s) for s, e, k in base] == [(0, 16), (0, 17), (1, 20), (2, 24)]
     assert base[0][0] == 2
 
 

@@ -14,7 +14,7 @@ from tests.llm.test_operators import UPPER, brute_components
 def test_pipeline(spark, sf):
     docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     docs = [d for d in docs if any(c.isalpha() for c in d["text"] or "")]
-    comps = brute_components([(d["doc_id"], d["text"]) for d in docs])
+    comps = brute_components([(d["doc_id"], d["text"]) for d in docs], percent=80, k=5)
     docs = [d for d, (i, n, c) in zip(docs, comps, strict=True) if i == c or not n]
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     grams = set()
