@@ -1,19 +1,26 @@
 """Secret scans by a recursive decoding worklist.
 
-Every text is scanned for the base kinds; then encoded regions (URL escapes, backslash-u escapes, base64, and
-gzip or zlib data inside base64) are unwrapped, each layer is scanned again and its own regions join the
-worklist, until nothing new appears. A layer that equals one around it is a cycle and isn't followed; equal layers
-elsewhere are unwrapped once, and their spans are mapped to every place where they occur.
+Every text is scanned for the base kinds; then its layers (the text with its URL and backslash-u escapes replaced, the
+bytes behind base64, what gzip and zlib data decompress to) are unwrapped, each layer is scanned again and its own
+layers join the worklist, until nothing new appears. A layer that equals one around it is a cycle and isn't followed;
+equal layers elsewhere are unwrapped once, and their spans are mapped to every place where they occur.
 Every finding maps back to the outermost characters that carry it.
 
-Edge cases: null counts as empty; undecodable regions are left alone; the same span found through several
-layers is reported once; a decompressed layer longer than ``max_layer`` bytes is scanned in overlapping
-pieces, so no layer is cut.
+Escapes nested up to ``ESCAPE_LEVELS`` deep are unwrapped a level at a time. Deeper ones are replaced at once, in time
+proportional to their length: no two escapes overlap, so every order of replacement ends in the same layer. Base64 is
+read at all four alignments of a run, as what stands before it may look like base64 too, and whatever bytes it gives
+are scanned. Compressed data is looked for anywhere in a layer, members and all.
+
+Edge cases: null counts as empty; undecodable regions are left alone; the same span found through several layers is
+reported once; very long texts are scanned whole; a decompressed layer longer than ``MAX_LAYER`` bytes is scanned in
+pieces that overlap by ``_OVERLAP`` (compressed data inside such a layer is read as far as its piece goes); repeated
+rows give equal rows; an empty table gives an empty result; other columns, whatever their names, are kept by ``redact``.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -32,14 +39,14 @@ ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 
-URL_RUN = re.compile(rb"(?:[A-Za-z0-9_.~+/=:&?-]|%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}(?:[A-Za-z0-9_.~+/=:&?-]|%[0-9A-Fa-f]{2})*")
-URL_UNIT = re.compile(rb"%([0-9A-Fa-f]{2})|.", re.S)
-UNICODE_RUN = re.compile(rb"[^\s\\]*\\u[0-9A-Fa-f]{4}(?:\\u[0-9A-Fa-f]{4}|[^\s\\])*")
-UNICODE_UNIT = re.compile(rb"\\u([0-9A-Fa-f]{4})|.", re.S)
+ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})")
 BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PRINTABLE = re.compile(rb"[\x09\x0a\x0d\x20-\x7e\x80-\xff]*")
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+ESCAPE_LEVELS = 8
 MAX_LAYER = 16 << 20
 _OVERLAP = 1 << 16
+_URL_SAFE = bytes.maketrans(b"-_", b"+/")
+_HEX_DIGITS = frozenset(b"0123456789abcdefABCDEF")
 
 
 def base_matches(raw: bytes) -> list[tuple[int, int, int]]:
@@ -51,61 +58,108 @@ def base_matches(raw: bytes) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _units(raw: bytes, unit: re.Pattern, put) -> tuple[bytes, list[int], list[int]]:
-    """Decoded bytes, with the source start and end of each."""
-    out, lo, hi = bytearray(), [], []
-    for m in unit.finditer(raw):
-        x = put(m[1]) if m[1] is not None else m[0]
-        out += x
-        lo += [m.start()] * len(x)
-        hi += [m.end()] * len(x)
-    return bytes(out), lo, hi
+def _said_by(m: re.Match) -> bytes:
+    return bytes([int(m[1], 16)]) if m[1] else chr(int(m[2], 16)).encode("utf-8", "replace")
 
 
-def _unicode_char(x: bytes) -> bytes:
-    c = chr(int(x, 16))
-    return c.encode("utf-8", "replace")
+def unescaped(raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """One level of escapes replaced, with the start and end in ``raw`` of each byte."""
+    found = [(m.start(), m.end(), len(_said_by(m))) for m in ESCAPE.finditer(raw)]
+    starts, ends, size = np.array(found, np.int64).reshape(-1, 3).T
+    inside = np.zeros(len(raw) + 1, np.int64)
+    inside[starts] += 1
+    inside[ends] -= 1
+    weight = (np.cumsum(inside[:-1]) == 0).astype(np.int64)
+    weight[starts] = size
+    end = np.arange(1, len(raw) + 1)
+    end[starts] = ends
+    lo = np.repeat(np.arange(len(raw)), weight)
+    return ESCAPE.sub(_said_by, raw), lo, end[lo]
 
 
-def _layers(raw: bytes) -> Iterator[tuple[bytes, callable]]:
-    """Decoded regions of a layer; each with a function from its byte range to this layer's."""
-    if b"%" in raw:
-        for m in URL_RUN.finditer(raw):
-            out, lo, hi = _units(m[0], URL_UNIT, lambda x: bytes([int(x, 16)]))
-            yield out, lambda s, e, lo=lo, hi=hi, at=m.start(): (at + lo[s], at + hi[e - 1])
-    if b"\\u" in raw:
-        for m in UNICODE_RUN.finditer(raw):
-            out, lo, hi = _units(m[0], UNICODE_UNIT, _unicode_char)
-            yield out, lambda s, e, lo=lo, hi=hi, at=m.start(): (at + lo[s], at + hi[e - 1])
-    for m in BASE64_RUN.finditer(raw):
-        body = m[0].rstrip(b"=").replace(b"-", b"+").replace(b"_", b"/")
-        if len(body) % 4 == 1 or body.isalpha() and (body.islower() or body[1:].islower()):
-            continue  # can't be base64 of a text, or is a plain word
-        try:
-            out = base64.b64decode(body + b"=" * (-len(body) % 4))
-        except ValueError:
-            continue
-        whole = (m.start(), m.end())
-        if out[:2] == b"\x1f\x8b" or out[:1] == b"\x78" and int.from_bytes(out[:2], "big") % 31 == 0:
-            yield from ((piece, lambda s, e, w=whole: w) for piece in _inflate(out))
-        if _PRINTABLE.fullmatch(out):  # also after a header: a text can begin like one
-            yield out, lambda s, e, w=whole: (w[0] + s // 3 * 4, min(w[1], w[0] + -(-e // 3) * 4))
-
-
-def _inflate(data: bytes) -> Iterator[bytes]:
-    """The decompressed bytes, in pieces of bounded size that overlap."""
-    z, held = zlib.decompressobj(47), b""
-    try:
+def normal_form(raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All levels of escapes replaced, in one pass with a stack: a new byte may end an escape that began before it."""
+    out, lo, hi = bytearray(), [], []
+
+    def put(x: int, a: int, z: int) -> None:
         while True:
-            piece = z.decompress(data, MAX_LAYER)
-            data = z.unconsumed_tail
-            if held or piece:
-                yield held[-_OVERLAP:] + piece
-            held = piece
-            if z.eof or not data:
+            out.append(x)
+            lo.append(a)
+            hi.append(z)
+            if x not in _HEX_DIGITS:
                 return
-    except zlib.error:
-        return
+            if out[-3:-2] == b"%" and out[-2] in _HEX_DIGITS:
+                n, said = 3, bytes([int(out[-2:], 16)])
+            elif out[-6:-4] == b"\\u" and _HEX_DIGITS.issuperset(out[-4:]):
+                n, said = 6, chr(int(out[-4:], 16)).encode("utf-8", "replace")
+            else:
+                return
+            a = lo[-n]
+            del out[-n:], lo[-n:], hi[-n:]
+            for y in said[:-1]:
+                out.append(y)
+                lo.append(a)
+                hi.append(z)
+            x = said[-1]
+
+    at = 0
+    for m in re.finditer(rb"[%\\]", raw):  # plain bytes before the first escape can't change
+        at = m.start()
+        break
+    out += raw[:at]
+    lo += range(at)
+    hi += range(1, at + 1)
+    for i in range(at, len(raw)):
+        put(raw[i], i, i + 1)
+    return bytes(out), np.array(lo, np.int64), np.array(hi, np.int64)
+
+
+def _layers(raw: bytes) -> Iterator[tuple[bytes, callable]]:
+    """The layers directly below one; each with a function from its byte range to this layer's."""
+    if ESCAPE.search(raw):
+        one, lo, hi = unescaped(raw)
+        deep, levels = one, 1
+        while levels <= ESCAPE_LEVELS and ESCAPE.search(deep):
+            deep, levels = ESCAPE.sub(_said_by, deep), levels + 1
+        if levels > ESCAPE_LEVELS:
+            one, lo, hi = normal_form(raw)
+        yield one, lambda s, e: (int(lo[s]), int(hi[e - 1]))
+    for m in BASE64_RUN.finditer(raw):
+        body = m[0].rstrip(b"=").translate(_URL_SAFE)
+        if body.isalpha() and (body.islower() or body[1:].islower()):
+            continue  # a plain word
+        for skip in range(4):
+            own = body[skip:]
+            own = own[: len(own) - (len(own) % 4 == 1)]
+            start, end = m.start() + skip, m.end()
+            yield base64.b64decode(own + b"=" * (-len(own) % 4)), lambda s, e, a=start, z=end: (a + s // 3 * 4, min(z, a + -(-e // 3) * 4))
+    at = 0
+    while m := COMPRESSED.search(raw, at):
+        at = m.start() + 1
+        for piece, end in _inflate(raw, m.start()):
+            at = max(at, end)
+            yield piece, lambda s, e, w=(m.start(), end): w
+
+
+def _inflate(raw: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """What the members from ``at`` on decompress to, in pieces of bounded size that overlap, each with the end of what was read for it."""
+    data, held, fresh = memoryview(raw)[at:], b"", False
+    with contextlib.suppress(zlib.error):
+        while COMPRESSED.match(data):
+            z = zlib.decompressobj(47)
+            while not z.eof:
+                piece = z.decompress(data, MAX_LAYER)
+                data = z.unused_data if z.eof else z.unconsumed_tail
+                held, fresh = held + piece, fresh or bool(piece)
+                if len(held) >= MAX_LAYER:
+                    yield held, len(raw) - len(data)
+                    held, fresh = held[-_OVERLAP:], False
+                if not piece:
+                    break
+            if not z.eof:
+                break
+    if fresh:
+        yield held, len(raw) - len(data)
 
 
 def all_spans(raw: bytes, base: list[tuple[int, int, int]] | None = None) -> set[tuple[int, int, int]]:
