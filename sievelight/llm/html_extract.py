@@ -1,15 +1,19 @@
 """HTML main-text extraction by a minimum cut over the blocks of each page.
 
-A page becomes a list of text blocks with their DOM path. A small linear classifier turns each block's features
-into two costs (content, boilerplate), the terminal capacities. Neighbouring blocks and blocks of the same parent
-are tied by smoothness edges. The minimum cut labels all blocks at once; its source side is the main text.
+A page becomes a list of text blocks with their place in the DOM. A small linear classifier turns each block's features
+into log-odds, the terminal capacities. Neighbouring blocks, the more of the DOM path they share, and blocks of the same
+parent are tied by smoothness edges of the same scale, so a block without telling features goes with its surroundings.
+The minimum cut labels all blocks at once; its source side is the main text.
 
-Blocks inside elements that never hold content (scripts, styles, navigation, forms, and so on) aren't nodes. A node
-whose terminal costs differ by more than all its ties can't change sides, so it's settled before the max-flow and its
-ties become costs of its neighbours; that keeps the cut exact and the flow network small.
+Text that is never shown (scripts, styles, the head, and so on) makes no blocks; menus, footers and forms do, with costs
+of their own. A node whose terminal costs differ by more than all its ties can't change sides, so it's settled before
+the max-flow and its ties become costs of its neighbours; that keeps the cut exact and the flow network small.
 
-Edge cases: null or empty html gives an empty text; markup that never closes is closed at the end of the page;
-repeated pages give repeated rows.
+Parsing takes time in proportion to the page, however its tags are nested or left open.
+
+Edge cases: null or empty html gives an empty text; markup that never closes is closed at the end of the page; very long
+pages are handled whole; a node that either side of the cut would hold at the same cost is boilerplate; repeated pages
+give repeated rows; an empty table gives an empty result; only the columns asked for are kept.
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ from sievelight.llm import textscan as ts
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
-NEVER = frozenset("script style noscript template head nav footer form button select textarea iframe svg math object canvas menu dialog title option".split())
+NEVER = frozenset("script style noscript template head button select textarea iframe svg math object canvas title option".split())
+FRAME = frozenset("nav footer form menu dialog".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>")
 _ATTR = re.compile(r"(?i)\b(class|id|role|aria-label|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 # Fixed word patterns of class, id and role.
 BAD = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|widget\w*|menu|nav\w*|breadcrumbs?|header|masthead|footer|foot|cookie\w*|consent|notice\w*|notification|gdpr|popup|modal|overlay|comments?|commentlist|disqus|replies|reply|respond|related|recommend\w*|share\w*|sharing|social|subscribe|newsletter|signup|login|search|toolbar|pagination|pager|copyright|legal|disclaimer|tags?|alert|complementary|contentinfo|navigation|hidden)(?=$|[\s_-])")
@@ -41,120 +47,162 @@ GOOD = re.compile(r"(?i)(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|
 _SPACE = re.compile(r"\s+")
 
 
-class Block:
-    __slots__ = ("text", "path", "tag", "links", "bad", "good")
-
-    def __init__(self, text, path, tag, links, bad, good):
-        self.text, self.path, self.tag, self.links, self.bad, self.good = text, path, tag, links, bad, good
-
-
-def blocks(page: str) -> list[Block]:
-    """The text blocks in page order, without those inside elements that never hold content."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, 0)]  # tag, node, never, bad, good
-    text: list[str] = []
-    linked, in_link, nodes, raw_until = 0, 0, 0, None
+IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-    def flush() -> None:
-        nonlocal text, linked
-        if text:
-            joined = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
-            if joined and not stack[-1][2]:
-                out.append(Block(joined, tuple(x[1] for x in stack), next((x[0] for x in reversed(stack) if x[0] in BLOCK), ""), min(1.0, linked / len(joined)), stack[-1][3], stack[-1][4]))
-        text, linked = [], 0
 
-    at = 0
-    while True:
-        if raw_until is not None:
-            m = re.compile(rf"(?i)</{re.escape(raw_until)}\s*>").search(page, at)
-            at = len(page) if m is None else m.start()
-            raw_until = None
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece and not stack[-1][2]:
-            text.append(piece)
-            if in_link:
-                linked += len(piece)
-        if m is None:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag in BLOCK:
-                flush()
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
-                    if stack[-1][0] in BLOCK:
-                        flush()
-                    in_link -= stack[-1][0] == "a"
-                    stack.pop()
-                stack.pop()
-                in_link -= tag == "a"
-            continue
+class Block:
+    __slots__ = ("text", "node", "tag", "links", "bad", "good", "frame")
+
+    def __init__(self, text, node, tag, links, bad, good, frame):
+        self.text, self.node, self.tag, self.links, self.bad, self.good, self.frame = text, node, tag, links, bad, good, frame
+
+
+class Page:
+    """The text blocks of a page in order, and the tree of its elements: the parent and depth of each, the root being 0."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.parent, self.depth = [0], [0]
+        self.has_article = False
+        # Open elements: tag, node, never shown, bad, good, frame; places of the block elements among them; how often each tag is open.
+        self._stack: list[tuple[str, int, bool, int, int, bool]] = [("", 0, False, 0, 0, False)]
+        self._block_at: list[int] = []
+        self._open: dict[str, int] = {}
+        self._text: list[str] = []
+        self._linked = 0
+        self._read(page)
+
+    def _flush(self) -> None:
+        if self._text:
+            joined = _SPACE.sub(" ", _html.unescape("".join(self._text))).strip()
+            _, node, never, bad, good, frame = self._stack[-1]
+            if joined and not never:
+                tag = self._stack[self._block_at[-1]][0] if self._block_at else ""
+                self.blocks.append(Block(joined, node, tag, min(1.0, self._linked / len(joined)), bad, good, frame))
+        self._text, self._linked = [], 0
+
+    def _pop(self) -> str:
+        tag = self._stack.pop()[0]
+        self._open[tag] -= 1
+        if self._block_at and self._block_at[-1] == len(self._stack):
+            self._block_at.pop()
+        return tag
+
+    def _words(self, piece: str) -> None:
+        if piece and not self._stack[-1][2]:
+            self._text.append(piece)
+            if self._open.get("a"):
+                self._linked += len(piece)
+
+    def _read(self, page: str) -> None:
+        at, last = 0, page.rfind(">")
+        while (mark := page.find("<", at)) >= 0:
+            if page.startswith("<!--", mark):
+                self._words(page[at:mark])
+                end = page.find("-->", mark + 4)
+                at = len(page) if end < 0 else end + 3
+                continue
+            name = _NAME.match(page, mark)
+            if name is None and page[mark + 1 : mark + 2] not in ("!", "?") or mark > last:
+                self._words(page[at : mark + 1])
+                at = mark + 1
+                continue
+            self._words(page[at:mark])
+            if page.startswith("<![CDATA[", mark):
+                end = page.find("]]>", mark)
+                at = len(page) if end < 0 else end + 3
+                continue
+            rest = _REST.match(page, name.end()) if name else None
+            at = rest.end() if rest else page.find(">", mark) + 1
+            if name is None:
+                continue
+            tag = name[1].lower()
+            if page[mark + 1] == "/":
+                self._end(tag)
+            elif self._start(tag, page[name.end() : at - 1]) and tag in RAW:
+                close = re.compile(rf"(?i)</{re.escape(tag)}\s*>").search(page, at)
+                at = len(page) if close is None else close.start()
+        self._words(page[at:])
+        self._flush()
+
+    def _end(self, tag: str) -> None:
+        if tag in BLOCK:
+            self._flush()
+        if self._open.get(tag):
+            while True:
+                if self._stack[-1][0] in BLOCK:
+                    self._flush()
+                if self._pop() == tag:
+                    return
+
+    def _start(self, tag: str, attributes: str) -> bool:
+        """Whether the element is open now."""
         if tag == "br":
-            text.append(" ")
-            continue
+            self._words(" ")
+            return False
         if tag in BLOCK:
-            flush()
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            _close_implied(stack, tag)
+            self._flush()
+        if (tag in CLOSES_P or tag in IMPLIED) and self._block_at and self._stack[self._block_at[-1]][0] in IMPLIED.get(tag, ("p",)):
+            keep = self._block_at[-1]  # with the inline elements in it
+            while len(self._stack) > keep:
+                self._pop()
         if tag in VOID:
-            continue
-        in_link = sum(x[0] == "a" for x in stack)
-        bad, good, never = stack[-1][3], stack[-1][4], stack[-1][2] or tag in NEVER
-        if m[3]:
-            attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(m[3])}
+            return False
+        _, node, never, bad, good, frame = self._stack[-1]
+        never = never or tag in NEVER
+        if attributes:
+            attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attributes)}
             named = " ".join(attrs.get(k, "") for k in ("class", "id", "role", "aria-label", "itemprop"))
             bad += bool(named and BAD.search(named))
             good += bool(named and GOOD.search(named))
             never = never or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        bad += tag == "aside" or tag == "header" and not any(x[0] in ("article", "main") for x in stack)
-        good += tag in ("article", "main")
-        nodes += 1
-        if not m[3].endswith("/") or tag in BLOCK:
-            stack.append((tag, nodes, never, bad, good))
-            in_link += tag == "a"
-            if tag in RAW:
-                raw_until = tag
-    flush()
-    return out
-
-
-def _close_implied(stack: list, tag: str) -> None:
-    """Elements that a start tag closes: an open p (with inline elements in it), or a sibling of the same list or row."""
-    ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ("p",))
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] in ends:
-            del stack[i:]
-            return
-        if stack[i][0] in BLOCK:
-            return
-
-
-# Weights of the linear block classifier: positive is content.
-BIAS, W_GOOD, W_BAD, W_LENGTH, W_LINK, W_HEADING, W_STOP, W_PARAGRAPH = -0.4, 3.0, -6.0, 0.9, -3.0, 0.6, 0.5, 0.6
-TIE_NEXT, TIE_PARENT = 0.5, 0.4
-
-
-def score(b: Block) -> float:
+        main = tag in ("article", "main")
+        bad += tag == "aside" or tag == "header" and not (self._open.get("article") or self._open.get("main"))
+        good += main
+        self.has_article |= main
+        if attributes.endswith("/") and tag not in BLOCK:
+            return False
+        self.parent.append(node)
+        self.depth.append(self.depth[node] + 1)
+        if tag in BLOCK:
+            self._block_at.append(len(self._stack))
+        self._stack.append((tag, len(self.parent) - 1, never, bad, good, frame or tag in FRAME))
+        self._open[tag] = self._open.get(tag, 0) + 1
+        return True
+
+    def shared(self, a: int, b: int) -> int:
+        """The elements, with the root, that hold both; from one block to the next that takes as many steps as the parser took."""
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return self.depth[a] + 1
+
+
+# Weights of the linear block classifier, as log-odds: positive is content.
+BIAS, W_GOOD, W_BAD, W_FRAME, W_OUTSIDE, W_LENGTH, W_LINK, W_HEADING, W_STOP, W_PARAGRAPH = -0.6, 1.6, -3.2, -6.0, -1.2, 0.5, -1.6, 0.4, 0.4, 0.5
+TIE_NEXT, TIE_PARENT = 1.2, 0.8
+
+
+def score(b: Block, has_article: bool) -> float:
+    """The log-odds of a block. ``outside``: the page names its article, and the block isn't in it."""
     words = b.text.count(" ") + 1
+    outside = has_article and not b.good
     return (
-        BIAS + W_GOOD * min(b.good, 2) + W_BAD * min(b.bad, 2) + W_LENGTH * min(2.5, words / 12) + W_LINK * b.links * (1 if words < 40 else 0.3)
+        BIAS + W_GOOD * min(b.good, 2) + W_BAD * min(b.bad, 2) + W_FRAME * b.frame + W_OUTSIDE * outside + W_LENGTH * min(3.0, words / 12) + W_LINK * b.links * (1 if words < 40 else 0.3)
         + W_HEADING * (b.tag in HEADINGS) + W_STOP * (b.text[-1] in ".!?…\"'”") + W_PARAGRAPH * (b.tag in ("p", "blockquote", "pre"))
     )
 
 
-def ties(found: list[Block]) -> list[tuple[int, int, float]]:
+def ties(page: Page) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours in the page, stronger the more of the DOM path they share, and the next block of the same parent."""
-    edges, last = [], {}
+    edges, last, found = [], {}, page.blocks
     for i, b in enumerate(found):
         if i:
-            p = found[i - 1].path
-            same = sum(x == y for x, y in zip(b.path, p, strict=False))
-            edges.append((i - 1, i, TIE_NEXT * same / max(len(b.path), len(p))))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            p = found[i - 1]
+            edges.append((i - 1, i, TIE_NEXT * page.shared(b.node, p.node) / (max(page.depth[b.node], page.depth[p.node]) + 1)))
+        parent = page.parent[b.node]
         if parent in last and last[parent] != i - 1:
             edges.append((last[parent], i, TIE_PARENT))
         last[parent] = i
@@ -182,44 +230,60 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
     rest = [u for u in range(n) if side[u] is None]
     if rest:
         at = {u: i for i, u in enumerate(rest)}
-        s, t = len(rest), len(rest) + 1
-        cap: list[dict[int, float]] = [{} for _ in range(t + 1)]
-        for u in rest:
-            i = at[u]
-            if net[u] > 0:
-                cap[s][i], cap[i][s] = net[u], 0.0
-            elif net[u] < 0:
-                cap[i][t], cap[t][i] = -net[u], 0.0
-            for v, w in near[u]:
-                if v in at:
-                    cap[i][at[v]] = cap[i].get(at[v], 0.0) + w
-        while True:  # shortest augmenting paths
-            back, queue = {s: s}, deque([s])
-            while queue and t not in back:
-                u = queue.popleft()
-                for v, c in cap[u].items():
-                    if c > 1e-12 and v not in back:
-                        back[v] = u
-                        queue.append(v)
-            if t not in back:
-                break
-            path, v = [], t
-            while v != s:
-                path.append((back[v], v))
-                v = back[v]
-            f = min(cap[u][v] for u, v in path)
-            for u, v in path:
-                cap[u][v] -= f
-                cap[v][u] = cap[v].get(u, 0.0) + f
-        for u in rest:
-            side[u] = at[u] in back
+        arcs = [(at[u], at[v], w, w) for u, v, w in edges if u in at and v in at]
+        arcs += [(len(rest), at[u], net[u], 0.0) if net[u] > 0 else (at[u], len(rest) + 1, -net[u], 0.0) for u in rest]
+        for u, content in zip(rest, _source_side(len(rest) + 2, arcs, len(rest), len(rest) + 1), strict=False):
+            side[u] = content
     return side
 
 
+def _source_side(n: int, arcs: list[tuple[int, int, float, float]], s: int, t: int) -> list[bool]:
+    """Which nodes are reached from s when a flow to t is greatest; arcs are (u, v, capacity, capacity back). By blocking flows along levels."""
+    near: list[list[int]] = [[] for _ in range(n)]
+    head, cap = [], []
+    for u, v, forth, back in arcs:
+        near[u].append(len(head))
+        near[v].append(len(head) + 1)
+        head += [v, u]
+        cap += [forth, back]
+    while True:
+        level = [-1] * n
+        level[s], queue = 0, deque([s])
+        while queue:
+            u = queue.popleft()
+            for e in near[u]:
+                if cap[e] > 1e-12 and level[head[e]] < 0:
+                    level[head[e]] = level[u] + 1
+                    queue.append(head[e])
+        if level[t] < 0:
+            return [x >= 0 for x in level]
+        nxt, path, u = [0] * n, [], s
+        while True:
+            if u == t:
+                f = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= f
+                    cap[e ^ 1] += f
+                first = next(i for i, e in enumerate(path) if cap[e] <= 1e-12)
+                u = head[path[first] ^ 1]
+                del path[first:]
+                continue
+            while nxt[u] < len(near[u]) and (cap[near[u][nxt[u]]] <= 1e-12 or level[head[near[u][nxt[u]]]] != level[u] + 1):
+                nxt[u] += 1
+            if nxt[u] < len(near[u]):
+                path.append(near[u][nxt[u]])
+                u = head[path[-1]]
+            elif path:
+                u = head[path.pop() ^ 1]
+                nxt[u] += 1
+            else:
+                break
+
+
 def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    keep = min_cut([score(b) for b in found], ties(found))
-    return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    found = Page(page or "")
+    keep = min_cut([score(b, found.has_article) for b in found.blocks], ties(found))
+    return "\n\n".join(b.text for b, k in zip(found.blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:

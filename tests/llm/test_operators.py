@@ -452,6 +452,51 @@ def test_min_cut_is_least():
         assert abs(cost(html_extract.min_cut(costs, edges)) - best) < 1e-9
 
 
+def labelled(page):
+    """(text, sign of its own costs, side of the cut) of each block."""
+    found = html_extract.Page(page)
+    costs = [html_extract.score(b, found.has_article) for b in found.blocks]
+    return [(b.text, c > 0, k) for b, c, k in zip(found.blocks, costs, html_extract.min_cut(costs, html_extract.ties(found)), strict=True)]
+
+
+def test_the_cut_decides_blocks_without_telling_features():
+    long = "The committee met again on Tuesday and agreed, after a long debate, that the bridge should be rebuilt within two years."
+    kept = ["See the full table of results", "Part two", "by our staff"]
+    inside = f"<div class=x1><p>{long}</p><p><a href=/t>{kept[0]}</a></p><p>{long}</p><div>{kept[1]}</div><p>{long}</p><span><em>{kept[2]}</em></span><p>{long}</p></div>"
+    dropped = ["Buy now.", "Tell a friend about it"]
+    around = f"<div class=x2><ul><li><a href=/1>Home page</a></li><li><p>{dropped[0]}</p></li><li><a href=/2>All our topics</a></li></ul></div>"
+    page = f"<body>{around}{inside}<div class=x3><a href=/3>More of this</a><p>{dropped[1]}</p><a href=/4>Even more of it</a></div></body>"
+    sides = {text: (own, cut) for text, own, cut in labelled(page)}
+    assert [sides[t] for t in kept] == [(False, True)] * 3  # their own costs say boilerplate, the cut says content
+    assert sides[dropped[0]][1] is False and sides["Home page"] == (False, False)
+    assert sides[dropped[1]][1] is False
+
+
+def test_pages_reach_the_flow(monkeypatch):
+    rng = np.random.default_rng(4)
+    flows, real = [], html_extract._source_side
+    monkeypatch.setattr(html_extract, "_source_side", lambda n, *a: flows.append(n - 2) or real(n, *a))
+    flips = 0
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.integers(3, 12)):
+            words = " ".join(["word"] * int(rng.integers(1, 14))) + rng.choice(["", "."])
+            tag = rng.choice(["p", "div", "li", "h2"])
+            parts.append(f"<{tag}>" + (f"<a href=x>{words}</a>" if rng.random() < 0.3 else words) + f"</{tag}>")
+        flips += any(own != cut for _, own, cut in labelled("<body><div>" + "".join(parts[:4]) + "</div><section>" + "".join(parts[4:]) + "</section></body>"))
+    assert flips > 40 and len(flows) > 40 and max(flows) > 3
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    for page in ("<div>x" * n, "<p " * n, "<b>" * n + "<p>x" * n, "<a '" * n + ">" * 9, "<a \">x" * n, "<!--" * n, "<script>" * n, "<li>word" * n, "<p>w " * (2 * n), "&amp" * n, "</p></div>" * n + "<span>y" * n, "<p><a href=x>two words</a>one" * n):
+        began = time.perf_counter()
+        html_extract.main_text(page)
+        assert time.perf_counter() - began < 25, page[:20]
+
+
 def test_token_shards(spark, odd, tmp_path):
     tok = bpe.load(bpe.default_path())
     folder = token_shards.write(odd, str(tmp_path / "t"), shards=3)
