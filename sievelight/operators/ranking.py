@@ -38,14 +38,15 @@ def running(df: DataFrame, order: list[str], keys: list[str] | None = None, valu
     return joined.withColumn(name, F.col("__base") + F.col("__in")).select(*df.columns, name)
 
 
-def meet(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def meet(rows: DataFrame, groups: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with a table that was grouped by ``key``, so that a key with a large share of the rows may be split.
 
     The hash beside the key keeps Spark from reusing the grouping's own exchange; both sides then come from exchanges
     that adaptive execution may divide where one partition is too large.
     """
-    h = F.xxhash64(F.lit(7), F.col(key))
-    return rows.withColumn("__h", h).join(groups.withColumn("__h", h), ["__h", key], how).drop("__h")
+    keys = [key] if isinstance(key, str) else key
+    h = F.xxhash64(F.lit(7), *keys)
+    return rows.withColumn("__h", h).join(groups.withColumn("__h", h), ["__h", *keys], how).drop("__h")
 
 
 def numbered(df: DataFrame, order: list[str], keys: list[str] | None = None, name: str = "rn") -> DataFrame:
