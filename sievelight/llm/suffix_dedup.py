@@ -9,15 +9,17 @@ window is found through the suffixes at its anchors.
    whose leading ``GRAM`` bytes occur once are done.
 2. Anchors with equal runs (by two independent 64-bit hashes) repeat each other wholly, however many there are.
 3. One suffix of each other run is dealt by range to buckets: splitters come from the leading bytes of a sample of
-   texts. A bucket sorts its suffixes by multikey quicksort on 8-byte characters; neighbours that share the whole
-   gram form runs of the suffix array, in which the windows are compared.
-4. Leading bytes that fill several splitters are dealt over all their buckets; suffixes of such buckets, and of those
-   that turn out too large to hold, are then compared across the boundaries, by the fingerprints of their windows.
+   texts. A task goes through its suffixes by leading bytes and sorts what shares them, with its neighbours up to
+   ``BUCKET_BYTES``, by multikey quicksort on 8-byte characters; neighbours that share the whole gram form runs of the
+   suffix array, in which the windows are compared.
+4. Leading bytes that fill several splitters are dealt over all their buckets; suffixes of these, and of leading bytes
+   that too many suffixes share to be held, are then compared across the boundaries, by the fingerprints of their windows.
 
 Texts are identified by two 64-bit hashes, so equal rows are handled once each and repeat each other.
 
 Edge cases: null counts as empty; texts shorter than ``LENGTH`` keep all bytes; matches never cross texts;
-repeated rows repeat each other; other columns are ignored.
+repeated rows repeat each other; very long texts are handled whole; equal strings are all removed, whichever comes first;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm import textscan as ts
+from sievelight.operators.ranking import meet
 from sievelight.session import shared_folder
 
 LENGTH = 200
@@ -40,7 +43,9 @@ GRAM = 32
 #: Texts from whose suffixes the splitters are drawn.
 SAMPLE_TEXTS = 2_000
 SAMPLE_LEADS = 500_000
+#: Bytes of suffixes that are sorted and compared at once, and the most ranges that splitters make; larger ranges are worked off in parts.
 BUCKET_BYTES = 3 << 19
+MAX_BUCKETS = 20_000
 
 _B2 = np.uint64(0xC2B2AE3D27D4EB4F)
 _B2_INV = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
@@ -89,27 +94,29 @@ def _leads(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of 8-byte characters, and the number of leading characters each shares with the row before it.
 
-    Three-way multikey quicksort, all parts of a depth at once: rows are split by the next character, and only parts
-    with more than one row go on.
+    Multikey quicksort, all parts of a round at once: a part is split three ways by the character of its middle row; the
+    smaller and greater rows go on at the same character, the equal ones at the next.
     """
     n, width = words.shape
-    order, shared = np.arange(n), np.zeros(n, np.int64)
-    part = np.zeros(n, np.int64)  # the part of each place
-    live = np.arange(n)
-    for depth in range(width):
-        if not len(live):
-            break
-        key = words[order[live], depth]
-        by = np.lexsort((key, part[live]))
-        order[live], key = order[live][by], key[by]
-        p = part[live]
-        same = np.zeros(len(live), bool)
-        same[1:] = (p[1:] == p[:-1]) & (key[1:] == key[:-1])
-        shared[live[same]] = depth + 1
-        part[live] = np.maximum.accumulate(np.where(same, -1, live))
-        more = same.copy()
-        more[:-1] |= same[1:]
-        live = live[more]
+    order, depth = np.arange(n), np.zeros(n, np.int64)
+    part = np.zeros(n, np.int64)  # where each place's part begins
+    live = np.arange(n) if n > 1 and width else np.zeros(0, np.int64)
+    while len(live):
+        own, p = words[order[live], depth[live]], part[live]
+        head = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        size = np.diff(np.append(head, len(live)))
+        pivot = np.repeat(own[head + size // 2], size)
+        side = (own > pivot).astype(np.int8) - (own < pivot)
+        by = np.lexsort((side, p))
+        order[live], side = order[live][by], side[by]
+        depth[live] = depth[live] + (side == 0)
+        head = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (side[1:] != side[:-1])))
+        size = np.repeat(np.diff(np.append(head, len(live))), np.diff(np.append(head, len(live))))
+        part[live] = np.repeat(live[head], np.diff(np.append(head, len(live))))
+        live = live[(size > 1) & (depth[live] < width)]
+    same = words[order[1:]] == words[order[:-1]]
+    shared = np.zeros(n, np.int64)
+    shared[1:] = np.cumprod(same, axis=1).sum(1) if width else 0
     return order, shared
 
 
@@ -191,12 +198,12 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
 
     found = docs.transform(ts.in_batches, find, "k1 long, k2 long, slot long, h long, c long")
     often = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    again = found.join(often, "h").checkpoint()
+    again = meet(found, often, "h").checkpoint()  # a very common passage gives one hash many rows
     runs = again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "slot")).alias("one"))
-    whole = again.join(runs.where("n > 1").select("h", "c"), ["h", "c"]).select("k1", "k2", F.shiftright("slot", 16).alias("lo"), (F.shiftright("slot", 16) + F.col("slot").bitwiseAND(255) + length).alias("hi"))
+    whole = meet(again, runs.where("n > 1").select("h", "c"), ["h", "c"]).select("k1", "k2", F.shiftright("slot", 16).alias("lo"), (F.shiftright("slot", 16) + F.col("slot").bitwiseAND(255) + length).alias("hi"))
     varied = again.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("h")
-    ones = runs.join(varied, "h").select("one.*").checkpoint()
-    buckets = min(SAMPLE_LEADS, max(1, -(-ones.count() * (length + 100) // BUCKET_BYTES)))
+    ones = meet(runs, varied, "h").select("one.*").checkpoint()
+    buckets = min(MAX_BUCKETS, max(1, -(-ones.count() * (length + 100) // BUCKET_BYTES)))
     splitters = _splitters(docs, buckets, length, gram)
     shared = spark.sparkContext.broadcast(splitters)
     wanted = ones.groupBy("k1", "k2").agg(F.collect_list("slot").alias("slots"))  # at most the anchors of one text
@@ -218,12 +225,13 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
                     yield _dealt(out, shared.value)
                     out, held = [], 0
 
-    suffixes = docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "slots").transform(ts.in_batches, cut, "k1 long, k2 long, slot long, bytes binary, bucket int, hot boolean")
-    suffixes = suffixes.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    suffixes = docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "slots").transform(ts.in_batches, cut, "k1 long, k2 long, slot long, bytes binary, lead long, bucket int, hot boolean")
+    suffixes = suffixes.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lead")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's suffixes, a bucket at a time. Windows of buckets that share their leading bytes, or that are too large
-        to be held, go on as fingerprints."""
+        """A task's suffixes in order of their leading bytes, about ``BUCKET_BYTES`` at a time; suffixes that share them
+        stay together. Windows of those that were dealt over several buckets, or that are too many to be held, go on as
+        fingerprints."""
         at, held, size, spread = None, [], 0, False
 
         def settle() -> Iterator[pa.RecordBatch]:
@@ -233,20 +241,26 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
                     yield _compared(own.reset_index(drop=True), bool(hot) or spread, length, gram)
 
         for b in batches:
-            which = b.column(4).to_numpy()
-            cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    if which[lo] != at:
-                        yield from settle()
-                        at, held, size, spread = which[lo], [], 0, False
-                    part = b.slice(lo, hi - lo)
-                    held.append(part)
-                    size += pc.sum(pc.binary_length(part.column(3))).as_py()
-                    if size > 4 * BUCKET_BYTES:
-                        spread = True
-                        yield from settle()
-                        held, size = [], 0
+            lead, bucket = b.column(4).to_numpy(), b.column(5).to_numpy()
+            cuts = [0, *(np.flatnonzero((lead[1:] != lead[:-1]) | (bucket[1:] != bucket[:-1])) + 1).tolist(), b.num_rows]
+            ends = np.concatenate(([0], np.cumsum(pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False))))
+            lo = 0
+            for place, next_place in zip(cuts, cuts[1:], strict=False):
+                if next_place == place:
+                    continue
+                here = (lead[place], bucket[place])
+                new = here != at
+                if new and (spread or size + ends[place] - ends[lo] >= BUCKET_BYTES):
+                    held += [b.slice(lo, place - lo)] if place > lo else []
+                    yield from settle()
+                    held, size, spread, lo = [], 0, False, place
+                at = here
+            held.append(b.slice(lo, b.num_rows - lo))
+            size += int(ends[-1] - ends[lo])
+            if size > 4 * BUCKET_BYTES:
+                spread = True
+                yield from settle()
+                held, size = [], 0
         yield from settle()
 
     compared = suffixes.transform(ts.in_batches, compare, "k1 long, k2 long, lo long, h1 long, h2 long")
@@ -264,14 +278,14 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def _splitters(docs: DataFrame, buckets: int, length: int, gram: int) -> np.ndarray:
-    """buckets - 1 quantiles of the leading bytes of the suffixes of about SAMPLE_TEXTS texts, chosen by their hash.
+    """buckets - 1 quantiles of the leading bytes of the suffixes of some texts (SAMPLE_TEXTS or four for each bucket), chosen by their hash.
 
     Only leading bytes (8 for each suffix) leave the tasks, at most SAMPLE_LEADS of them.
     """
     if buckets == 1:
         return np.zeros(0, np.int64)
     n = docs.count()
-    part = docs.where(F.pmod("k2", F.lit(1_000_003)) <= int(1_000_003 * min(1.0, SAMPLE_TEXTS / max(1, n)))).select("text")
+    part = docs.where(F.pmod("k2", F.lit(1_000_003)) <= int(1_000_003 * min(1.0, max(SAMPLE_TEXTS, 4 * buckets) / max(1, n)))).select("text")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,7 +306,7 @@ def _dealt(out: list[tuple], splitters: np.ndarray) -> pa.RecordBatch:
     salt = (np.array(k1, np.int64) ^ np.array(slot, np.int64)) & 0x7FFFFFFF
     hot = hi > lo + 1
     bucket = np.where(hot, lo + salt % np.maximum(1, hi - lo + 1), hi).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(slot, pa.int64()), pa.array(own, pa.binary()), pa.array(bucket), pa.array(hot)], ["k1", "k2", "slot", "bytes", "bucket", "hot"])
+    return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(slot, pa.int64()), pa.array(own, pa.binary()), pa.array(lead), pa.array(bucket), pa.array(hot)], ["k1", "k2", "slot", "bytes", "lead", "bucket", "hot"])
 
 
 def dedup(documents: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
