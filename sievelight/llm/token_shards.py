@@ -7,13 +7,16 @@ File format (Parquet containers, so that any store Spark writes to will do), in
 little-endian unsigned integers of ``width`` bytes (2 where the vocabulary fits, else 4), each document ended by the
 end id; ``keys`` and ``sizes`` are the documents' keys (8-byte) and id counts (4-byte), kept for rebuilding.
 
-``index/`` rows (bucket, seeds, table): documents are dealt to buckets by the hash of their key; in a bucket a
+``index/`` rows (bucket, seeds, table, extra): documents are dealt to buckets by the hash of their key; in a bucket a
 hash-and-displace minimal perfect hash sends each key to its own slot. ``table`` is an array of slots of (fingerprint,
-shard, block, offset, count). A lookup reads one seed and one slot; the stored fingerprint rejects foreign keys.
+shard, block, offset, count). A lookup reads one seed and one slot; the stored fingerprint rejects foreign keys. Keys
+with equal hashes, which only repeated ids can have, are listed in ``extra`` instead.
 
 A key is (doc_id, occurrence), the occurrence telling repeated ids apart.
 
-Edge cases: null text is one end id; a null doc_id has the least key; an empty table writes an empty folder.
+Edge cases: null text is one end id; a null doc_id has the least key; rows of equal id and text are interchangeable; a
+very long text is a block of its own; an empty table writes an empty folder; other columns aren't written. A shard is
+streamed, so repeated ids, which share one, take time but no memory.
 """
 
 from __future__ import annotations
@@ -34,9 +37,13 @@ from sievelight.llm.textscan import mix
 from sievelight.session import shared_folder
 
 BLOCK_BYTES = 1 << 20
+#: Bytes of text in a shard, on average, and the most shards (a shard is worked off block by block, however large).
+SHARD_BYTES = 32 << 20
+MAX_SHARDS = 10_000
 #: Documents in an index bucket, on average.
 BUCKET_DOCS = 4096
 SLOT = np.dtype([("mark", "<u4"), ("shard", "<i4"), ("block", "<i4"), ("offset", "<i4"), ("count", "<i4")])
+EXTRA = np.dtype([("key", "<i8"), ("occurrence", "<i4"), ("slot", SLOT)])
 _NULL = -(1 << 63)
 
 
@@ -88,7 +95,7 @@ def write(documents: DataFrame, folder: str | None = None, path: str | None = No
     size = bpe.load(path).get_vocab_size(with_added_tokens=True)
     width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or min(MAX_SHARDS, 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
     where = np.unique(np.array(cuts or [], np.int64))  # at most one number for each shard
 
@@ -97,7 +104,7 @@ def write(documents: DataFrame, folder: str | None = None, path: str | None = No
         return pd.Series(np.where(x.isna(), 0, np.searchsorted(where, x.fillna(0).to_numpy("int64"), "left")).astype("int32"))
 
     # A repeated doc_id falls into one shard; shards hold equal shares of the distinct ids.
-    ordered = docs.withColumn("shard", shard_of("doc_id")).repartition(len(where) + 1, "shard")
+    ordered = docs.withColumn("shard", shard_of("doc_id")).repartitionById(len(where) + 1, F.col("shard"))
     ordered = ordered.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,17 +156,45 @@ def _write_index(shards: DataFrame, folder: str) -> None:
                 slot["mark"], slot["shard"], slot["block"], slot["offset"], slot["count"] = h & np.uint64(0xFFFFFFFF), shard, block, np.cumsum(size) - size, size
                 raw = slot.tobytes()
                 at = (mix(h) % np.uint64(buckets)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(h.view(np.int64)), pa.array([raw[i : i + SLOT.itemsize] for i in range(0, len(raw), SLOT.itemsize)], pa.binary())], ["bucket", "h", "slot"])
+                slots = pa.array([raw[i : i + SLOT.itemsize] for i in range(0, len(raw), SLOT.itemsize)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(h.view(np.int64)), pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(occ, "<i4")), slots], ["bucket", "h", "key", "occurrence", "slot"])
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        seeds, table, extra = index_bucket(rows["h"].to_numpy(np.int64).view(np.uint64), rows["key"].to_numpy(np.int64), rows["occurrence"].to_numpy(np.int32), np.frombuffer(b"".join(rows["slot"]), SLOT))
+        return pd.DataFrame({"bucket": [key[0]], "seeds": [seeds.tobytes()], "table": [table.tobytes()], "extra": [extra.tobytes()]})
+
+    flat = shards.select("shard", "block", "keys", "occurrence", "sizes").transform(ts.in_batches, entries, "bucket long, h long, key long, occurrence int, slot binary")
+    flat.groupBy("bucket").applyInPandas(build, "bucket long, seeds binary, table binary, extra binary").write.mode("overwrite").parquet(f"{folder}/index")
+
+
+def index_bucket(h: np.ndarray, key: np.ndarray, occurrence: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds, table and the entries whose hash another key shares, which no seed could tell apart and which are listed by key."""
+    _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+    alone = times[inverse] == 1
+    extra = np.zeros(int((~alone).sum()), EXTRA)
+    extra["key"], extra["occurrence"], extra["slot"] = key[~alone], occurrence[~alone], slot[~alone]
+    h, slot = h[alone], slot[alone]
+    seeds, table = build_mph(h).astype("<u4"), np.zeros(len(h), SLOT)
+    if len(h):
+        table[slot_of(h, seeds, len(h))] = slot
+    return seeds, table, extra
+
+
+def find_slots(h: np.ndarray, key: np.ndarray, occurrence: np.ndarray, seeds: np.ndarray, table: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each key, and whether the bucket holds it."""
+    got, ok = np.zeros(len(h), SLOT), np.zeros(len(h), bool)
+    if len(table):
+        got = table[slot_of(h, seeds, len(table))]
+        ok = got["mark"] == (h & np.uint64(0xFFFFFFFF))
+    for x in extra:
+        same = (key == x["key"]) & (occurrence == x["occurrence"])
+        got[same], ok[same] = x["slot"], True
+    return got, ok
 
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
-        h = rows["h"].to_numpy(np.int64).view(np.uint64)
-        seeds = build_mph(h)
-        table = np.zeros(len(h), SLOT)
-        table[slot_of(h, seeds, len(h))] = np.frombuffer(b"".join(rows["slot"]), SLOT)
-        return pd.DataFrame({"bucket": [key[0]], "seeds": [seeds.astype("<u4").tobytes()], "table": [table.tobytes()]})
 
-    flat = shards.select("shard", "block", "keys", "occurrence", "sizes").transform(ts.in_batches, entries, "bucket long, h long, slot binary")
-    flat.groupBy("bucket").applyInPandas(build, "bucket long, seeds binary, table binary").write.mode("overwrite").parquet(f"{folder}/index")
+def _id_of(key: str):
+    """Nulls travel as the least number, since pandas would make floats of the other ids."""
+    return F.when(F.col(key) != _NULL, F.col(key)).alias("doc_id")
 
 
 def lookup(keys: DataFrame, folder: str) -> DataFrame:
@@ -171,20 +206,20 @@ def lookup(keys: DataFrame, folder: str) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = key_hash(b.column(0).fill_null(_NULL).to_numpy(), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h.view(np.int64)), pa.array((mix(h) % np.uint64(buckets)).astype(np.int64))], ["doc_id", "occurrence", "h", "bucket"])
+            key = b.column(0).fill_null(_NULL)
+            h = key_hash(key.to_numpy(), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([key, b.column(1), pa.array(h.view(np.int64)), pa.array((mix(h) % np.uint64(buckets)).astype(np.int64))], ["key", "occurrence", "h", "bucket"])
 
     def find(_key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
-            return pd.DataFrame(columns=["doc_id", "occurrence", "shard", "block", "offset", "count"])
-        seeds, table = np.frombuffer(own["seeds"].iloc[0], "<u4"), np.frombuffer(own["table"].iloc[0], SLOT)
-        h = asked["h"].to_numpy(np.int64).view(np.uint64)
-        got = table[slot_of(h, seeds, len(table))]
-        ok = got["mark"] == (h & np.uint64(0xFFFFFFFF))
-        return pd.DataFrame({"doc_id": asked["doc_id"], "occurrence": asked["occurrence"]} | {c: got[c] for c in ("shard", "block", "offset", "count")})[ok]
+            return pd.DataFrame(columns=["key", "occurrence", "shard", "block", "offset", "count"])
+        bucket = (np.frombuffer(own[c].iloc[0], t) for c, t in (("seeds", "<u4"), ("table", SLOT), ("extra", EXTRA)))
+        got, ok = find_slots(asked["h"].to_numpy(np.int64).view(np.uint64), asked["key"].to_numpy(np.int64), asked["occurrence"].to_numpy(np.int32), *bucket)
+        return pd.DataFrame({"key": asked["key"], "occurrence": asked["occurrence"]} | {c: got[c] for c in ("shard", "block", "offset", "count")})[ok]
 
-    asked = keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("int")).transform(ts.in_batches, place, "doc_id long, occurrence int, h long, bucket long")
-    return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, "doc_id long, occurrence int, shard int, block int, offset int, count int")
+    asked = keys.select(F.col("doc_id").cast("long"), F.col("occurrence").cast("int")).transform(ts.in_batches, place, "key long, occurrence int, h long, bucket long")
+    found = asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, "key long, occurrence int, shard int, block int, offset int, count int")
+    return found.select(_id_of("key"), "occurrence", "shard", "block", "offset", "count")
 
 
 def document_stats(folder: str, spark) -> DataFrame:
@@ -204,16 +239,18 @@ def document_stats(folder: str, spark) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k, mask=k == _NULL), pa.array(np.frombuffer(occ, "<i4"))], ["doc_id", "occurrence"])
 
     found = lookup(shards.select("keys", "occurrence").transform(ts.in_batches, keys_of, "doc_id long, occurrence int"), folder)
+    found = found.withColumn("key", F.coalesce("doc_id", F.lit(_NULL)))
 
     def read(_key, slots: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
         for width, ids in zip(block["width"], block["ids"], strict=True):
             flat = np.frombuffer(ids, f"<u{width}")
-            for d, o, c in zip(slots["doc_id"], slots["offset"], slots["count"], strict=True):
+            for d, o, c in zip(slots["key"], slots["offset"], slots["count"], strict=True):
                 out.append((d, block["start"].iloc[0] + o, c, zlib.crc32(flat[o : o + c].astype("<u4").tobytes())))
-        return pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pd.DataFrame(out, columns=["key", "start", "n_tokens", "ids_crc32"])
 
     starts = sums.withColumn("inner", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids"))
     starts = starts.join(F.broadcast(base), "shard").select("shard", "block", (F.col("base") + F.col("inner")).alias("start"))
     payload = shards.select("shard", "block", "width", "ids").join(starts, ["shard", "block"])
-    return found.groupBy("shard", "block").cogroup(payload.groupBy("shard", "block")).applyInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = found.drop("doc_id").groupBy("shard", "block").cogroup(payload.groupBy("shard", "block")).applyInPandas(read, "key long, start long, n_tokens long, ids_crc32 long")
+    return rows.select(_id_of("key"), "start", "n_tokens", "ids_crc32")

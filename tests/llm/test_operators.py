@@ -27,7 +27,7 @@ def odd(spark, sf):
     real = spark.read.parquet(f"{sf}/documents.parquet")
     text = real.where("doc_id = 3").first()["text"]
     extra = [
-        (None, "A null id with words that nobody else has here at all.", "en", None, None), (9001, None, None, None, 0), (9002, "", "en", "s", 0), (9003, " \n\t ", "en", "s", 4),
+        (None, "A null id with words that nobody else has here at all.", "en", None, None), (9001, None, None, None, 0), ((1 << 60) + 1, "a great id", "en", "s", 10), (9002, "", "en", "s", 0), (9003, " \n\t ", "en", "s", 4),
         (9004, "12 34 !!", "de", "s", 8), (9005, text * 30, "fr", "s", 1), (9006, text, "fr", "s", 2), (9006, text, "fr", "s", 2), (9007, "one two", "en", "s", 7), (9008, "ONE two", "en", "s", 7), (9006, "another text under the same id", "en", "s", 3),
     ]
     return real.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(extra, DOCS)).repartition(5).cache()
@@ -512,6 +512,18 @@ def test_token_shards(spark, odd, tmp_path):
     assert token_shards.document_stats(token_shards.write(odd.limit(0), str(tmp_path / "e")), spark).count() == 0
 
 
+def test_keys_with_equal_hashes():
+    h = token_shards.key_hash(np.arange(50), np.zeros(50, np.int64))
+    h[7] = h[33] = h[3]
+    key, occ, slot = np.arange(50), np.zeros(50, np.int32), np.zeros(50, token_shards.SLOT)
+    slot["mark"], slot["offset"] = h & np.uint64(0xFFFFFFFF), np.arange(50)
+    bucket = token_shards.index_bucket(h, key, occ, slot)
+    got, ok = token_shards.find_slots(h, key, occ, *bucket)
+    assert ok.all() and got["offset"].tolist() == list(range(50)) and len(bucket[2]) == 3
+    only = token_shards.index_bucket(h[[3, 7]], key[[3, 7]], occ[:2], slot[[3, 7]])
+    assert token_shards.find_slots(h[[3, 7, 9]], key[[3, 7, 9]], occ[:3], *only)[1].tolist() == [True, True, False]
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 500, 5000])
 def test_minimal_perfect_hash(n):
     h = token_shards.key_hash(np.arange(n), np.zeros(n, np.int64))
