@@ -169,7 +169,7 @@ def _scan_by_shuffle(documents: DataFrame, windows: DataFrame, keep: list[str])
     texts = keyed.groupBy("__tk").agg(F.first("__text").alias("__text"))
     found = texts.select("__tk", "__text").transform(ts.in_batches, emit, "tk string, k int, h long").distinct().join(windows, ["k", "h"]).select(F.col("tk").alias("__tk"), "item", "k", "h", "gram").distinct()
 
-    def judge(_key, text: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+    def judge(_key: tuple, text: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
         rows = _scan_batch(pa.array(text["__text"], pa.string()), _Grams(list(grams[["item", "k", "h", "gram"]].itertuples(index=False, name=None))))
         return pd.DataFrame([(text["__tk"].iloc[0], *r) for r in rows], columns=["__tk", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
 

@@ -296,7 +296,7 @@ def _judge(documents: DataFrame, k: int, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    def verify(_key, rows: pd.DataFrame) -> pd.DataFrame:
+    def verify(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["f1", "f2"]).reset_index(drop=True)
         n = len(rows)
         links, top, edges = np.zeros(n, np.int64), list(range(n)), []

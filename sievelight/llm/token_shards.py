@@ -210,7 +210,7 @@ def lookup(keys: DataFrame, folder: str) -> DataFrame:
             h = key_hash(key.to_numpy(), b.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([key, b.column(1), pa.array(h.view(np.int64)), pa.array((mix(h) % np.uint64(buckets)).astype(np.int64))], ["key", "occurrence", "h", "bucket"])
 
-    def find(_key, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def find(_key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
             return pd.DataFrame(columns=["key", "occurrence", "shard", "block", "offset", "count"])
         bucket = (np.frombuffer(own[c].iloc[0], t) for c, t in (("seeds", "<u4"), ("table", SLOT), ("extra", EXTRA)))
@@ -241,7 +241,7 @@ def document_stats(folder: str, spark) -> DataFrame:
     found = lookup(shards.select("keys", "occurrence").transform(ts.in_batches, keys_of, "doc_id long, occurrence int"), folder)
     found = found.withColumn("key", F.coalesce("doc_id", F.lit(_NULL)))
 
-    def read(_key, slots: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    def read(_key: tuple, slots: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
         for width, ids in zip(block["width"], block["ids"], strict=True):
             flat = np.frombuffer(ids, f"<u{width}")

@@ -7,8 +7,22 @@ import hashlib
 import re
 
 import corpus_pipeline
-from sievelight.llm import bpe, secret_scan
-from tests.llm.test_operators import UPPER, brute_components
+from sievelight.llm import bpe
+from tests.llm.test_operators import DOCS, UPPER, brute_components, brute_spans
+
+
+def masked(text):
+    """The text with the spans of the brute-force worklist replaced."""
+    raw = text.encode()
+    hit = [False] * (len(raw) + 1)
+    begins = set()
+    end = -1
+    for s, e, _ in sorted(brute_spans(raw)):
+        if s >= end:
+            begins.add(s)
+        end = max(end, e)
+        hit[s:e] = [True] * (e - s)
+    return b"".join(b"[SECRET]" if i in begins else b"" if hit[i] else raw[i : i + 1] for i in range(len(raw))).decode()
 
 
 def test_pipeline(spark, sf):
@@ -29,7 +43,7 @@ def test_pipeline(spark, sf):
         hit = {j for k in {len(g) for g in grams} for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in grams for j in range(i, i + k)}
         if hit and 20 * len(hit) >= len(w):
             continue
-        text = secret_scan.mask(d["text"], secret_scan.scan_text(d["text"])[1])
+        text = masked(d["text"])
         ids = tok.encode(text, add_special_tokens=False).ids
         want[d["doc_id"], d["lang"], d["source"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
     got = corpus_pipeline.run(spark, sf)
@@ -71,3 +85,25 @@ def test_near_duplicates_of_five_words(spark, sf):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect())
     want = [i for i, (least, has) in enumerate(five_word_components(texts)) if least == i or not has]
     assert kept == want and 1 not in kept and {0, 3, 4, 6} <= set(kept)
+
+
+#: Names that the operators use for columns of their own.
+CLASHING = ("score", "lang_pred", "ambiguous", "held_out", "n_shingles", "n_ranked", "common", "f1", "f2", "key", "id", "none", "root", "near", "token", "df", "contaminated", "n_words", "n_hit", "hit_spans", "spans", "found", "ids", "n_tokens", "__text", "__row", "__h", "k1", "h")
+
+
+def test_stages_keep_extra_columns_of_any_name(spark, sf):
+    words = "the quick brown fox jumps over the lazy dog and runs away from the old house near the river today".split()
+    long = " ".join(words[(i * i + i // 7) % len(words)] + str(i % 911) for i in range(60_000))
+    rows = [(1, " ".join(words), "en", "s", 5), (1, " ".join(words), "en", "s", 5), (2, " ".join([*words, "more"]), "en", "s", 5), (None, "nothing else is like this password=hunter22 at all", None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, "12 34", "de", "s", 1), (6, long, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", *(f"doc_id * 10 + {i} AS `{c}`" for i, c in enumerate(CLASHING)), "'x' AS `a b.c`")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == columns, name
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {1, 6, None} and docs.count() == 3  # near and repeated copies, null and letterless texts are gone
+    assert all(got[1][c] == 10 + i for i, c in enumerate(CLASHING)) and got[6].text == long and got[6].n_chars == 1
+    assert got[None].text == "nothing else is like this [SECRET] at all" and got[None].n_chars is not None
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
