@@ -182,13 +182,15 @@ def join(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     return _judge(documents, k, percent).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
-def _measured(documents: DataFrame, keep: list[str], k: int, percent: int) -> DataFrame:
+def _measured(documents: DataFrame, keep: list[str], k: int, percent: int, once: str | None = None) -> DataFrame:
     """``keep`` with the size of every row's set, its two hashes and the number of its ranked tokens.
 
     The first row of a batch also has the ranked tokens that are in one of ``HOT_SHARE`` sets of the batch, and how often.
+    With ``once``, a task gives rows that are equal in that column and in their set once.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple] = set()
         for b in batches:
             rows, own, seen = [], [], set()
             for s in shingle_sets(b.column(len(keep)), k):
@@ -204,7 +206,12 @@ def _measured(documents: DataFrame, keep: list[str], k: int, percent: int) -> Da
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))]
             cols = [pa.array([None if x is None else [{"token": t, "n": c} for t, c in x] for x in col] if i == 4 else list(col), t) for i, (col, t) in enumerate(zip(cols, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], [*keep, "n_shingles", "f1", "f2", "n_ranked", "common"])
+            out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], [*keep, "n_shingles", "f1", "f2", "n_ranked", "common"])
+            if once:
+                names = [(i, *r[1:3]) for i, r in zip(out.column(once).to_pylist(), rows, strict=True)]
+                at = [i for i, x in enumerate(names) if not (x in told or told.add(x))]
+                out = out if len(at) == len(rows) else out.take(pa.array(at, pa.int64()))
+            yield out
 
     schema = ts.widened(documents.select(*keep), "n_shingles long, f1 long, f2 long, n_ranked long, common array<struct<token:long,n:long>>")
     return documents.select(*keep, F.col("text").cast("string").alias("__text")).transform(ts.in_batches, measure, schema)
@@ -352,18 +359,8 @@ def keep_one(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFr
     first = first.select(F.col("one.none"), F.xxhash64("one.doc_id").alias("id"), F.col("one.f1"), F.col("one.f2"))
     boxed = ts.boxed(documents, "doc_id", "text")
     worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
-    rows = _measured(boxed.where(worded), ["__row", "doc_id"], k, percent)
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Repeated rows once for each task."""
-        seen: set[tuple] = set()
-        for b in batches:
-            names = list(zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
-            at = [i for i, x in enumerate(names) if not (x in seen or seen.add(x))]
-            yield b if len(at) == b.num_rows else b.take(pa.array(at, pa.int64()))
-
+    rows = _measured(boxed.where(worded), ["__row", "doc_id"], k, percent, once="doc_id")
     keys = ["none", "id", "f1", "f2"]
-    rows = rows.select("__row", "doc_id", "f1", "f2").mapInArrow(once, ts.widened(boxed.select("__row", "doc_id"), "f1 long, f2 long"))
     rows = rows.select("__row", F.col("doc_id").isNull().alias("none"), F.xxhash64("doc_id").alias("id"), "f1", "f2")
     chosen = rows.join(first, keys, "left_semi").dropDuplicates(keys)  # one shuffle of the texts serves both
     return chosen.select("__row").unionByName(boxed.where(~worded).select("__row")).select("__row.*")
