@@ -2,7 +2,7 @@
 
 Pairs and labels make a graph; its components come from alternating large and small stars, whose rounds grow with the
 logarithm of the paths. A label joins its members through the least of them, so a label with a third of all rows makes
-a star and never a clique; hubs are only aggregated and joined.
+a star and never a clique; hubs are only aggregated, and joined where their rows may be divided.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.operators.ranking import meet
-from sievelight.session import settled
+from sievelight.session import release, settled
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,9 +26,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = meet(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = meet(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = settled(rest.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        del both, least, large, rest
+        release(e.sparkSession)
         if now == seen:
             roots = e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that a new local session gets; a cluster's own settings win.
@@ -32,6 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark drops the shuffles and checkpoints that nothing refers to any more.
+
+    Without it an iteration's files stay until the driver happens to run short of memory.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Deletes an intermediate folder that this engine wrote, in whatever store it lies."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
