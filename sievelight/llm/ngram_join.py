@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sievelight.llm import textscan as ts
 from sievelight.operators.clusters import components
 from sievelight.operators.ranking import meet
-from sievelight.session import shared_folder
+from sievelight.session import release, shared_folder
 
 K = 3
 #: The similarity in hundredths.
@@ -278,6 +278,7 @@ def _judge(documents: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = meet(uses, least, "token").where("f1 <> lo").select(F.col("f1").alias("a"), F.col("lo").alias("b")).distinct()
     near = components(pairs).withColumnsRenamed({"node": "f1", "root": "near"})
     dealt = held.join(near, "f1").checkpoint()
+    release(spark)
     blocks = dealt.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_TOKENS)).cast("int").alias("n_blocks"))
     dealt = dealt.join(blocks, "near").withColumn("block", F.pmod(F.xxhash64("f2"), F.col("n_blocks")).cast("int"))
 
@@ -334,6 +335,7 @@ def _judge(documents: DataFrame, k: int, percent: int) -> DataFrame:
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & docs["key"].eqNullSafe(wanted["own"]))
     sets = texts.transform(ts.in_batches, fetch, "near long, bi int, bj int, block int, f1 long, f2 long, copies long, tokens binary, p0 binary, p1 binary, p2 binary")
     found = sets.groupBy("near", "bi", "bj").applyInPandas(verify, "f1 long, f2 long, g1 long, g2 long, links long").checkpoint()
+    release(spark)
     name = lambda x, y: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0"))
     forest = components(found.where("links = 0").select(name("f1", "f2").alias("a"), name("g1", "g2").alias("b")))
     counts = found.groupBy("f1", "f2").agg(F.sum("links").alias("links"))
