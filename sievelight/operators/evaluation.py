@@ -161,3 +161,26 @@ def consistency_issues(compared: DataFrame, tolerance: float = 1e-8) -> DataFram
     off = lambda x, y: F.abs(x - y / F.col("total")) > tolerance
     codes = F.array_compact(F.array(F.when(cells != F.col("total"), "cell_sum"), F.when(off(F.col("accuracy_a"), F.col("both") + F.col("only_a")), "accuracy_a"), F.when(off(F.col("accuracy_b"), F.col("both") + F.col("only_b")), "accuracy_b"), F.when(off(F.col("delta"), F.col("only_b") - F.col("only_a")), "delta")))
     return compared.select("*", F.explode(codes).alias("code"))
+
+
+def compare_family(gold: DataFrame, runs: DataFrame, reference: str, labels: list[str]) -> DataFrame:
+    """One row for each hypothesis over runs (label, id, prediction), all under one Holm step.
+
+    ``candidate:x``: run x against the reference. ``fallback_on_invalid:x->y``: run x with y's prediction where x has none
+    that can be read, against x alone; ``n_resolved`` counts the ids where y had one. An id repeated in a run raises.
+    """
+    per_id = runs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "prediction"))).alias("said"))  # one element for each run
+    rows = gold.select("id", "gold").join(per_id, "id", "left")
+
+    def read(label: str) -> Column:
+        return F.when(is_canonical_integer(F.col("said")[label]), F.col("said")[label])
+
+    def case(name: str, a: Column, b: Column, resolved: Column) -> Column:
+        return F.struct(F.lit(name).alias("hypothesis"), is_correct(a, F.col("gold")).alias("a_ok"), is_correct(b, F.col("gold")).alias("b_ok"), resolved.alias("resolved"))
+
+    cases = [case(f"candidate:{x}", read(reference), read(x), F.lit(False)) for x in labels if x != reference]
+    cases += [case(f"fallback_on_invalid:{x}->{y}", read(x), F.coalesce(read(x), read(y)), read(x).isNull() & read(y).isNotNull()) for x in labels for y in labels if x != y]
+    each = rows.select(F.explode(F.array(*cases)).alias("h")).select("h.*")
+    resolved = each.groupBy("hypothesis").agg(F.count_if("resolved").alias("n_resolved"))
+    tested = mcnemar(contingency(each, ["hypothesis"])).join(resolved, "hypothesis")
+    return holm(tested.withColumn("family", F.lit("all")), ["family"]).drop("family")

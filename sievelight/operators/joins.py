@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.functions.text import is_canonical_integer
+
 from sievelight.operators.ranking import meet
 
 
@@ -57,13 +59,18 @@ def overlap_summary(overlap: DataFrame) -> DataFrame:
 
 
 def route(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """(id, prediction, used): the fallback's value only where the primary has none; neither: no prediction (never 0)."""
-    a, b = primary.select("id", F.col("prediction").alias("p")), fallback.select("id", F.col("prediction").alias("q"))
+    """(id, prediction, used): the fallback's value only where the primary has none that can be read; neither: no prediction (never 0)."""
+    a, b = primary.select("id", readable("prediction").alias("p")), fallback.select("id", readable("prediction").alias("q"))
     joined = a.join(b, "id", "left")
     used = F.when(F.col("p").isNotNull(), "primary").when(F.col("q").isNotNull(), "fallback").otherwise("none")
     return joined.select("id", F.coalesce("p", "q").alias("prediction"), used.alias("used"))
 
 
+def readable(name: str) -> Column:
+    """The prediction, or null where it isn't a canonical integer."""
+    return F.when(is_canonical_integer(F.col(name)), F.col(name))
+
+
 def ordered_pairs(labels: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for a in labels for b in labels if a != b]
 
@@ -75,7 +82,7 @@ def all_routes(runs: DataFrame) -> DataFrame:
     """
     per_id = runs.groupBy("id").agg(F.collect_list(F.struct("label", "prediction")).alias("r"))  # one element per run
     out = per_id.select("id", F.explode("r").alias("x"), "r").select("id", "x", F.explode("r").alias("y")).where("x.label <> y.label")
-    p, q = F.col("x.prediction"), F.col("y.prediction")
+    p, q = readable("x.prediction"), readable("y.prediction")
     used = F.when(p.isNotNull(), "primary").when(q.isNotNull(), "fallback").otherwise("none")
     return out.select(F.col("x.label").alias("a"), F.col("y.label").alias("b"), "id", F.coalesce(p, q).alias("prediction"), used.alias("used"))
 

@@ -50,7 +50,7 @@ def trace(completion: Column) -> Column:
 def identity_conflicts(candidates: DataFrame) -> DataFrame:
     """(problem_id, identity columns, n_variants): one generation identity with different completions or vote metadata."""
     seen = F.struct(trace(F.col("completion")).alias("t"), "greedy", "verifier_passed")
-    return candidates.groupBy("problem_id", *IDENTITY).agg(F.count_distinct(F.to_json(seen, {"ignoreNullFields": "false"})).alias("n_variants")).where("n_variants > 1")
+    return candidates.withColumns({c: F.lower(c) for c in DIGESTS}).groupBy("problem_id", *IDENTITY).agg(F.count_distinct(F.to_json(seen, {"ignoreNullFields": "false"})).alias("n_variants")).where("n_variants > 1")
 
 
 def incomplete_provenance(candidates: DataFrame) -> DataFrame:
@@ -68,6 +68,7 @@ def evaluate_candidates(candidates: DataFrame, by_trace: bool = True, by_identit
     read. The checks come in the order: answer, identity, trace.
     """
     seen = candidates.withColumns({"__p": parse_answer(F.col("completion")), "trace": trace(F.col("completion"))})
+    seen = seen.withColumns({c: F.lower(c) for c in DIGESTS})  # hex digests in either case are the same
     nth = lambda *by: F.row_number().over(Window.partitionBy("problem_id", *by).orderBy("ord"))
     seen = seen.withColumns({"__t": nth("trace") if by_trace else F.lit(1), "__i": nth(*IDENTITY) if by_identity else F.lit(1)})
     reason = F.when(F.col("__p.status") != "ok", F.concat(F.lit("parser_"), F.col("__p.status"))).when(F.col("__i") > 1, "duplicate_generation_identity").when(F.col("__t") > 1, "duplicate_trace")

@@ -39,6 +39,32 @@ def q_parse_hist(spark, d):
     return rows.groupBy("status", "source", answers.reason_code(F.col("reason")).alias("reason_code")).agg(F.count("*").alias("n"))
 
 
+# Completions of all marker classes with their outcomes, written down by hand.
+FORMS = [
+    ("so we get\n**Final answer:** 1,204.00", "ok", "1204", "final_answer", "parsed_unambiguous_integer"),
+    ("first \\boxed{\\frac{-18}{6}} and \\fbox{-3}", "ok", "-3", "boxed", "parsed_unambiguous_integer"),
+    ("#### (77)", "ok", "77", "hashes", "parsed_unambiguous_integer"),
+    ("answer is `$15$`.", "ok", "15", "answer", "parsed_unambiguous_integer"),
+    ("there are 9 of them, or 3 / 1", "ok", "3", "fallback", "parsed_unambiguous_integer"),
+    ("\\boxed{4} or \\boxed{5}", "conflict", None, "boxed", "conflicting_marker_values"),
+    ("Final answer: 1\nFinal answer: -1\n\\boxed{1}", "conflict", None, "final_answer", "conflicting_marker_values"),
+    ("Final answer: 7/2", "invalid", None, "final_answer", "non_integral_fraction"),
+    ("Final answer: 3 and 4", "invalid", None, "final_answer", "multiple_values_in_payload"),
+    ("\\boxed{12", "invalid", None, "boxed", "boxed_unbalanced_braces"),
+    ("I can't say", "invalid", None, "fallback", "no_numeric_candidate"),
+    ("  ", "invalid", None, None, "empty_completion"),
+    ("#### 1e6", "invalid", None, "hashes", "scientific_notation_not_allowed"),
+]
+_VALUES = ", ".join("(" + ", ".join([str(i), *("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in form[1:])]) + ")" for i, form in enumerate(FORMS))
+
+
+@query(f"SELECT n_nationkey, status, value, source, reason_code FROM nation JOIN (VALUES {_VALUES}) f(i, status, value, source, reason_code) ON n_nationkey % {len(FORMS)} = i")
+def q_parse_forms(spark, d):
+    text = F.element_at(F.array(*(F.lit(form[0]) for form in FORMS)), F.col("n_nationkey").cast("int") % len(FORMS) + 1)
+    rows = table(spark, d, "nation").select("n_nationkey", answers.parse_answer(text).alias("p"))
+    return rows.select("n_nationkey", "p.status", "p.value", "p.source", answers.reason_code(F.col("p.reason")).alias("reason_code"))
+
+
 @query()
 def q_parse_documents(spark, d):
     """Outcomes over free text, where every class of marker can occur."""
@@ -106,6 +132,10 @@ def q_seed(spark, d):
 
 
 _CANON = "regexp_matches({0}, '^(0|-?[1-9][0-9]*)$')"
+_READ = lambda c: f"CASE WHEN {_CANON.format(c)} THEN {c} END"
+_ROUTED = f"coalesce({_READ('a.prediction')}, {_READ('b.prediction')})"
+_USED = f"CASE WHEN {_READ('a.prediction')} IS NOT NULL THEN 'primary' WHEN {_READ('b.prediction')} IS NOT NULL THEN 'fallback' ELSE 'none' END"
+_ROUTED_XY, _USED_XY = (q.replace("a.prediction", "x.prediction").replace("b.prediction", "y.prediction") for q in (_ROUTED, _USED))
 _GRADED = f"""SELECT coalesce(g.id, s.id) AS id, gold, prediction, CASE WHEN g.id IS NULL THEN 'extra' WHEN s.id IS NULL THEN 'missing' WHEN prediction IS NULL OR NOT {_CANON.format('prediction')} THEN 'invalid' WHEN prediction = gold THEN 'correct' ELSE 'wrong' END AS outcome
  FROM ({GOLD}) g FULL OUTER JOIN ({inputs.SQL['submitted']}) s ON g.id = s.id"""
 
@@ -186,30 +216,51 @@ def _runs(spark, d):
     return joins.pool([inputs.run(spark, d, i) for i in range(3)])
 
 
-@query(f"SELECT a.label AS a, b.label AS b, used, count(*) AS n, count(*) FILTER (coalesce({_CANON.format('p')} AND p = gold, false)) AS n_correct FROM (SELECT x.label AS la, y.label AS lb, x.id, coalesce(x.prediction, y.prediction) AS p, CASE WHEN x.prediction IS NOT NULL THEN 'primary' WHEN y.prediction IS NOT NULL THEN 'fallback' ELSE 'none' END AS used FROM ({_ALL}) x JOIN ({_ALL}) y ON x.id = y.id AND x.label <> y.label) JOIN ({GOLD}) USING (id), (SELECT unnest(['base', 'tuned', 'small']) AS label) a, (SELECT unnest(['base', 'tuned', 'small']) AS label) b WHERE a.label = la AND b.label = lb GROUP BY ALL")
+@query(f"SELECT a.label AS a, b.label AS b, used, count(*) AS n, count(*) FILTER (coalesce({_CANON.format('p')} AND p = gold, false)) AS n_correct FROM (SELECT x.label AS la, y.label AS lb, x.id, {_ROUTED_XY} AS p, {_USED_XY} AS used FROM ({_ALL}) x JOIN ({_ALL}) y ON x.id = y.id AND x.label <> y.label) JOIN ({GOLD}) USING (id), (SELECT unnest(['base', 'tuned', 'small']) AS label) a, (SELECT unnest(['base', 'tuned', 'small']) AS label) b WHERE a.label = la AND b.label = lb GROUP BY ALL")
 def q_routing_pairs(spark, d):
     """All ordered pairs of runs, each with the other as its fallback."""
     routed = joins.all_routes(_runs(spark, d).select("label", "id", "prediction")).join(inputs.gold(spark, d).select("id", "gold"), "id")
     return routed.groupBy("a", "b", "used").agg(F.count("*").alias("n"), F.count_if(evaluation.is_correct(F.col("prediction"), F.col("gold"))).alias("n_correct"))
 
 
-@query(f"SELECT a.id, coalesce(a.prediction, b.prediction) AS prediction, CASE WHEN a.prediction IS NOT NULL THEN 'primary' WHEN b.prediction IS NOT NULL THEN 'fallback' ELSE 'none' END AS used FROM ({RUN[0]}) a JOIN ({RUN[1]}) b USING (id)")
+@query(f"SELECT a.id, {_ROUTED} AS prediction, {_USED} AS used FROM ({RUN[0]}) a JOIN ({RUN[1]}) b USING (id)")
 def q_route(spark, d):
     return joins.route(inputs.run(spark, d, 0), inputs.run(spark, d, 1))
 
 
-@query(f"SELECT id, prediction FROM (SELECT a.id, coalesce(a.prediction, b.prediction) AS prediction FROM ({RUN[0]}) a JOIN ({RUN[1]}) b USING (id)) WHERE prediction IS NOT NULL")
+@query(f"SELECT id, prediction FROM (SELECT a.id, {_ROUTED} AS prediction FROM ({RUN[0]}) a JOIN ({RUN[1]}) b USING (id)) WHERE prediction IS NOT NULL")
 def q_frozen_predictions(spark, d):
     """An id without any valid prediction is left out; it never becomes 0."""
     return joins.route(inputs.run(spark, d, 0), inputs.run(spark, d, 1)).where("used <> 'none'").select("id", "prediction")
 
 
-@query(f"SELECT used, count(*) AS n, count(*) FILTER (coalesce({_CANON.format('prediction')} AND prediction = gold, false)) AS n_correct FROM (SELECT a.id, coalesce(a.prediction, b.prediction) AS prediction, CASE WHEN a.prediction IS NOT NULL THEN 'primary' WHEN b.prediction IS NOT NULL THEN 'fallback' ELSE 'none' END AS used FROM ({RUN[0]}) a JOIN ({RUN[1]}) b USING (id)) JOIN ({GOLD}) USING (id) GROUP BY 1")
+@query(f"SELECT used, count(*) AS n, count(*) FILTER (coalesce({_CANON.format('prediction')} AND prediction = gold, false)) AS n_correct FROM (SELECT a.id, {_ROUTED} AS prediction, {_USED} AS used FROM ({RUN[0]}) a JOIN ({RUN[1]}) b USING (id)) JOIN ({GOLD}) USING (id) GROUP BY 1")
 def q_frozen_policy(spark, d):
     routed = joins.route(inputs.run(spark, d, 0), inputs.run(spark, d, 1)).join(inputs.gold(spark, d).select("id", "gold"), "id")
     return routed.groupBy("used").agg(F.count("*").alias("n"), F.count_if(evaluation.is_correct(F.col("prediction"), F.col("gold"))).alias("n_correct"))
 
 
+_LABELS = ("base", "tuned", "small")
+_BY_LABEL = "SELECT g.id, gold, " + ", ".join(f"(SELECT max({_READ('prediction')}) FROM r WHERE r.id = g.id AND label = '{x}') AS {x}" for x in _LABELS) + " FROM g"
+_SAYS = lambda x: f"coalesce({x} = gold, false)"
+_CASES = " UNION ALL ".join([
+    *(f"SELECT 'candidate:{x}' AS hypothesis, {_SAYS('base')} AS a_ok, {_SAYS(x)} AS b_ok, false AS resolved FROM w" for x in _LABELS[1:]),
+    *(f"SELECT 'fallback_on_invalid:{x}->{y}', {_SAYS(x)}, {_SAYS(f'coalesce({x}, {y})')}, {x} IS NULL AND {y} IS NOT NULL FROM w" for x in _LABELS for y in _LABELS if x != y),
+])
+_FAMILY = f"""WITH g AS ({GOLD}), r AS ({_ALL}), w AS ({_BY_LABEL}), c AS ({_CASES}),
+ t AS (SELECT hypothesis, count(*) AS total, count(*) FILTER (a_ok AND NOT b_ok) AS only_a, count(*) FILTER (NOT a_ok AND b_ok) AS only_b, count(*) FILTER (resolved) AS n_resolved FROM c GROUP BY 1),
+ p AS (SELECT t.*, CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1) - (only_a + only_b) * ln(2))) FROM (SELECT unnest(range(0, least(only_a, only_b) + 1)) AS k))) END AS p_value FROM t),
+ q AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p_value, hypothesis) + 1 AS l FROM p)
+SELECT hypothesis, total, only_a, only_b, n_resolved, round(p_value, 9) AS p_value, round(least(1.0, max(l * p_value) OVER v), 9) AS adjusted_p, min(CAST(p_value <= 0.05 / l AS INTEGER)) OVER v = 1 AS reject FROM q WINDOW v AS (ORDER BY p_value, hypothesis ROWS UNBOUNDED PRECEDING)"""
+
+
+@query(_FAMILY)
+def q_compare_family(spark, d):
+    """Runs against the reference and all ordered fallback routes, under one Holm step."""
+    out = evaluation.compare_family(inputs.gold(spark, d), _runs(spark, d), "base", list(_LABELS))
+    return out.select("hypothesis", "total", "only_a", "only_b", "n_resolved", F.round("p_value", 9).alias("p_value"), F.round("adjusted_p", 9).alias("adjusted_p"), "reject")
+
+
 @query(f"SELECT label, fold, count(*) AS n, count(*) FILTER (coalesce({_CANON.format('prediction')} AND prediction = gold, false)) AS n_correct FROM (SELECT r.*, g.gold FROM ({_ALL}) r JOIN ({GOLD}) g USING (id)) GROUP BY 1, 2")
 def q_oof_pool(spark, d):
     rows = _runs(spark, d).join(inputs.gold(spark, d).select("id", "gold"), "id")

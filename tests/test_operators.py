@@ -236,3 +236,20 @@ def test_ledger(spark):
     assert not ledger.audit_verdict(spark.range(64).select((F.col("id") > 4).alias("consistent"))).first().passed
     assert aggregates.top_answers(spark.createDataFrame([(0, "5"), (0, "3"), (None, "9")], "fold int, answer string"), n=1).collect()[0].answer == 3
     assert validation.leaks(spark.createDataFrame([(1, 2)], "n_rows int, gold_answer int")) == ["gold_answer"]
+
+
+def test_unreadable_primaries_are_routed(spark):
+    runs = spark.createDataFrame([("p", "1", "0123"), ("p", "2", None), ("p", "3", "4"), ("q", "1", "5"), ("q", "2", "+6"), ("q", "3", "8")], "label string, id string, prediction string")
+    p, q = (runs.where(f"label = '{x}'") for x in "pq")
+    assert {r.id: (r.prediction, r.used) for r in joins.route(p, q).collect()} == {"1": ("5", "fallback"), "2": (None, "none"), "3": ("4", "primary")}
+    gold = spark.createDataFrame([("1", "5"), ("2", "6"), ("3", "4"), ("4", "9")], "id string, gold string")
+    got = {r.hypothesis: (r.total, r.only_a, r.only_b, r.n_resolved, round(r.adjusted_p, 6)) for r in evaluation.compare_family(gold, runs, "p", ["p", "q"]).collect()}
+    assert got == {"candidate:q": (4, 1, 1, 0, 1.0), "fallback_on_invalid:p->q": (4, 0, 1, 1, 1.0), "fallback_on_invalid:q->p": (4, 0, 0, 0, 1.0)}
+
+
+def test_digests_in_either_case_are_one_identity(spark):
+    row = ("p", 0, "Final answer: 3", 1, "r", False, None, 0, "ab" * 32, "cd" * 32, "ef" * 32)
+    rows = [row, ("p", 1, "Final answer: 4", *row[3:8], *(x.upper() for x in row[8:]))]
+    df = spark.createDataFrame(rows, "problem_id string, ord long, completion string, seed long, route string, greedy boolean, verifier_passed boolean, sample_index int, prompt_sha256 string, checkpoint_sha256 string, generation_config_sha256 string")
+    assert [r.exclusion for r in voting.evaluate_candidates(df).orderBy("ord").collect()] == [None, "duplicate_generation_identity"]
+    assert voting.identity_conflicts(df).first().n_variants == 2
