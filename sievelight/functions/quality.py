@@ -77,4 +77,5 @@ def assess(df, question: str = "question_raw"):
     columns = [c for c in df.columns if c not in FLAGS and c != "flags"]
     seen = df.select(*columns, stripped(F.col(question)).alias("__q"))
     seen = seen.select(*columns, *(F.coalesce(v, F.lit(False)).alias(k) for k, v in flag_columns(F.col("__q")).items()))
-    return seen.withColumn("flags", F.array_compact(F.array(*(F.when(F.col(k), F.lit(k)) for k in FLAGS))))
+    # Spark compiles array_except, unlike array_compact, so the parts that the flags share are computed once.
+    return seen.withColumn("flags", F.array_except(F.array(*(F.when(F.col(k), F.lit(k)) for k in FLAGS)), F.array(F.lit(None).cast("string"))))

@@ -71,6 +71,6 @@ def clusters_by_label(records: DataFrame, label: str, id_col: str = "id") -> Dat
     The least is taken before rows meet it, so a label with a third of all rows is never held as a whole. Records
     without a label are groups of their own.
     """
-    rows = records.select(F.col(id_col).alias("id"), F.col(label).alias("label"))
+    rows = settled(records.select(F.col(id_col).alias("id"), F.col(label).alias("label")))  # labels can be long chains of expressions
     least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("least"))
     return meet(rows, least, "label", "left").select("id", F.coalesce("least", "id").alias("group_id"))

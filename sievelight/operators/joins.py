@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievelight.functions.text import is_canonical_integer
 
 from sievelight.operators.ranking import meet
+from sievelight.session import settled
 
 
 def exclude(records: DataFrame, excluded: DataFrame, id_col: str = "id") -> DataFrame:
@@ -48,9 +49,12 @@ def duplicate_summary(records: DataFrame, fp: str, id_col: str = "id") -> DataFr
 
 
 def cross_overlap(a: DataFrame, b: DataFrame, fp: str, id_col: str = "id") -> DataFrame:
-    """(fp, n_a, first_a, n_b, first_b) of fingerprints on both sides; each side is grouped before they meet."""
-    x = fingerprint_groups(a, fp, id_col).select("fp", F.col("n").alias("n_a"), F.col("first_id").alias("first_a"))
-    y = fingerprint_groups(b, fp, id_col).select("fp", F.col("n").alias("n_b"), F.col("first_id").alias("first_b"))
+    """(fp, n_a, first_a, n_b, first_b) of fingerprints on both sides; each side is grouped before they meet.
+
+    Ids and fingerprints are settled first: the join's tests for null would compute long fingerprints over again.
+    """
+    x = fingerprint_groups(settled(a.select(fp, id_col)), fp, id_col).select("fp", F.col("n").alias("n_a"), F.col("first_id").alias("first_a"))
+    y = fingerprint_groups(settled(b.select(fp, id_col)), fp, id_col).select("fp", F.col("n").alias("n_b"), F.col("first_id").alias("first_b"))
     return x.join(y, "fp")
 
 
