@@ -99,16 +99,21 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
     """The model, from labelled rows whose crc32(id) modulo ``folds`` isn't ``held``. It is two dictionaries and two numbers."""
     said = labels.where(F.col(label).isin(0, 1) & (F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != held))
     said = said.groupBy(id_col).agg(F.min(label).alias("__y"), F.max(label).alias("__z")).where("__y = __z").select(F.col(id_col).alias("__id"), F.col("__y").cast("int"))
-    text = F.col("text").cast("string")
-    short = documents.where(text.isNotNull() & F.octet_length(text).between(1, TRAIN_BYTES)).select(F.col(id_col).alias("__id"), text.alias("__text"))
-    own = short.join(said, "__id").withColumn("__h", F.xxhash64("__id"))
     counts = {r[0]: r[1] for r in said.groupBy("__y").count().collect()}
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     none = {"good": b"", "bad": b"", "curve": {"at": [0.0], "shares": [share], "offset": 0.0, "slope": 0.0}}
     if len(counts) < 2:
         return none
-    # Spark keeps the first TRAIN_ROWS of each task and merges them; the text follows in the same row.
-    sample = own.where("__y = 0").orderBy("__h", "__id", "__text").limit(TRAIN_ROWS).unionByName(own.where("__y = 1").orderBy("__h", "__id", "__text").limit(TRAIN_ROWS))
+    text = F.col("text").cast("string")
+    short = documents.where(text.isNotNull() & F.octet_length(text).between(1, TRAIN_BYTES)).select(F.col(id_col).alias("__id"), text.alias("__text"))
+
+    def first(rows: DataFrame, *order: str) -> DataFrame:
+        """The first TRAIN_ROWS of each label; Spark keeps as many of each task and merges them."""
+        return rows.where("__y = 0").orderBy(*order).limit(TRAIN_ROWS).unionByName(rows.where("__y = 1").orderBy(*order).limit(TRAIN_ROWS))
+
+    # Ids are drawn before texts are fetched, so no text is shuffled but the sample's; an id may stand for many rows.
+    drawn = settled(first(said.join(short.select("__id").distinct(), "__id").withColumn("__h", F.xxhash64("__id")), "__h", "__id"))
+    sample = first(short.join(F.broadcast(drawn), "__id"), "__h", "__id", "__text")  # at most 2 x TRAIN_ROWS ids
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["__h", "__id", "__text"], kind="stable")
