@@ -254,15 +254,13 @@ def share(count: np.ndarray, whole) -> np.ndarray:
     return out + 1
 
 
-def walk_piece(piece: dict | None, sources: np.ndarray, n: np.ndarray, kept: int, best: int) -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
+def walk_piece(piece: dict, sources: np.ndarray, n: np.ndarray, kept: int, best: int) -> tuple[np.ndarray, list[list[tuple[str, int]]]]:
     """(sums of all pairs of a language's sources over a piece, each source's best terms in it).
 
     ``sources`` are their sorted keys, ``n`` their occurrences of kept terms, ``kept`` the language's number of kept terms.
     """
     s = len(sources)
     pairs, top = np.zeros((s, s), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(s)]
-    if piece is None:
-        return pairs, [[] for _ in range(s)]
     sizes, counts = np.asarray(piece["sizes"], np.int64), np.asarray(piece["counts"], np.int64)
     column, ends = np.searchsorted(sources, np.asarray(piece["sources"], np.int64)), np.concatenate(([0], np.cumsum(sizes)))
     step = max(1, CELLS // s)
@@ -304,13 +302,22 @@ def audit(documents: DataFrame, least: int = 3, best: int = 200) -> DataFrame:
     kept = pieces.groupBy("lang").agg(F.sum(F.size("terms")).alias("kept"))
     groups = groups.join(sums, ["lang", "key"], "left").join(kept, "lang", "left").fillna(0, ["n", "kept"])
     groups = settled(groups)  # a row for each source of a language
-    # A language without pieces is audited through a piece of no terms.
-    asked = pieces.select("lang", "piece").unionByName(groups.select("lang", F.lit(-1).cast("long").alias("piece")).distinct())
-
-    def walk(key: tuple, own: pd.DataFrame, piece: pd.DataFrame) -> pd.DataFrame:
+    # Neighbouring pieces are walked together, about LEAVES leaves in one go, however many ranges they come from.
+    upto = Window.partitionBy("lang").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    leaves = pieces.select("lang", "piece", F.size("terms").alias("leaves"))  # a narrow row for each piece
+    bundles = leaves.select("lang", "piece", F.floor(F.coalesce(F.sum("leaves").over(upto), F.lit(0)) / LEAVES).alias("bundle"))
+    bundled = pieces.join(bundles, ["lang", "piece"]).select(F.col("lang").alias("of"), F.col("bundle").alias("part"), "piece", "terms", "sizes", "sources", "counts")
+    # A language without pieces is audited through a bundle without any.
+    asked = bundles.select("lang", "bundle").unionByName(groups.select("lang", F.lit(0).cast("long").alias("bundle"))).distinct()
+
+    def walk(key: tuple, own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("key", kind="stable")
-        names = own["source"].to_numpy()
-        pairs, top = walk_piece(piece.iloc[0].to_dict() if len(piece) else None, own["key"].to_numpy(np.int64), own["n"].to_numpy(np.int64), int(own["kept"].iloc[0]), best)
+        names, keys, n, kept = own["source"].to_numpy(), own["key"].to_numpy(np.int64), own["n"].to_numpy(np.int64), int(own["kept"].iloc[0])
+        pairs, top = np.zeros((len(names), len(names)), np.int64), [[] for _ in names]
+        for piece in found.sort_values("piece").to_dict("records"):
+            more, best_of = walk_piece(piece, keys, n, kept, best)
+            pairs += more
+            top = [sorted(x + y, key=lambda f: -f[1])[:best] for x, y in zip(top, best_of, strict=True)]  # ties stay in order
         s = len(names)
         a, b = np.nonzero(~np.eye(s, dtype=bool))
         flat = [(names[i], *x) for i, found in enumerate(top) for x in found]
@@ -318,8 +325,7 @@ def audit(documents: DataFrame, least: int = 3, best: int = 200) -> DataFrame:
         value = [*pairs[a, b].tolist(), *(f[2] for f in flat)]
         return pd.DataFrame({"lang": key[0], "source": pd.Series(source, dtype=object), "part": pd.Series(["pair"] * len(a) + ["term"] * len(flat), dtype=object), "item": pd.Series(item, dtype=object), "value": np.array(value, np.int64)})
 
-    found = pieces.select(F.col("lang").alias("of"), F.col("piece").alias("part"), "terms", "sizes", "sources", "counts")
-    walked = asked.join(groups, "lang").groupBy("lang", "piece").cogroup(found.groupBy("of", "part"))
+    walked = asked.join(groups, "lang").groupBy("lang", "bundle").cogroup(bundled.groupBy("of", "part"))
     walked = settled(walked.applyInPandas(walk, "lang string, source string, part string, item string, value long"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = walked.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(order))
