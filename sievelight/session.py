@@ -12,6 +12,7 @@ LOCAL = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -35,9 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that Spark drops the shuffles and checkpoints that nothing refers to any more.
+    """Has the driver collect its garbage, so that Spark drops the shuffles that nothing refers to any more.
 
-    Without it an iteration's files stay until the driver happens to run short of memory.
+    Without it an iteration's files stay until the driver happens to run short of memory. Checkpoints go the same way
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, as it is in ``local_session``; a session made
+    elsewhere has to set it when it starts.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
