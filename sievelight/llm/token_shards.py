@@ -99,9 +99,9 @@ def write(documents: DataFrame, folder: str | None = None, path: str | None = No
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
     where = np.unique(np.array(cuts or [], np.int64))  # at most one number for each shard
 
-    @F.pandas_udf("int")
-    def shard_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.where(x.isna(), 0, np.searchsorted(where, x.fillna(0).to_numpy("int64"), "left")).astype("int32"))
+    @F.arrow_udf("int")  # in pandas, ids beside nulls would be floats and lose their low bits
+    def shard_of(x: pa.Array) -> pa.Array:
+        return pa.array(np.where(x.is_null(), 0, np.searchsorted(where, x.fill_null(0).to_numpy(), "left")), pa.int32())
 
     # A repeated doc_id falls into one shard; shards hold equal shares of the distinct ids.
     ordered = docs.withColumn("shard", shard_of("doc_id")).repartitionById(len(where) + 1, F.col("shard"))

@@ -497,6 +497,26 @@ def test_long_and_broken_pages_take_linear_time():
         assert time.perf_counter() - began < 25, page[:20]
 
 
+def test_token_starts_of_large_ids_beside_nulls(spark, tmp_path):
+    """Ids around 2**60 and up to the greatest, with nulls in every batch, over several batches and shards."""
+    ids = [None, (1 << 63) - 1, -(1 << 63) + 1, *((1 << 60) + i for i in range(400)), None]
+    docs = spark.createDataFrame([(x, f"text {i}" * (i % 5)) for i, x in enumerate(ids)], "doc_id long, text string").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = token_shards.document_stats(token_shards.write(docs, str(tmp_path / "w"), shards=6), spark).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    code = bpe.load(bpe.default_path())
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text, r.doc_id) for r in docs.collect()))
+    want, at = [], 0
+    for _, _, text, doc_id in rows:
+        n = len(code.encode(text, add_special_tokens=False).ids) + 1
+        want.append((doc_id, at, n))
+        at += n
+    assert collections.Counter((r.doc_id, r.start, r.n_tokens) for r in got) == collections.Counter(want)
+
+
 def test_token_shards(spark, odd, tmp_path):
     tok = bpe.load(bpe.default_path())
     folder = token_shards.write(odd, str(tmp_path / "t"), shards=3)
