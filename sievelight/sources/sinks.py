@@ -7,13 +7,21 @@ written after everything else through the same file system; readers check its di
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievelight.operators import validation
+from sievelight.operators.ledger import in_order
+from sievelight.session import discard
+from sievelight.sources import jsonl
 
 MANIFEST = "_MANIFEST.json"
+# ---- fixed value -----------------------------------------------------------------------------------------------
+SOURCE_ROW = "gate-b-concise-rationale-row-v1"
+# ---- end of fixed value ------------------------------------------------------------------------------------------
 
 
 def _fs(spark: SparkSession, path: str):
@@ -121,3 +129,79 @@ def write_submission(predictions: DataFrame, expected: DataFrame, path: str, fal
     manifest = hashed({"header": ["ID", "answer"]} | digest_of(back))
     write_json(spark, f"{path}/{MANIFEST}", manifest)
     return manifest
+
+
+def publish_whole(spark: SparkSession, path: str, write, manifest_of) -> dict:
+    """Publishes a folder with its manifest in one step: both are made under a name of their own, which then is renamed.
+
+    ``write(folder)`` writes the parts, ``manifest_of(folder)`` reads them back. Whatever fails, ``path`` doesn't come to be
+    and nothing is left behind; a path that exists is an error.
+    """
+    fs, p, jvm = _fs(spark, path)
+    if fs.exists(p):
+        raise FileExistsError(path)
+    staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
+    try:
+        write(staging)
+        manifest = hashed(manifest_of(staging))
+        write_json(spark, f"{staging}/{MANIFEST}", manifest)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), p):
+            raise FileExistsError(path)
+    except BaseException:
+        discard(spark, staging)
+        raise
+    return manifest
+
+
+def source_bank(plan: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The rows of a source bank in plan order: ``plan`` (ord, problem_id, question_sha256) with what was accepted for each.
+
+    ``accepted``: problem_id, target_text, provider, model_id, model_revision, prompt_sha256, execution_sha256, seed,
+    agent_message_sha256. A row's sample_index is its position in the plan, numbered within range partitions. A planned
+    problem without exactly one accepted answer raises when the rows are read.
+    """
+    one = accepted.groupBy("problem_id").agg(F.count("*").alias("n"), F.first(F.struct(*(c for c in accepted.columns if c != "problem_id"))).alias("a"))
+    rows = in_order(plan.select("ord", "problem_id", "question_sha256"), "ord").join(one, "problem_id", "left")
+    position = F.when(F.coalesce(F.col("n"), F.lit(0)) != 1, F.raise_error(F.concat(F.lit("not exactly one accepted answer: "), "problem_id"))).otherwise(F.col("rn") - 1)
+    no, a = F.lit(False), (lambda c: F.col(f"a.{c}"))
+    teacher = F.struct(
+        a("provider").alias("provider"), a("model_id").alias("model_id"), a("model_revision").alias("model_revision"), a("prompt_sha256").alias("prompt_sha256"), a("execution_sha256").alias("generation_config_sha256"), a("seed").cast("long").alias("seed"),
+        position.alias("sample_index"), a("agent_message_sha256").alias("raw_generation_sha256"), no.alias("reference_answer_in_prompt"), F.lit("training_only").alias("network_scope"),
+    )
+    verification = F.struct(F.lit("accepted").alias("status"), F.lit("reference_answer_exact_match").alias("method"), no.alias("leaderboard_or_test_used"), no.alias("locked_holdout_accessed"), no.alias("tool_used"))
+    return rows.select("ord", F.lit(SOURCE_ROW).alias("schema_version"), "problem_id", "question_sha256", a("target_text").alias("target_text"), F.sha2(a("target_text"), 256).alias("target_sha256"), teacher.alias("teacher"), verification.alias("verification"))
+
+
+def _sorted_json(df: DataFrame) -> Column:
+    """A row as compact JSON, keys sorted at every depth, nulls kept."""
+
+    def tidy(c: Column, kind) -> Column:
+        if isinstance(kind, StructType):
+            return F.struct(*(tidy(c[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)))
+        return c
+
+    fields = sorted(df.schema, key=lambda f: f.name)
+    return F.to_json(F.struct(*(tidy(F.col(f.name), f.dataType).alias(f.name) for f in fields)), {"ignoreNullFields": "false"})
+
+
+def write_source_bank(plan: DataFrame, accepted: DataFrame, path: str, note: dict | None = None) -> dict:
+    """Publishes the bank as JSON lines in parts whose name order is the plan's, together with its manifest or not at all."""
+    spark = plan.sparkSession
+    rows = source_bank(plan, accepted)
+    parts = rows.repartitionByRange("ord").sortWithinPartitions("ord")
+    lines = parts.select(_sorted_json(rows.drop("ord")).alias("value"))
+
+    def manifest(folder: str) -> dict:
+        return (note or {}) | {"kind": "source_bank", "schema_version": SOURCE_ROW} | digest_of(spark.read.option("lineSep", "\n").text(folder))
+
+    return publish_whole(spark, path, lambda folder: lines.write.option("lineSep", "\n").mode("errorifexists").text(folder), manifest)
+
+
+def load_source_bank(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """The bank's rows in the order of ``expected`` (ord, problem_id), after its manifest and every line were found sound."""
+    manifest = json.loads(read_text(spark, f"{path}/{MANIFEST}"))
+    if not is_intact(manifest) or digest_of(spark.read.option("lineSep", "\n").text(path)) != {k: manifest[k] for k in ("rows", "hash_a", "hash_b")}:
+        raise ValueError(f"{path}: the manifest doesn't match the rows")
+    rows, issues = jsonl.load_rationales(spark, path, expected)
+    validation.require_valid(issues, "source bank")
+    return rows

@@ -130,3 +130,56 @@ def test_stream(spark, sf):
 
     first = attempts.first_attempts(spark, f"{sf}/events.parquet", ["user_id"])
     assert first.count() >= spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+
+
+def run_line(**own):
+    kinds = {"string": "x", "long": 7, "double": 0.5, "boolean": False}
+    fields = [x.strip().rsplit(" ", 1) for x in jsonl.RUN_RECORD.replace("\n", " ").split(",")]
+    return json.dumps({n: kinds[t] for n, t in fields} | {"sample_index": 0, "parse": {"status": "ok", "value": 1}} | own)
+
+
+def test_run_records_are_read_strictly(spark, tmp_path):
+    good = [run_line(problem_id=f"train-{i:06d}", seed=i) for i in (4, 2, 3)]
+    cases = {
+        run_line(problem_id="train-000001").replace('"seed": 7', '"seed": 7, "seed": 8'): "repeated_key", run_line(problem_id="train-000001").replace('"value": 1', '"value": {"a": [1, {"b": 1, "b": 2}]}'): "repeated_key",
+        run_line(problem_id="train-000001", more=1): "key_set", run_line(problem_id="train-000001", latency_ms=float("nan")): "constant", run_line(problem_id="train-000001") + "{}": "invalid_json", run_line(problem_id="train-000001")[:-1]: "invalid_json", "": "blank_line", " \t": "blank_line",
+        run_line(problem_id="train-000001", sample_index=1): "sample_index", run_line(problem_id="train-000001", sample_index=True): "types", run_line(problem_id="train-000001", sample_index=0.0): "types", run_line(problem_id="train-000001", seed="7"): "types", "[1]": "not_an_object", "7": "not_an_object", "﻿{}": "invalid_json",
+    }
+    expected = spark.createDataFrame([(9, "train-000003"), (7, "train-000002"), (8, "train-000004")], "ord long, problem_id string")
+    rows, issues = jsonl.load_run(spark, put(tmp_path, "good.jsonl", "\n".join(good) + "\n"), expected)
+    assert issues.collect() == []
+    assert [(r.problem_id, r.seed, r.parse) for r in rows.collect()] == [(f"train-{i:06d}", i, '{"status":"ok","value":1}') for i in (2, 4, 3)]
+    for i, (line, code) in enumerate(cases.items()):
+        rows, issues = jsonl.load_run(spark, put(tmp_path, f"bad{i}.jsonl", "\n".join([*good, line]) + "\n"), expected)
+        assert [r.code for r in issues.collect()] == [code], line
+    _, issues = jsonl.load_run(spark, put(tmp_path, "ends.jsonl", "\n".join(good)), expected)
+    assert [r.code for r in issues.collect()] == ["final_lf"]
+    _, issues = jsonl.load_run(spark, put(tmp_path, "ids.jsonl", "\n".join([good[0], good[0], run_line(problem_id="train-000009"), run_line(problem_id="x")]) + "\n"), expected)
+    assert sorted(map(tuple, issues.collect())) == [("train-000002", "missing"), ("train-000003", "missing"), ("train-000004", "duplicate"), ("train-000009", "extra"), ("x", "extra"), ("x", "id_form")]
+    _, issues = jsonl.load_run(spark, put(tmp_path, "bytes.jsonl", good[0].encode() + b"\n" + good[1].replace('"x"', '"\xff"').encode("latin-1") + b"\n"), expected.limit(0))
+    assert "encoding" in {r.code for r in issues.collect()}
+    _, issues = jsonl.load_run(spark, put(tmp_path, "none.jsonl", ""), expected.limit(0))
+    assert issues.collect() == []
+
+
+def test_source_bank_is_published_whole_or_not_at_all(spark, tmp_path):
+    plan = spark.createDataFrame([(30 - i, f"train-{i:06d}", "q") for i in range(30)], "ord long, problem_id string, question_sha256 string")
+    accepted = plan.select("problem_id", F.concat(F.lit("ü "), "problem_id").alias("target_text"), *(F.lit(c).alias(c) for c in ("provider", "model_id", "model_revision", "prompt_sha256", "execution_sha256", "agent_message_sha256")), F.lit(5).alias("seed"))
+    at = str(tmp_path / "bank")
+    manifest = sinks.write_source_bank(plan, accepted, at, {"plan": "p1"})
+    assert manifest["rows"] == 30 and manifest["plan"] == "p1" and sorted(p.name for p in tmp_path.iterdir()) == ["bank"]
+    rows = sinks.load_source_bank(spark, at, plan).collect()
+    assert [(r.problem_id, r.teacher.sample_index, r.target_text) for r in rows] == [(f"train-{29 - i:06d}", i, f"ü train-{29 - i:06d}") for i in range(30)]
+    line = json.loads(sorted((tmp_path / "bank").glob("part-*"))[0].read_text().splitlines()[0])
+    assert list(line) == sorted(line) and list(line["teacher"]) == sorted(line["teacher"]) and line["verification"]["status"] == "accepted"
+    with pytest.raises(FileExistsError):
+        sinks.write_source_bank(plan, accepted, at)
+    for bad in (accepted.where("problem_id <> 'train-000007'"), accepted.unionByName(accepted.limit(1))):  # a task fails midway
+        with pytest.raises(Exception, match="not exactly one"):
+            sinks.write_source_bank(plan, bad, str(tmp_path / "other"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bank"]
+    part = sorted((tmp_path / "bank").glob("part-*"))[0]
+    part.write_text(part.read_text().replace("ü", "u"))
+    (tmp_path / "bank" / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="manifest"):
+        sinks.load_source_bank(spark, at, plan)
