@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import json
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievelight.functions import quality
 from sievelight.functions import text as T
@@ -30,39 +37,53 @@ def flag_histogram(records: DataFrame, question: str = "question_raw") -> DataFr
     return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("flag"), F.col(k).alias("n")) for k in quality.FLAGS))).alias("x")).select("x.flag", "x.n").where("n > 0")
 
 
-def answer_summary(records: DataFrame, answer: str = "answer") -> DataFrame:
-    """One row over the distinct answers and their counts; the most frequent answer is the smallest among equals."""
-    counts = records.where(F.col(answer).isNotNull()).groupBy(F.col(answer).cast("decimal(38,0)").alias("a")).agg(F.count("*").alias("n"))
-    m = F.abs("a")
+def _plain(answer: Column) -> Column:
+    """An integer answer as text: without leading zeros where it has up to 38 digits, as it stands beyond."""
+    return F.coalesce(answer.try_cast("decimal(38,0)").cast("string"), answer.cast("string"))
+
+
+def _by_value(a: Column) -> Column:
+    """What orders integers of any length, given as text: negatives by falling magnitude, then the rest by rising."""
+    negative, digits = a.startswith("-"), F.ltrim(a, F.lit("-"))
+    return F.struct(F.when(negative, -F.length(digits)).otherwise(F.length(digits)).alias("size"), F.when(negative, F.translate(digits, "0123456789", "9876543210")).otherwise(digits).alias("digits"), a.alias("a"))
+
+
+def answer_summary(records: DataFrame, answer: str = "answer", as_text: bool = False) -> DataFrame:
+    """One row over the distinct answers and their counts; the most frequent answer is the smallest among equals.
+
+    Answers may have any number of digits. With ``as_text`` the integers come as text, whole; without, as longs, null beyond 64 bits.
+    """
+    counts = records.where(F.col(answer).isNotNull()).groupBy(_plain(F.col(answer)).alias("a")).agg(F.count("*").alias("n"))
+    counts = counts.select("n", _by_value(F.col("a")).alias("v"), _by_value(F.ltrim("a", F.lit("-"))).alias("m"), F.abs(F.col("a").try_cast("double")).alias("size"), F.col("a").startswith("-").alias("negative"))
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("a").alias("a")))
-    weighted = [F.min(m).cast("long").alias("abs_min"), *(F.round(F.percentile(m.cast("double"), p, F.col("n")), 6).alias(f"abs_{k}") for k, p in QUANTILES.items()), F.max(m).cast("long").alias("abs_max")]
+    kind = lambda c: c if as_text else c.try_cast("long")
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("v").alias("v")))
+    weighted = [kind(F.min("m")["a"]).alias("abs_min"), *(F.round(F.percentile("size", p, F.col("n")), 6).alias(f"abs_{k}") for k, p in QUANTILES.items()), kind(F.max("m")["a"]).alias("abs_max")]
+    m = F.col("size")
     out = counts.agg(
-        F.count("*").alias("unique_count"), F.min("a").cast("long").alias("minimum"), F.max("a").cast("long").alias("maximum"), total(F.col("a") < 0).alias("negative_count"), total(F.col("a") == 0).alias("zero_count"), total(F.col("a") > 0).alias("positive_count"),
+        F.count("*").alias("unique_count"), kind(F.min("v")["a"]).alias("minimum"), kind(F.max("v")["a"]).alias("maximum"), total(F.col("negative")).alias("negative_count"), total(m == 0).alias("zero_count"), total(~F.col("negative") & (m > 0)).alias("positive_count"),
         best.alias("best"), *weighted, *(total(m <= b).alias(f"abs_le_{b}_count") for b in (10, 100, 1000)), total(m >= 10**6).alias("abs_ge_1e6_count"), total(m >= 10**12).alias("abs_ge_1e12_count"),
     )
-    return out.withColumns({"most_common_answer": F.col("best.a").cast("long"), "most_common_count": (-F.col("best.less")).cast("long")}).drop("best")
+    return out.withColumns({"most_common_answer": kind(F.col("best.v.a")), "most_common_count": (-F.col("best.less")).cast("long")}).drop("best")
 
 
 def strata(records: DataFrame, by: str = "fold") -> DataFrame:
     """(by, kind, stratum, n): counts of answer signs, magnitudes and flags per fold. Rows with a null ``by`` (the sealed holdout) give nothing."""
-    a = F.col("answer").cast("decimal(38,0)")
+    a = F.col("answer").try_cast("double")  # signs and magnitudes of integers of any length
     seen = quality.assess(records.where(F.col(by).isNotNull()).select(by, "question_raw", T.answer_sign(a).alias("sign"), T.answer_bucket(a).alias("bucket")))
     kinds = F.concat(F.array(F.struct(F.lit("sign").alias("kind"), F.col("sign").alias("stratum")), F.struct(F.lit("bucket").alias("kind"), F.col("bucket").alias("stratum"))), F.transform("flags", lambda f: F.struct(F.lit("flag").alias("kind"), f.alias("stratum"))))
     return seen.select(by, F.explode(kinds).alias("k")).groupBy(by, "k.kind", "k.stratum").agg(F.count("*").alias("n"))
 
 
-def top_answers(records: DataFrame, by: str = "fold", n: int = 10) -> DataFrame:
-    """(by, place, answer, n): the most frequent answers of each fold, smaller ones first among equals.
+def top_answers(records: DataFrame, by: str = "fold", n: int = 10, as_text: bool = False) -> DataFrame:
+    """(by, place, answer, n): the most frequent answers of each fold, smaller ones first among equals; answers as in ``answer_summary``.
 
-    The counts per answer are salted into partial lists of n, so no task ranks a whole fold's answers.
+    Spark keeps the first n of each fold in every task before a fold's rows meet.
     """
-    counts = records.where(F.col(by).isNotNull()).groupBy(by, F.col("answer").cast("decimal(38,0)").alias("a")).agg(F.count("*").alias("c"))
-    order = F.struct((-F.col("c")).alias("less"), "a")
-    firsts = lambda x: F.slice(F.array_sort(x), 1, n)
-    part = counts.groupBy(by, F.pmod(F.xxhash64("a"), F.lit(256)).alias("salt")).agg(firsts(F.collect_list(order)).alias("l"))
-    best = part.groupBy(by).agg(firsts(F.flatten(F.collect_list("l"))).alias("l"))
-    return best.select(by, F.posexplode("l").alias("place", "x")).select(by, (F.col("place") + 1).alias("place"), F.col("x.a").cast("long").alias("answer"), (-F.col("x.less")).cast("long").alias("n"))
+    counts = records.where(F.col(by).isNotNull()).groupBy(by, _plain(F.col("answer")).alias("a")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), _by_value(F.col("a"))))
+    answer = F.col("a") if as_text else F.col("a").try_cast("long")
+    return counts.withColumn("place", place).where(F.col("place") <= n).select(by, "place", answer.alias("answer"), "n")
 
 
 def run_manifest(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -79,6 +100,61 @@ def run_manifest(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+#: Bits of a double's fraction, and of the halves that are summed.
+_FRACTION, _HALF = 53, 27
+
+
+def exact_sum(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by, total): the sum of doubles, rounded once, whatever their order and partitions. NaN and infinities give NaN or an infinity.
+
+    A double is an integer times a power of two. Tasks add up the integers of each power in two halves, Spark adds the
+    tasks' sums as decimals, and the at most 2,100 powers of a group are put together exactly at the end.
+    """
+    keys = by or []
+    schema = StructType([*rows.select(*keys).schema.fields, *StructType.fromDDL("power int, high long, low long, odd double").fields])
+
+    def run(frames):
+        for f in frames:
+            x = f[value].to_numpy("float64", na_value=0.0)
+            whole = np.isfinite(x)
+            fraction, power = np.frexp(np.where(whole, x, 0.0))
+            n = np.ldexp(fraction, _FRACTION).astype(np.int64)
+            part = f[keys].assign(power=(power - _FRACTION).astype("int32"), high=n >> _HALF, low=n & ((1 << _HALF) - 1), odd=np.where(whole, 0.0, x))
+            yield part.groupby([*keys, "power"], as_index=False, dropna=False).agg({"high": "sum", "low": "sum", "odd": "sum"})[[*keys, "power", "high", "low", "odd"]]
+
+    @F.udf("double")
+    def joined(parts):
+        total = sum((Fraction(int(p["high"])) * (1 << _HALF) + int(p["low"])) * Fraction(2) ** p["power"] for p in parts)
+        return float(total)
+
+    seen = rows.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    sums = seen.mapInPandas(run, schema).groupBy(*keys, "power").agg(*(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "low")), F.sum("odd").alias("odd"))
+    out = sums.groupBy(*keys).agg(F.sum("odd").alias("odd"), joined(F.collect_list(F.struct("power", "high", "low"))).alias("total"))
+    return out.select(*keys, F.when(F.col("odd") == 0, F.col("total")).otherwise(F.col("odd")).alias("total"))
+
+
+def sequence_sha256(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """(column, n, sha256): the digest of each column's values as a compact JSON list in order.
+
+    A digest of a sequence is itself sequential, so one task reads the range-ordered partitions one after the other and
+    keeps a hash state for each column, never the list. Texts are quoted as JSON without escaping non-ASCII; nulls are null.
+    An empty table gives no row.
+    """
+    ordered = rows.orderBy(*order).select(*columns).coalesce(1)
+
+    def run(batches):
+        state, n = [hashlib.sha256(b"[") for _ in columns], 0
+        for b in batches:
+            for s, values in zip(state, b.columns, strict=True):
+                said = ",".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in values.to_pylist())
+                s.update((("," if n and said else "") + said).encode())
+            n += b.num_rows
+        ends = [s.hexdigest() for s in state if s.update(b"]") is None]
+        yield pa.RecordBatch.from_pydict({"column": columns, "n": [n] * len(columns), "sha256": ends}, pa.schema([("column", pa.string()), ("n", pa.int64()), ("sha256", pa.string())]))
+
+    return ordered.mapInArrow(run, "column string, n long, sha256 string")
+
+
 def token_profile(tokens: DataFrame, limits: tuple[int, ...] = (1024, 2048, 4096)) -> DataFrame:
     """One row over (id, tokens): lengths and how many lie above each limit."""
     c = F.col("tokens")

@@ -250,3 +250,15 @@ def q_stream_hours(spark, d):
     return stream.hourly(spark, f"{d}/events.parquet")
 
 
+_IN_ORDER = "problem_id, sample_index, seed, completion"
+
+
+@query(f"""WITH r AS ({RUNS}) SELECT route, 'latency_ms' AS name, count(*) AS n, round(CAST(sum(CAST(latency_ms AS DECIMAL(20,6))) AS DOUBLE), 6) AS total, NULL AS sha256 FROM r GROUP BY 1
+UNION ALL SELECT NULL, 'seed', count(*), NULL, sha256('[' || string_agg(CAST(seed AS VARCHAR), ',' ORDER BY {_IN_ORDER}) || ']') FROM r UNION ALL SELECT NULL, 'completion', count(*), NULL, sha256('[' || string_agg('"' || replace(completion, chr(10), chr(92) || 'n') || '"', ',' ORDER BY {_IN_ORDER}) || ']') FROM r""")
+def q_generation_evidence(spark, d):
+    """Exact latency totals of each route, and the digests of seeds and completions in the order of problems and samples."""
+    rows = inputs.runs(spark, d)
+    sums = aggregates.exact_sum(rows, "latency_ms", ["route"]).join(rows.groupBy("route").agg(F.count("latency_ms").alias("n")), "route")
+    sums = sums.select("route", F.lit("latency_ms").alias("name"), "n", F.round("total", 6).alias("total"), F.lit(None).cast("string").alias("sha256"))
+    told = aggregates.sequence_sha256(rows, ["problem_id", "sample_index", "seed", "completion"], ["seed", "completion"])
+    return sums.unionByName(told.select(F.lit(None).cast("string").alias("route"), F.col("column").alias("name"), "n", F.lit(None).cast("double").alias("total"), "sha256"))

@@ -253,3 +253,42 @@ def test_digests_in_either_case_are_one_identity(spark):
     df = spark.createDataFrame(rows, "problem_id string, ord long, completion string, seed long, route string, greedy boolean, verifier_passed boolean, sample_index int, prompt_sha256 string, checkpoint_sha256 string, generation_config_sha256 string")
     assert [r.exclusion for r in voting.evaluate_candidates(df).orderBy("ord").collect()] == [None, "duplicate_generation_identity"]
     assert voting.identity_conflicts(df).first().n_variants == 2
+
+
+def test_answers_of_any_length(spark):
+    values = ["5", "5", "-3", "0", "9" * 25, "9" * 60, "1" + "0" * 60, "-" + "8" * 60, "-" + "9" * 60, "-" + "1" * 45, "10", "100", "1000", "1000000", "-1000000000000"]
+    df = spark.createDataFrame([(0, v) for v in values] + [(0, None)], "fold int, answer string").repartition(3)
+    r = aggregates.answer_summary(df, as_text=True).first()
+    ints = sorted(map(int, values))
+    assert (int(r.minimum), int(r.maximum), int(r.abs_min), int(r.abs_max), r.most_common_answer, r.most_common_count) == (ints[0], ints[-1], 0, max(map(abs, ints)), "5", 2)
+    assert (r.unique_count, r.negative_count, r.zero_count, r.positive_count) == (14, 5, 1, 9)
+    assert (r.abs_le_10_count, r.abs_le_100_count, r.abs_le_1000_count, r.abs_ge_1e6_count, r.abs_ge_1e12_count) == (5, 6, 7, 8, 7)
+    assert aggregates.answer_summary(df).first().minimum is None
+    top = [x.answer for x in aggregates.top_answers(df.where("answer IS NOT NULL"), n=20, as_text=True).orderBy("place").collect()]
+    assert top == ["5", *(str(i) for i in ints if i != 5)]
+    assert aggregates.answer_summary(df.limit(0)).first().unique_count == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_exact_sums_equal_fsum(spark, parts):
+    import math
+
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal(3000) * 10.0 ** rng.integers(-300, 300, 3000)).tolist() + [1e308, -1e308, 5e-324, -5e-324, 0.1, 0.2, 0.3, 1e16, 1.0, -1e16, 0.0, -0.0]
+    small = rng.random(500).tolist()
+    df = spark.createDataFrame([("a", v) for v in x] + [("b", v) for v in small] + [("c", None), ("d", float("inf")), ("d", 1.0), (None, 2.5)], "k string, v double").repartition(parts)
+    got = {r.k: r.total for r in aggregates.exact_sum(df, "v", ["k"]).collect()}
+    assert got == {"a": math.fsum(x), "b": math.fsum(small), "d": float("inf"), None: 2.5}
+    assert aggregates.exact_sum(df.where("k = 'b'"), "v").first().total == math.fsum(small)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_digests_of_sequences(spark, parts):
+    import hashlib
+    import json
+
+    rows = [(i, i * 7 % 50, None if i % 9 == 0 else f'ü "{i}"\n') for i in range(200)]
+    got = aggregates.sequence_sha256(spark.createDataFrame(rows, "i int, seed int, said string").repartition(parts), ["i"], ["seed", "said"]).collect()
+    digest = lambda k: hashlib.sha256(json.dumps([r[k] for r in rows], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    assert [tuple(r) for r in got] == [("seed", 200, digest(1)), ("said", 200, digest(2))]
+    assert aggregates.sequence_sha256(spark.createDataFrame([], "i int, seed int"), ["i"], ["seed"]).collect() == []
