@@ -229,8 +229,8 @@ def search(vectors: DataFrame, is_query, top: int = 20, probe: int | None = None
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks in order, each with its entries before its queries."""
-        at, parts, ids, x = None, [], [], None
-        hit = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))
+        at, parts, ids, of, x = None, [], [], [], None
+        hit = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64()), ("same", pa.bool_())]))
         for b in batches:
             pages, ebs, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             cuts = np.flatnonzero((np.diff(pages) != 0) | (np.diff(ebs) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
@@ -238,25 +238,30 @@ def search(vectors: DataFrame, is_query, top: int = 20, probe: int | None = None
                 if lo == hi:
                     continue
                 if at != (pages[lo], ebs[lo]):
-                    at, parts, ids, x = (pages[lo], ebs[lo]), [], [], None
+                    at, parts, ids, of, x = (pages[lo], ebs[lo]), [], [], [], None
                 v = _matrix(b.column(4).slice(lo, hi - lo).to_pylist(), dim)
                 if not asks[lo]:
                     parts.append(v)
                     ids += b.column(5).slice(lo, hi - lo).to_pylist()
+                    of += b.column(3).slice(lo, hi - lo).to_pylist()
                     continue
                 if not parts:
                     continue  # a block that the hash left empty
                 x = np.concatenate(parts) if x is None else x
                 keys = b.column(3).slice(lo, hi - lo)
                 for a in range(0, len(v), 256):
-                    out = [[{"far": f, "id": d} for f, d, _ in best_hits(own, ids, top + 1)] for own in v[a : a + 256] @ x.T]
-                    yield pa.RecordBatch.from_arrays([keys.slice(a, 256), pa.array(out, hit)], ["qkey", "hits"])
+                    some = keys.slice(a, 256)
+                    out = [[{"far": f, "id": d, "same": of[i] == q} for f, d, i in best_hits(own, ids, top + 1)] for q, own in zip(some.to_pylist(), v[a : a + 256] @ x.T, strict=True)]
+                    yield pa.RecordBatch.from_arrays([some, pa.array(out, hit)], ["qkey", "hits"])
 
     probes = questions.select("vkey", "v").transform(ts.in_batches, traverse, schema)
     dealt = placed.select("vkey", "ids", "v", "cell").transform(ts.in_batches, deal, schema)
     met = dealt.unionByName(probes).repartition("page", "eb").sortWithinPartitions("page", "eb", "asks")
-    ranked = met.transform(ts.in_batches, rank, "qkey binary, hits array<struct<far:double,id:long>>")
+    ranked = met.transform(ts.in_batches, rank, "qkey binary, hits array<struct<far:double,id:long,same:boolean>>")
     merged = ranked.groupBy("qkey").agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, top + 1).alias("hits"))
     own = asked.select("vec_id", "vkey").distinct().join(merged, F.col("vkey") == F.col("qkey"))
-    best = F.slice(F.filter("hits", lambda h: h["id"] != F.col("vec_id")), 1, top)
+    # One hit is the query's own row: its id on its own vector. Other rows of that id are candidates like any.
+    self_at = F.array_position(F.transform("hits", lambda h: h["same"] & (h["id"] == F.col("vec_id"))), True).cast("int")
+    others = F.when(self_at > 0, F.concat(F.slice("hits", 1, self_at - 1), F.slice("hits", self_at + 1, top + 1))).otherwise(F.col("hits"))
+    best = F.slice(others, 1, top)
     return own.select(F.col("vec_id").alias("query_id"), F.posexplode(best).alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
