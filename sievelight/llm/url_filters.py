@@ -51,21 +51,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", host_of(F.col("url")).alias("dst")).where("dst <> '' AND src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, reverse: bool = False, rounds: int = 8, damping: float = 0.85, cut_every: int = 4) -> DataFrame:
-    """(host, score) by personalised PageRank over (src, dst, n) from seeds (host, weight); weights are shares of 1."""
+def propagate(edges: DataFrame, seeds: DataFrame, reverse: bool = False, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+    """(host, score) by personalised PageRank over (src, dst, n) from seeds (host, weight); weights are shares of 1.
+
+    Every round starts from a written table, so plans don't grow with the rounds; the mass on hosts without outgoing
+    edges, one number, goes back to the seeds. Without edges the seeds keep all of it.
+    """
     if reverse:
         edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    score = seeds.select("host", F.col("weight").alias("score")).checkpoint()
+    if edges.isEmpty():
+        return score
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    steps = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
-    score = seeds.select("host", F.col("weight").alias("score"))
-    base = seeds.select("host", (F.col("weight") * (1 - damping)).alias("score"))
-    for i in range(rounds):
-        moved = steps.join(score, steps.src == score.host).groupBy("dst").agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
-        stuck = score.join(out, score.host == out.src, "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("stuck"))  # one row
-        back = seeds.crossJoin(stuck).select("host", (F.col("weight") * F.col("stuck") * damping).alias("score"))
-        score = base.unionByName(back).unionByName(moved.withColumnRenamed("dst", "host")).groupBy("host").agg(F.sum("score").alias("score"))
-        if (i + 1) % cut_every == 0 and i + 1 < rounds:
-            score = score.checkpoint()
+    steps = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")).checkpoint()
+    leaving, base = steps.select("src").distinct().checkpoint(), score
+    for _ in range(rounds):
+        stuck = score.join(leaving, score.host == leaving.src, "left_anti").agg(F.sum("score")).first()[0] or 0.0
+        moved = steps.join(score, steps.src == score.host).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
+        home = base.select("host", (F.col("score") * F.lit(1 - damping + damping * stuck)).alias("score"))
+        score = home.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score")).checkpoint()
     return score
 
 
