@@ -9,7 +9,8 @@ Every finding maps back to the outermost characters that carry it.
 Escapes nested up to ``ESCAPE_LEVELS`` deep are unwrapped a level at a time. Deeper ones are replaced at once, in time
 proportional to their length: no two escapes overlap, so every order of replacement ends in the same layer. Base64 is
 read at all four alignments of a run, as what stands before it may look like base64 too, and whatever bytes it gives
-are scanned. Compressed data is looked for anywhere in a layer, members and all.
+are scanned; runs of 16 characters and more that follow one another in lines are also read as one. Compressed data is
+looked for anywhere in a layer, members and all.
 
 Edge cases: null counts as empty; undecodable regions are left alone; the same span found through several layers is
 reported once; very long texts are scanned whole; a decompressed layer longer than ``MAX_LAYER`` bytes is scanned in
@@ -41,11 +42,15 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 
 ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})")
 BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines, as mail and key files have it.
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]++={0,2}")
 COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 ESCAPE_LEVELS = 8
 MAX_LAYER = 16 << 20
 _OVERLAP = 1 << 16
 _URL_SAFE = bytes.maketrans(b"-_", b"+/")
+_BASE64 = np.zeros(256, bool)
+_BASE64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")] = True
 _HEX_DIGITS = frozenset(b"0123456789abcdefABCDEF")
 
 
@@ -133,6 +138,15 @@ def _layers(raw: bytes) -> Iterator[tuple[bytes, callable]]:
             own = own[: len(own) - (len(own) % 4 == 1)]
             start, end = m.start() + skip, m.end()
             yield base64.b64decode(own + b"=" * (-len(own) % 4)), lambda s, e, a=start, z=end: (a + s // 3 * 4, min(z, a + -(-e // 3) * 4))
+    for m in WRAPPED.finditer(raw):
+        own = np.frombuffer(m[0], np.uint8)
+        where = np.flatnonzero(_BASE64[own])
+        body = own[where].tobytes().translate(_URL_SAFE)
+        where += m.start()
+        for skip in range(4):
+            part = body[skip:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            yield base64.b64decode(part + b"=" * (-len(part) % 4)), lambda s, e, w=where[skip : skip + len(part)]: (int(w[s // 3 * 4]), int(w[min(len(w), -(-e // 3) * 4) - 1]) + 1)
     at = 0
     while m := COMPRESSED.search(raw, at):
         at = m.start() + 1

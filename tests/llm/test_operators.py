@@ -127,6 +127,19 @@ def test_nearest_neighbours(spark, sf):
     assert ann.search(df.where("vec_id < 5"), "vec_id = 0").count() == 4
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Only a query's own row is left out: other rows of its id, on its vector or another, are candidates."""
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0, 0.5, 0.0])] * 30 + [(20, [1.0, 0.5, 0.0]), (0, [0.0, 0.0, 2.0]), (40, [1.0, 0.5, 0.0]), (7, [1.0, 0.5, 0.0])] + [(100 + i, rng.normal(size=3).tolist()) for i in range(40)]
+    got = collections.Counter(tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), "vec_id % 20 = 0").select("query_id", "rank", "vec_id").collect())
+    want = collections.Counter()
+    for i, v in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+        own = rows.index((i, list(v)))
+        order = sorted((-float(np.dot(v, w)), j) for k, (j, w) in enumerate(rows) if k != own)
+        want.update((i, n + 1, j) for n, (_, j) in enumerate(order[:20]))
+    assert got == want
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=5), rng.normal(size=7)
@@ -592,6 +605,26 @@ def test_equal_secret_layers_all_have_spans():
         assert two not in masked and outer not in masked
 
 
+@pytest.mark.parametrize(("width", "end"), [(16, "\n"), (64, "\n"), (76, "\r\n"), (64, " \n\t")])
+def test_secret_in_wrapped_base64(width, end):
+    rng = np.random.default_rng(4)
+    for at in range(40, 60):
+        inner = bytes(rng.integers(97, 123, at).astype(np.uint8)) + b" password=hunter22 " + bytes(rng.integers(97, 123, 70).astype(np.uint8))
+        code = base64.b64encode(inner).decode()
+        text = "é key:\n" + end.join(code[i : i + width] for i in range(0, len(code), width)) + " end"
+        _, spans = secret_scan.scan_text(text)
+        assert any(k == 0 and "".join(text[s:e].split()) in code and base64.b64decode("".join(text[s:e].split()))[:0] == b"" and b"password=hunter22" in base64.b64decode("".join(text[s:e].split())) for s, e, k in spans), (at, spans)
+
+
+def test_secret_lines_without_end_are_linear():
+    import time
+
+    for text in ("A" * 2_000_000, ("A" * 15 + "\n") * 100_000, ("A" * 40 + "\n") * 20_000, "A" * 20 + " " * 1_000_000, ("A" * 16 + " " * 16) * 30_000):
+        t = time.process_time()
+        secret_scan.scan_text(text)
+        assert time.process_time() - t < 8
+
+
 def test_secret_cycles_end(monkeypatch):
     # a's layer is b, b's are a and c, c's is a: a cycle that must not hide what c holds where c also occurs outside.
     links = {b"root": [b"a", b"c"], b"a": [b"b"], b"b": [b"a", b"c"], b"c": [b"a", b"token=abcdef"]}
