@@ -2,8 +2,9 @@
 
 A page becomes a list of text blocks with their place in the DOM. A small linear classifier turns each block's features
 into log-odds, the terminal capacities. Neighbouring blocks, the more of the DOM path they share, and blocks of the same
-parent are tied by smoothness edges of the same scale, so a block without telling features goes with its surroundings.
-The minimum cut labels all blocks at once; its source side is the main text.
+parent are tied by smoothness edges of the same scale, so a block without telling features goes with its surroundings,
+but no tie leads into or out of a subtree whose tag or names announce adverts, asides, notices, comments and the like,
+and standing inside the article doesn't speak for such a subtree. The minimum cut labels all blocks at once; its source side is the main text.
 
 Text that is never shown (scripts, styles, the head, and so on) makes no blocks; menus, footers and forms do, with costs
 of their own. A node whose terminal costs differ by more than all its ties can't change sides, so it's settled before
@@ -44,6 +45,10 @@ _ATTR = re.compile(r"(?i)\b(class|id|role|aria-label|itemprop|hidden|style|aria-
 # Fixed word patterns of class, id and role.
 BAD = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|widget\w*|menu|nav\w*|breadcrumbs?|header|masthead|footer|foot|cookie\w*|consent|notice\w*|notification|gdpr|popup|modal|overlay|comments?|commentlist|disqus|replies|reply|respond|related|recommend\w*|share\w*|sharing|social|subscribe|newsletter|signup|login|search|toolbar|pagination|pager|copyright|legal|disclaimer|tags?|alert|complementary|contentinfo|navigation|hidden)(?=$|[\s_-])")
 GOOD = re.compile(r"(?i)(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|text|body|article-?body|hentry|page-?content)(?=$|[\s_-])")
+#: What may turn out to be content once the page is known: headers within named content, articles within noise.
+TITLE, ARTICLE = "title", "article"
+#: Of the bad words, those that name a title where an article is open.
+TITLES = frozenset(("header", "masthead"))
 _SPACE = re.compile(r"\s+")
 
 
@@ -51,10 +56,10 @@ IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 
 
 class Block:
-    __slots__ = ("text", "node", "tag", "links", "bad", "good", "frame")
+    __slots__ = ("text", "node", "tag", "links", "bad", "good", "frame", "noise", "held")
 
-    def __init__(self, text, node, tag, links, bad, good, frame):
-        self.text, self.node, self.tag, self.links, self.bad, self.good, self.frame = text, node, tag, links, bad, good, frame
+    def __init__(self, text, node, tag, links, bad, good, frame, noise, held):
+        self.text, self.node, self.tag, self.links, self.bad, self.good, self.frame, self.noise, self.held = text, node, tag, links, bad, good, frame, noise, held
 
 
 class Page:
@@ -64,8 +69,9 @@ class Page:
         self.blocks: list[Block] = []
         self.parent, self.depth = [0], [0]
         self.has_article = False
-        # Open elements: tag, node, never shown, bad, good, frame; places of the block elements among them; how often each tag is open.
-        self._stack: list[tuple[str, int, bool, int, int, bool]] = [("", 0, False, 0, 0, False)]
+        # Open elements: tag, node, never shown, bad, good, frame, outermost element of noise (0: none), TITLE
+        # or ARTICLE; places of the block elements among them; how often each tag is open.
+        self._stack: list[tuple[str, int, bool, int, int, bool, int, str]] = [("", 0, False, 0, 0, False, 0, "")]
         self._block_at: list[int] = []
         self._open: dict[str, int] = {}
         self._text: list[str] = []
@@ -75,10 +81,10 @@ class Page:
     def _flush(self) -> None:
         if self._text:
             joined = _SPACE.sub(" ", _html.unescape("".join(self._text))).strip()
-            _, node, never, bad, good, frame = self._stack[-1]
+            _, node, never, bad, good, frame, noise, held = self._stack[-1]
             if joined and not never:
                 tag = self._stack[self._block_at[-1]][0] if self._block_at else ""
-                self.blocks.append(Block(joined, node, tag, min(1.0, self._linked / len(joined)), bad, good, frame))
+                self.blocks.append(Block(joined, node, tag, min(1.0, self._linked / len(joined)), bad, good, frame, noise, held))
         self._text, self._linked = [], 0
 
     def _pop(self) -> str:
@@ -124,6 +130,23 @@ class Page:
                 at = len(page) if close is None else close.start()
         self._words(page[at:])
         self._flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Without an article, headers of the named content are its titles; without that too, noise may be a frame around it all."""
+        if not self.has_article:
+            for b in self.blocks:
+                if b.held == TITLE:
+                    b.bad, b.good, b.noise = 0, 1, 0
+        if not any(b.good and not b.noise for b in self.blocks):
+            size: dict[int, int] = {}
+            for b in self.blocks:
+                if b.held == ARTICLE:
+                    size[b.noise] = size.get(b.noise, 0) + len(b.text)
+            around = max(size, key=size.__getitem__, default=None)  # the frame is what holds the longest articles
+            for b in self.blocks:
+                if b.held == ARTICLE and b.noise == around:
+                    b.bad, b.good, b.noise, self.has_article = 0, 1, 0, True
 
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
@@ -148,17 +171,29 @@ class Page:
                 self._pop()
         if tag in VOID:
             return False
-        _, node, never, bad, good, frame = self._stack[-1]
-        never = never or tag in NEVER
+        _, node, never, bad, good, frame, noise, held = self._stack[-1]
+        never, inside = never or tag in NEVER, bool(self._open.get("article") or self._open.get("main"))
+        odd, head = tag == "aside", tag == "header"
+        named = ""
         if attributes:
             attrs = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attributes)}
             named = " ".join(attrs.get(k, "") for k in ("class", "id", "role", "aria-label", "itemprop"))
-            bad += bool(named and BAD.search(named))
-            good += bool(named and GOOD.search(named))
             never = never or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        main = tag in ("article", "main")
-        bad += tag == "aside" or tag == "header" and not (self._open.get("article") or self._open.get("main"))
-        good += main
+            if named and tag not in ("html", "body"):  # their names tell of the layout
+                words = {m[0].strip(" \t\n\r\f_-").lower() for m in BAD.finditer(named)}
+                odd, head = odd or bool(words - TITLES), head or bool(words)
+        title = head and not odd and not inside and not noise and good > 0
+        odd = odd or head and not inside
+        main = tag == "main" and not inside or tag == "article" and not noise
+        held = TITLE if title else "" if odd else held or (ARTICLE if tag == "article" and noise and bad == 1 else "")
+        if odd:
+            # A subtree that announces itself as noise doesn't share in the goodness around it.
+            bad, good = bad + 1, 0
+        if main or not (noise or odd) and named and GOOD.search(named):
+            good += 1 + (main and not (noise or odd) and bool(named and GOOD.search(named)))
+            noise = noise if odd or not main else 0
+        if (odd or tag in FRAME) and not noise:
+            noise = len(self.parent)
         self.has_article |= main
         if attributes.endswith("/") and tag not in BLOCK:
             return False
@@ -166,7 +201,7 @@ class Page:
         self.depth.append(self.depth[node] + 1)
         if tag in BLOCK:
             self._block_at.append(len(self._stack))
-        self._stack.append((tag, len(self.parent) - 1, never, bad, good, frame or tag in FRAME))
+        self._stack.append((tag, len(self.parent) - 1, never, bad, good, frame or tag in FRAME, noise, held))
         self._open[tag] = self._open.get(tag, 0) + 1
         return True
 
@@ -196,14 +231,17 @@ def score(b: Block, has_article: bool) -> float:
 
 
 def ties(page: Page) -> list[tuple[int, int, float]]:
-    """Smoothness edges: neighbours in the page, stronger the more of the DOM path they share, and the next block of the same parent."""
+    """Smoothness edges: neighbours in the page, stronger the more of the DOM path they share, and the next block of the same parent.
+
+    None crosses the border of a subtree that announces itself as noise.
+    """
     edges, last, found = [], {}, page.blocks
     for i, b in enumerate(found):
-        if i:
+        if i and found[i - 1].noise == b.noise:
             p = found[i - 1]
             edges.append((i - 1, i, TIE_NEXT * page.shared(b.node, p.node) / (max(page.depth[b.node], page.depth[p.node]) + 1)))
         parent = page.parent[b.node]
-        if parent in last and last[parent] != i - 1:
+        if parent in last and last[parent] != i - 1 and found[last[parent]].noise == b.noise:
             edges.append((last[parent], i, TIE_PARENT))
         last[parent] = i
     return edges

@@ -445,6 +445,28 @@ def test_html_extract(spark):
     assert html_extract.extract(df.limit(0), ["page_id", "url"]).count() == 0
 
 
+_NOISE = [
+    '<div class="ad">{}</div>', '<div class="advert"><p>{}</p></div>', '<aside><p>{}</p></aside>', '<div class="cookie-notice"><p>{}</p></div>', '<div id="sidebar"><p>{}</p></div>', '<section class="comments"><h3>Comments</h3><p>{}</p></section>',
+    '<div class="comments"><article class="comment"><p>{}</p></article><article><p>{}</p></article></div>', '<nav><a href="/x">{}</a></nav>', '<footer><p>{}</p></footer>', '<form><p>{}</p></form>', '<div class="ad"><div class="content"><p>{}</p></div></div>', '<ul class="share-buttons"><li>{}</li></ul>',
+    '<div class="related-posts"><h4>More</h4><p>{}</p></div>', '<div role="complementary"><p>{}</p></div>',
+]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", '<div class="with-sidebar"><article>{}</article></div>', "<main>{}</main>", '<div id="content">{}</div>', '<body class="has-sidebar left"><main><article class="post">{}</article></main></body>'])
+def test_html_noise_of_every_kind_anywhere(wrap):
+    """Pages made of an article and noise of each kind inside it, before it and after it: the article alone comes out, whole."""
+    rng = np.random.default_rng(len(wrap))
+    sentence = lambda n: " ".join("".join(chr(c) for c in rng.integers(97, 123, rng.integers(2, 9))) for _ in range(n)).capitalize() + "."
+    for noise in _NOISE:
+        for words in (6, 60):
+            own = [sentence(int(rng.integers(25, 60))) for _ in range(4)]
+            title, said = "A title of the page", sentence(words)
+            bad = noise.replace("{}", said)
+            body = f'<header class="entry-header"><h1>{title}</h1></header><p>{own[0]}</p>{bad}<p>{own[1]}</p><blockquote>{own[2]}</blockquote>{bad}{bad}<p>{own[3]}</p>{bad}'
+            page = f"<html><head><title>t</title></head>{bad}{wrap.format(body)}{bad}</html>"
+            assert html_extract.main_text(page) == "\n\n".join([title, *own]), (noise, words)
+
+
 def test_html_extract_on_pages(spark, sf):
     import html
 
