@@ -182,5 +182,30 @@ def leaks(report: DataFrame, forbidden: tuple[str, ...] = ("id", "answer", "ques
     return [c for c in report.columns if any(c == x or c.endswith(f"_{x}") or c.startswith(f"{x}_") for x in forbidden)]
 
 
+#: Characters by which values and places of a report meet; shorter values can't be told from counts and common words.
+LEAST_VALUE = 6
+
+
+def redaction_issues(report: DataFrame, secrets: DataFrame) -> DataFrame:
+    """(kind, column, n_values, n_cells) where cells of an aggregate report hold values of ``secrets`` (kind, value): ids, answers, texts.
+
+    A value counts where it stands in a cell of any type (nested ones as JSON) and isn't part of a longer word or number;
+    the result tells how many, never which. Values meet the places of the report by their first LEAST_VALUE characters,
+    so neither side is gathered or broadcast, and texts are compared whole. Nulls and shorter values are left out.
+    """
+    as_text = lambda f: F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("struct", "array", "map") else F.col(f"`{f.name}`").cast("string")
+    cells = report.select(F.explode(F.array(*(F.struct(F.lit(f.name).alias("column"), as_text(f).alias("cell")) for f in report.schema))).alias("c")).select("c.*").where(F.length("cell") >= LEAST_VALUE)
+    cells = cells.distinct().withColumn("cell_id", F.sha2("cell", 256))
+    at = F.sequence(F.lit(1), F.length("cell") - LEAST_VALUE + 1)
+    places = cells.select("column", "cell_id", "cell", F.explode(at).alias("at")).withColumn("start", F.substring("cell", F.col("at"), F.lit(LEAST_VALUE)))
+    values = secrets.where(F.length("value") >= LEAST_VALUE).select("kind", "value").distinct().withColumn("start", F.substring("value", 1, LEAST_VALUE))
+    size = F.length("value")
+    word = lambda c: F.coalesce(c.rlike(r"^[\p{L}\p{N}]"), F.lit(False))
+    before, after = F.when(F.col("at") > 1, F.substring("cell", F.col("at") - 1, F.lit(1))), F.substring("cell", F.col("at") + size, F.lit(1))
+    whole = ~(word(F.col("value")) & word(before)) & ~(word(F.right("value", F.lit(1))) & word(after))
+    met = places.join(values, "start").where((F.substring("cell", F.col("at"), size) == F.col("value")) & whole)
+    return met.groupBy("kind", "column").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("cell_id").alias("n_cells"))
+
+
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

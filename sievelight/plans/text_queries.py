@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import quality
 from sievelight.functions import text as T
-from sievelight.operators import aggregates, clusters, joins, splits
+from sievelight.operators import aggregates, clusters, joins, splits, validation
 from sievelight.plans import dialect as D
 from sievelight.plans import inputs
 from sievelight.plans.registry import query
@@ -272,3 +272,20 @@ def q_secret_markers(spark, d):
     docs = table(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.col("text").alias("x"))
     pages = table(spark, d, "pages").select(F.lit("pages").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("x"))
     return docs.unionByName(pages).select("origin", "id", F.concat_ws(",", T.secret_markers(F.col("x"))).alias("markers"))
+
+
+#: An audit of each source that tells too much: an id in some sources, a whole question in others, ids in a list.
+_TOLD = """SELECT source, CAST(count(*) AS VARCHAR) AS n, CASE WHEN length(source) = 5 THEN 'see ' || min(named) || '.' ELSE 'x' || min(named) END AS note, CASE WHEN length(source) = 4 THEN 'of: ' || max(question_raw) ELSE '-' END AS example FROM d GROUP BY source"""
+
+
+@query(f"""WITH d AS (SELECT 'record-' || lpad(id, 9, '0') AS named, source, question_raw FROM ({REC})), r AS ({_TOLD}), c AS (SELECT 'note' AS "column", note AS cell FROM r UNION SELECT 'example', example FROM r), s AS (SELECT 'id' AS kind, named AS value FROM d UNION SELECT 'question', question_raw FROM d),
+ m AS (SELECT *, strpos(cell, value) AS pos FROM c JOIN s ON length(value) >= 6 AND contains(cell, value))
+SELECT kind, "column", count(DISTINCT value) AS n_values, count(DISTINCT cell) AS n_cells FROM m WHERE NOT (pos > 1 AND regexp_matches(substr(value, 1, 1), '[\\p{{L}}\\p{{N}}]') AND regexp_matches(substr(cell, pos - 1, 1), '[\\p{{L}}\\p{{N}}]')) AND NOT (regexp_matches(substr(value, length(value), 1), '[\\p{{L}}\\p{{N}}]') AND regexp_matches(substr(cell, pos + length(value), 1), '[\\p{{L}}\\p{{N}}]')) GROUP BY 1, 2""")
+def q_redaction(spark, d):
+    """Which columns of a report hold ids or questions of the records it is about."""
+    rows = inputs.records(spark, d).select(F.concat(F.lit("record-"), F.lpad("id", 9, "0")).alias("named"), "source", "question_raw")
+    size = F.length("source")
+    report = rows.groupBy("source").agg(F.count("*").cast("string").alias("n"), F.min("named").alias("a"), F.max("question_raw").alias("b"))
+    report = report.select("source", "n", F.when(size == 5, F.concat(F.lit("see "), "a", F.lit("."))).otherwise(F.concat(F.lit("x"), "a")).alias("note"), F.when(size == 4, F.concat(F.lit("of: "), "b")).otherwise("-").alias("example"))
+    secrets = rows.select(F.lit("id").alias("kind"), F.col("named").alias("value")).unionByName(rows.select(F.lit("question").alias("kind"), F.col("question_raw").alias("value")))
+    return validation.redaction_issues(report, secrets)

@@ -292,3 +292,11 @@ def test_digests_of_sequences(spark, parts):
     digest = lambda k: hashlib.sha256(json.dumps([r[k] for r in rows], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
     assert [tuple(r) for r in got] == [("seed", 200, digest(1)), ("said", 200, digest(2))]
     assert aggregates.sequence_sha256(spark.createDataFrame([], "i int, seed int"), ["i"], ["seed"]).collect() == []
+
+
+def test_redaction(spark):
+    secrets = spark.createDataFrame([("id", "train-000001"), ("id", "train-000002"), ("answer", "123456"), ("answer", "5"), ("text", "What is this, and why?"), ("text", None), ("id", "train-0")], "kind string, value string")
+    said = [("clean 0123456", 1234567, ["train-0000010"], None), ("(train-000001)", 123456, ["a", "train-000002"], 5), ("Q: What is this, and why? A", 7, [], 5), ("train-000001", 8, ["strain-000002"], 5)]
+    report = spark.createDataFrame(said, "note string, `n.x` long, list array<string>, five long")
+    assert {tuple(r) for r in validation.redaction_issues(report, secrets).collect()} == {("id", "note", 1, 2), ("answer", "n.x", 1, 1), ("id", "list", 1, 1), ("text", "note", 1, 1)}
+    assert validation.redaction_issues(report.limit(0), secrets).collect() == [] and validation.redaction_issues(report, secrets.limit(0)).collect() == []
