@@ -35,8 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm import textscan as ts
-from sievelight.operators.ranking import meet
-from sievelight.session import shared_folder
+from sievelight.session import release, shared_folder
 
 LENGTH = 200
 GRAM = 32
@@ -198,11 +197,13 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
 
     found = docs.transform(ts.in_batches, find, "k1 long, k2 long, slot long, h long, c long")
     often = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    again = meet(found, often, "h").checkpoint()  # a very common passage gives one hash many rows
+    again = _meet(found, often).checkpoint()  # a very common passage gives one hash many rows
+    release(spark)  # the shuffle of all anchors
     runs = again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "slot")).alias("one"))
-    whole = meet(again, runs.where("n > 1").select("h", "c"), ["h", "c"]).select("k1", "k2", F.shiftright("slot", 16).alias("lo"), (F.shiftright("slot", 16) + F.col("slot").bitwiseAND(255) + length).alias("hi"))
+    whole = _meet(again, runs.where("n > 1").select("h", "c")).select("k1", "k2", F.shiftright("slot", 16).alias("lo"), (F.shiftright("slot", 16) + F.col("slot").bitwiseAND(255) + length).alias("hi"))
     varied = again.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("h")
-    ones = meet(runs, varied, "h").select("one.*").checkpoint()
+    ones = _meet(runs, varied).select("one.*").checkpoint()
+    release(spark)
     buckets = min(MAX_BUCKETS, max(1, -(-ones.count() * (length + 100) // BUCKET_BYTES)))
     splitters = _splitters(docs, buckets, length, gram)
     shared = spark.sparkContext.broadcast(splitters)
@@ -265,6 +266,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
 
     compared = suffixes.transform(ts.in_batches, compare, "k1 long, k2 long, lo long, h1 long, h2 long")
     compared = compared.checkpoint()
+    release(spark)  # the shuffles of texts and suffixes
     local = compared.where("h2 IS NULL").select("k1", "k2", "lo", F.col("h1").alias("hi"))
     across = compared.where("h2 IS NOT NULL")
     twice = across.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
@@ -272,6 +274,16 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     return whole.unionByName(local).unionByName(met)
 
 
+def _meet(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` whose h, and other columns of ``groups``, are in ``groups``, which was grouped by them.
+
+    h goes through the join inverted, so that Spark can't reuse the grouping's exchange: it then may divide a partition
+    that one hash makes too large.
+    """
+    turned = F.bitwise_not("h")
+    return rows.withColumn("h", turned).join(groups.withColumn("h", turned), groups.columns).withColumn("h", turned)
+
+
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return documents.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), text.alias("text"))
