@@ -155,19 +155,32 @@ def sequence_sha256(rows: DataFrame, order: list[str], columns: list[str]) -> Da
     return ordered.mapInArrow(run, "column string, n long, sha256 string")
 
 
-def token_profile(tokens: DataFrame, limits: tuple[int, ...] = (1024, 2048, 4096)) -> DataFrame:
-    """One row over (id, tokens): lengths and how many lie above each limit."""
+def token_profile(tokens: DataFrame, limits: tuple[int, ...] = (1024, 2048, 4096), by: list[str] | None = None) -> DataFrame:
+    """One row (or one for each ``by``) over (id, tokens): lengths and how many lie above each limit."""
     c = F.col("tokens")
-    return tokens.agg(F.count("*").alias("n_rows"), *distribution(c, "", {k: QUANTILES[k] for k in ("p50", "p90", "p95", "p99")}), *(F.count_if(c > x).alias(f"over_{x}") for x in limits))
+    return tokens.groupBy(*(by or [])).agg(F.count("*").alias("n_rows"), *distribution(c, "", {k: QUANTILES[k] for k in ("p50", "p90", "p95", "p99")}), *(F.count_if(c > x).alias(f"over_{x}") for x in limits))
 
 
 def longest(tokens: DataFrame, n: int = 20) -> DataFrame:
     return top(tokens.select("id", "tokens"), n, F.desc("tokens"), F.asc("id"))
 
 
-def preflight(encoded: DataFrame) -> DataFrame:
-    """Per fold and role: rows, the longest sequence (largest id among equals) and the shortest response."""
-    return encoded.groupBy("fold", "role").agg(F.count("*").alias("n_rows"), F.max("sequence_tokens").alias("max_tokens"), F.max_by("id", F.struct("sequence_tokens", "id")).alias("longest_id"), F.min("response_tokens").alias("min_response"))
+def preflight(encoded: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per fold and role: rows, the longest sequence (largest id among equals) and the shortest response; with ``limit`` also the sequences over it."""
+    over = [] if limit is None else [F.count_if(F.col("sequence_tokens") > limit).alias("over_limit")]
+    return encoded.groupBy("fold", "role").agg(F.count("*").alias("n_rows"), F.max("sequence_tokens").alias("max_tokens"), F.max_by("id", F.struct("sequence_tokens", "id")).alias("longest_id"), F.min("response_tokens").alias("min_response"), *over)
+
+
+def preflight_coverage(encoded: DataFrame) -> DataFrame:
+    """One row over all folds: the distinct ids of both roles and of validation, those that aren't validated, and the longest sequence of all.
+
+    Among equally long ones the largest id counts, and of its places the first fold, training before validation.
+    """
+    place = F.struct("sequence_tokens", "id", (-F.col("fold")).alias("back"), (F.col("role") == "training").alias("first"))
+    ids = encoded.groupBy("id").agg(F.bool_or(F.col("role") == "validation").alias("validated"), F.max(place).alias("top"))
+    out = ids.agg(F.count("*").alias("n_development"), F.count_if("validated").alias("n_validation"), F.count_if(~F.col("validated")).alias("n_unvalidated"), F.max("top").alias("top"))
+    role = F.when(F.col("top.first"), "training").when(F.col("top").isNotNull(), "validation")
+    return out.select("n_development", "n_validation", "n_unvalidated", F.col("top.sequence_tokens").alias("max_tokens"), F.col("top.id").alias("longest_id"), (-F.col("top.back")).alias("longest_fold"), role.alias("longest_role"))
 
 
 def corpus_audit(rows: DataFrame) -> DataFrame:
@@ -177,6 +190,13 @@ def corpus_audit(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.min(c).alias("chars_min"), F.max(c).alias("chars_max"), F.round(F.avg(c), 6).alias("chars_mean"), F.max(lines).alias("lines_max"), F.count_distinct("method").alias("n_methods"), F.count_distinct("teacher").alias("n_teachers"))
 
 
+def corpus_counts(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(kind, name, n): rows of each verification method and teacher, and the digest of the targets' digests in order (kind targets)."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("name")) for k in ("method", "teacher"))))
+    counts = rows.select(kinds.alias("k")).groupBy("k.kind", "k.name").agg(F.count("*").alias("n"))
+    return counts.unionByName(sequence_sha256(rows, order, ["target_sha256"]).select(F.lit("targets").alias("kind"), F.col("sha256").alias("name"), "n"))
+
+
 def audit_report(records: DataFrame) -> DataFrame:
     """(section, name, value) of a whole audit: summaries, flags and duplicates of all three fingerprints."""
     from sievelight.operators.joins import duplicate_summary

@@ -24,6 +24,11 @@ def prompt_sha256(messages: Column) -> Column:
     return F.sha2(F.to_json(messages), 256)
 
 
+def prompt_json(question: Column, system: str = SYSTEM) -> Column:
+    """Canonical JSON of a generation prompt: the messages and that an answer is to follow."""
+    return F.to_json(F.struct(F.lit(True).alias("add_generation_prompt"), prompt_messages(question, system).alias("messages")))
+
+
 def sft_examples(records: DataFrame, split: DataFrame, excluded: DataFrame, fold: int, validation: bool = False) -> DataFrame:
     """(record_id, group_id, fold, messages, target, prompt_sha256) of a fold's eligible records."""
     from sievelight.operators.splits import eligible

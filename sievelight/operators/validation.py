@@ -156,6 +156,39 @@ def run_issues(rows: DataFrame, constant: list[str]) -> DataFrame:
     return own.unionByName(ends.select(F.lit(None).cast("string").alias("id"), F.explode(varies).alias("code")))
 
 
+def row_binding_issues(rows: DataFrame, records: DataFrame, split: DataFrame, salt: str, system: str, constant: dict[str, object] | None = None) -> DataFrame:
+    """(id, code) of stored validation rows that don't follow from their record (id, question_raw, answer) and its place in the split.
+
+    Recomputed are the question, completion and prompt digests, the parsed answer, the match and the seed; group, fold and
+    partition come from the split, and ``constant`` names the fields with one lawful value. unknown: no such record;
+    outside: the record isn't in cross-validation. A null stored value is a mismatch.
+    """
+    from sievelight.operators.splits import TRAINED
+    from sievelight.operators.training import prompt_json
+
+    known = records.select(F.col("id").alias("problem_id"), F.col("question_raw").alias("__q"), F.col("answer").cast("string").alias("__a"), F.lit(True).alias("__known"))
+    places = split.select(F.col("record_id").alias("problem_id"), *(F.col(c).alias(f"__{c}") for c in ("group_id", "fold", "partition")))
+    seen = rows.join(known, "problem_id", "left").join(places, "problem_id", "left").withColumn("__p", parse_answer(F.col("raw_completion")))
+    exact = F.coalesce((F.col("__p.status") == "ok") & (F.col("__p.value") == F.col("__a")), F.lit(False))
+    there = F.col("__known").isNotNull()
+    differs = lambda c, want: there & ~F.col(c).eqNullSafe(want)
+    rules = {
+        "unknown": ~there,
+        "outside": there & ~F.col("__partition").eqNullSafe(F.lit(TRAINED)),
+        "group_id": differs("group_id", F.col("__group_id")),
+        "fold": differs("fold", F.col("__fold")),
+        "question_sha256": differs("question_sha256", F.sha2("__q", 256)),
+        "completion_sha256": ~F.col("raw_completion_sha256").eqNullSafe(F.sha2("raw_completion", 256)),
+        "status": ~F.col("status").eqNullSafe(F.col("__p.status")),
+        "reference_answer": differs("reference_answer", F.col("__a")),
+        "exact_match": differs("exact_match", exact),
+        "prompt_sha256": differs("prompt_sha256", F.sha2(prompt_json(F.col("__q"), system), 256)),
+        "seed": ~F.col("seed").eqNullSafe(T.deterministic_seed(F.col("problem_id"), F.lit(0), salt)),
+        **{k: ~F.col(k).eqNullSafe(F.lit(v)) for k, v in (constant or {}).items()},
+    }
+    return issues(seen, "problem_id", rules).unionByName(repeated(rows, "problem_id", "duplicate_row"))
+
+
 def sample_index_issues(rows: DataFrame) -> DataFrame:
     """(id, code): problems whose sample indices aren't 0 .. n - 1 once each, or whose n differs from the largest."""
     per = rows.groupBy("problem_id").agg(F.count("*").alias("n"), F.count_distinct("sample_index").alias("d"), F.min("sample_index").alias("lo"), F.max("sample_index").alias("hi"))

@@ -237,9 +237,9 @@ def q_tree_sha(spark, d):
     return files.tree_sha256(files.file_manifest(spark, d, (".parquet",)))
 
 
-@query("SELECT 'train-' || CAST(900001 + i AS VARCHAR) AS problem_id, 'Compute the signed integer sum (' || CAST(i * 37 % 199 - 99 AS VARCHAR) || ') + (' || CAST(i * 53 % 211 - 105 AS VARCHAR) || ').' AS question, CAST((i * 37 % 199 - 99) + (i * 53 % 211 - 105) AS VARCHAR) AS expected_answer FROM range(64) t(i)")
+@query("SELECT 'train-' || lpad(CAST(o_orderkey AS VARCHAR), CAST(greatest(6, length(CAST(o_orderkey AS VARCHAR))) AS INTEGER), '0') AS problem_id, 'Compute the signed integer sum (' || CAST(i * 37 % 199 - 99 AS VARCHAR) || ') + (' || CAST(i * 53 % 211 - 105 AS VARCHAR) || ').' AS question, CAST((i * 37 % 199 - 99) + (i * 53 % 211 - 105) AS VARCHAR) AS expected_answer FROM (SELECT o_orderkey, o_custkey AS i FROM orders)")
 def q_fixture(spark, d):
-    return files.arithmetic_fixture(spark)
+    return files.fixture_of(table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("number")))
 
 
 @query("SELECT event_type, CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
