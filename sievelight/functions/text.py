@@ -34,6 +34,11 @@ SECRETS = {
     "aws-access-key": r"AKIA[0-9A-Z]{16}",
     "private-key": r"-----BEGIN (?:[A-Z ]+ )?PRIVATE KEY-----",
 }
+PRIVATE_FOLDERS = (".gstack", ".kaggle", ".venv", "artifacts", "cache", "checkpoints", "data", "datasets", "downloads", "env", "mlruns", "models", "outputs", "predictions", "runs", "submissions", "wandb")
+PRIVATE_NAMES = ("NUL", "NU_", "access_token", "adapter_model.bin", "credentials", "id_ed25519", "id_rsa", "kaggle.json", "submission.csv")
+PRIVATE_SUFFIXES = (".bin", ".ckpt", ".csv", ".gz", ".jsonl", ".kdbx", ".key", ".npy", ".npz", ".onnx", ".parquet", ".pickle", ".pkl", ".p12", ".pfx", ".pem", ".pth", ".pt", ".safetensors", ".tar", ".tsv", ".xz", ".zip")
+PRIVATE_STARTS = (("reports", "generated"),)
+ENV_FILE = ".env"
 # ---- end of fixed values ---------------------------------------------------------------------------------
 
 
@@ -137,6 +142,12 @@ def is_canonical_integer(c: Column) -> Column:
     return F.coalesce(c.rlike(CANONICAL_INTEGER), F.lit(False))
 
 
+def integer_text(text: Column, kind: Column) -> Column:
+    """The canonical text of a JSON value given as text with the name of its type; null unless an integer or canonical text."""
+    number = F.when(text.rlike(r"^-?0\z"), F.lit("0")).when(text.rlike(CANONICAL_INTEGER), text)
+    return F.when(kind == "STRING", F.when(is_canonical_integer(text), text)).when(kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), number)
+
+
 def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(rf"(?U)[^\s\x1c-\x1f]+"))
 
@@ -179,6 +190,22 @@ def secret_markers(c: Column) -> Column:
     return F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(k)) for k, p in SECRETS.items())))
 
 
+def is_forbidden_path(c: Column, folders: tuple[str, ...] = PRIVATE_FOLDERS, names: tuple[str, ...] = PRIVATE_NAMES, suffixes: tuple[str, ...] = PRIVATE_SUFFIXES) -> Column:
+    """True for a path that must not be published: absolute, empty or null, with "..", or of a private folder, name or suffix.
+
+    Empty parts and "." don't count. A leading dot makes no suffix, and suffixes are compared in lower case. Names that
+    only one project keeps private go into the arguments.
+    """
+    parts = F.filter(F.split(c, "/"), lambda x: ~x.isin("", "."))
+    name = F.try_element_at(parts, F.lit(-1))
+    suffix = F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]+)\z", 1))
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    bad = c.startswith("/") | (F.size(parts) == 0) | F.array_contains(parts, "..") | F.arrays_overlap(parts, listed(folders)) | name.isin(*names) | name.startswith(ENV_FILE) | suffix.isin(*suffixes)
+    for start in PRIVATE_STARTS:
+        bad |= F.slice(parts, 1, len(start)) == listed(start)
+    return F.coalesce(bad, F.lit(True))
+
+
 def canonical_json(**columns: Column) -> Column:
     """Compact JSON of the named columns with sorted keys; nulls are kept."""
     return F.to_json(F.struct(*(columns[k].alias(k) for k in sorted(columns))), {"ignoreNullFields": "false"})

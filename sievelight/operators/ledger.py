@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelight.functions import text as T
 from sievelight.functions.answers import parse_answer
 from sievelight.functions.text import sha256
 from sievelight.operators.ranking import numbered
@@ -16,7 +17,23 @@ from sievelight.operators.ranking import numbered
 # ---- fixed values: what follows each state -----------------------------------------------------------------
 NEXT_ACTION = {"unassessed": "assess", "pending": "retry", "exhausted": "review", "accepted": "done"}
 EVENT_TYPES = ("thread.started", "turn.started", "turn.completed", "turn.failed", "item.started", "item.updated", "item.completed", "error")
-USAGE_KEYS = ("input_tokens", "cached_input_tokens", "output_tokens")
+#: By stage and state of a resume ledger: shared state, terminal, resume_allowed, next_action, blockers.
+WORKFLOW = {
+    "development_generation": {
+        "planned": ("ready", False, True, "start_development", ()),
+        "running": ("running", False, False, "wait_for_development", ()),
+        "interrupted": ("retryable", False, True, "resume_development", ()),
+        "complete": ("complete", True, False, "verify_development_artifact", ()),
+    },
+    "fold_training": {
+        "ready": ("ready", False, True, "start_training", ()),
+        "running": ("running", False, False, "wait_for_training", ()),
+        "retryable": ("retryable", False, True, "resume_training", ()),
+        "terminal_failed": ("terminal_failed", True, False, "record_terminal_training_failure", ("no_complete_resume_checkpoint",)),
+        "complete": ("complete", True, False, "verify_adapter_artifact", ()),
+    },
+}
+WORKFLOW_STATES = ("ready", "running", "qualified", "retryable", "terminal_failed", "complete")
 # ---- end of fixed values ---------------------------------------------------------------------------------
 
 
@@ -82,6 +99,43 @@ def next_action(state):
     return F.create_map(*(F.lit(x) for kv in NEXT_ACTION.items() for x in kv))[state]
 
 
+def workflow_status(ledgers: DataFrame) -> DataFrame:
+    """The shared status of resume ledgers (stage, ledger_state, completed, total, contract_sha256, completion_sha256).
+
+    Adds state, terminal, resume_allowed, repair_allowed, next_action, blockers, completed_count, total_count and
+    artifact_sha256. Training is one unit of work, done or not, whose artifact is that of its completion where there is
+    one; generation counts what was generated, under its contract. Reading an unknown stage or state raises.
+    """
+    what = "struct<state:string,terminal:boolean,resume_allowed:boolean,next_action:string,blockers:array<string>>"
+    pairs = [(f"{stage}/{s}", to) for stage, states in WORKFLOW.items() for s, to in states.items()]
+    told = F.create_map(*(c for k, to in pairs for c in (F.lit(k), F.struct(*map(F.lit, to[:4]), F.array(*map(F.lit, to[4])).cast("array<string>")).cast(what))))
+    name = F.concat("stage", F.lit("/"), "ledger_state")
+    s = F.coalesce(told[name], F.raise_error(F.concat(F.lit("unsupported state: "), F.coalesce(name, F.lit("none")))).cast(what))
+    training = F.col("stage") == "fold_training"
+    rows = ledgers.withColumn("__s", s)
+    return rows.withColumns({
+        "state": F.col("__s.state"), "terminal": F.col("__s.terminal"), "resume_allowed": F.col("__s.resume_allowed"), "repair_allowed": F.lit(False), "next_action": F.col("__s.next_action"), "blockers": F.col("__s.blockers"),
+        "completed_count": F.when(training, (F.col("ledger_state") == "complete").cast("long")).otherwise(F.col("completed").cast("long")), "total_count": F.when(training, F.lit(1).cast("long")).otherwise(F.col("total").cast("long")),
+        "artifact_sha256": F.when(training, F.coalesce("completion_sha256", "contract_sha256")).otherwise(F.col("contract_sha256")),
+    }).drop("__s")
+
+
+def workflow_issues(status: DataFrame, key: str) -> DataFrame:
+    """(id, code) of statuses that break the shared contract; nulls break it too."""
+    untrimmed = lambda c: (c == "") | (T.strip(c) != c)
+    done, total = F.col("completed_count"), F.col("total_count")
+    rules = {
+        "stage": untrimmed(F.col("stage")), "state": ~F.col("state").isin(*WORKFLOW_STATES), "next_action": untrimmed(F.col("next_action")), "blockers": F.exists("blockers", lambda b: F.coalesce(untrimmed(b), F.lit(True))),
+        "flags": F.lit(False), "counts": (done < 0) | (total < 1) | (done > total), "artifact_sha256": ~F.col("artifact_sha256").rlike(r"^[0-9a-f]{64}\z"),
+    }
+    needs = {"flags": ("terminal", "resume_allowed", "repair_allowed"), "counts": ("completed_count", "total_count")}
+    for code in rules:
+        for c in needs.get(code, (code,)):
+            rules[code] |= F.col(c).isNull()
+    codes = F.array_compact(F.array(*(F.when(F.coalesce(cond, F.lit(True)), F.lit(code)) for code, cond in rules.items())))
+    return status.select(F.col(key).cast("string").alias("id"), F.explode(codes).alias("code"))
+
+
 def accepted_issues(results: DataFrame, plan: DataFrame) -> DataFrame:
     """(id, code): problems accepted more than once, or accepted but not planned."""
     ok = results.where("status = 'accepted'")

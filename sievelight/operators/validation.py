@@ -61,17 +61,58 @@ def exclusion_issues(excluded: DataFrame, records: DataFrame) -> DataFrame:
     return own.unionByName(unknown)
 
 
+#: Rows of a bucket that are numbered together; one row for each bucket then meets in one place.
+PLACES = 65_536
+
+
 def submission_issues(rows: DataFrame, expected: DataFrame) -> DataFrame:
     """(id, code, row_number) of a submission (ord, id, answer) against expected (ord, id); ord counts from 0.
 
     Codes: null_id, noncanonical_answer, duplicate_ids, missing_ids, extra_ids, row_count, and id_order, which is only
-    looked for where the id sets agree. Places are compared by one join on the id, never by collecting a column.
+    looked for where the id sets agree, among the rows that have an id. Places are compared by one join on the id, never
+    by collecting a column.
+    """
+    faults = F.when(F.col("id").isNull() | (F.col("id") == ""), F.array(F.lit("null_id"))).otherwise(F.array().cast("array<string>"))
+    return _submitted(rows.select("ord", "id", "answer", faults.alias("faults")).withColumn("usable", F.size("faults") == 0), expected)
+
+
+def submission_line_issues(lines: DataFrame, expected: DataFrame, header: tuple[str, str] = ("id", "answer")) -> DataFrame:
+    """(id, code, row_number) of a submission that comes as JSON (ord, raw), one object to a line, against expected (ord, id).
+
+    Beyond the codes of ``submission_issues``: row_type where a line isn't an object (null, unreadable and with repeated
+    keys included; it counts as a row all the same), row_schema where its keys aren't the header in that order, id_type
+    where the id is neither a string nor null. Answers may be integers or canonical text; booleans, fractions and null
+    are noncanonical. Spark's JSON reader ignores what follows an object on its line.
     """
-    named = rows.where("id IS NOT NULL AND id <> ''")
+    v = F.try_parse_json("raw")
+    path = [f"$['{c}']" for c in header]
+    kind = [F.schema_of_variant(F.try_variant_get(v, p, "variant")) for p in path]
+    seen = lines.select("ord", F.when(v.isNotNull(), F.json_object_keys("raw")).alias("keys"), F.when(kind[0] == "STRING", F.get_json_object("raw", path[0])).alias("id"), kind[0].alias("kind"), T.integer_text(F.get_json_object("raw", path[1]), kind[1]).alias("answer"))
+    blank = F.coalesce(F.col("kind"), F.lit("VOID")) == "VOID"
+    faults = F.when(F.col("keys").isNull(), F.array(F.lit("row_type"))).otherwise(
+        F.array_compact(F.array(F.when(F.col("keys") != F.array(*map(F.lit, header)), "row_schema"), F.when(blank | (F.col("id") == ""), "null_id").when(F.col("kind") != "STRING", "id_type")))
+    )
+    usable = F.col("keys").isNotNull() & (F.coalesce(F.col("id"), F.lit("")) != "")
+    return _submitted(seen.select("ord", "id", "answer", faults.alias("faults"), usable.alias("usable")), expected)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """The usable rows with their place among them; a running sum by buckets of ord."""
+    rows = rows.withColumn("__b", F.coalesce(F.floor(F.col("ord") / PLACES), F.lit(-1)))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each 65,536
+    base = rows.groupBy("__b").agg(F.count_if("usable").alias("__c")).select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy("__b").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("__n", F.coalesce(F.sum(F.col("usable").cast("long")).over(inside), F.lit(0)))
+    return numbered.join(base, "__b").where("usable").withColumn("place", F.col("__base") + F.col("__n"))
+
+
+def _submitted(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Issues of (ord, id, answer, faults of the row, usable: it has an id)."""
     number = (F.col("ord") + 2).cast("long")
-    out = rows.where("id IS NULL OR id = ''").select("id", F.lit("null_id").alias("code"), number.alias("row_number"))
+    out = rows.select("id", F.explode("faults").alias("code"), number.alias("row_number"))
+    named = rows.where("usable")
     out = out.unionByName(named.where(~T.is_canonical_integer(F.col("answer"))).select("id", F.lit("noncanonical_answer").alias("code"), number.alias("row_number")))
-    seen = named.groupBy("id").agg(F.count("*").alias("n"), F.min("ord").alias("at"))
+    seen = _placed(rows).groupBy("id").agg(F.count("*").alias("n"), F.min("place").alias("at"))
     sets = expected.select("id", F.col("ord").alias("want")).join(seen, "id", "full_outer")
     codes = F.array_compact(F.array(F.when(F.col("n") > 1, "duplicate_ids"), F.when(F.col("n").isNull(), "missing_ids"), F.when(F.col("want").isNull(), "extra_ids")))
     odd = sets.select("id", F.explode(codes).alias("code"), F.lit(None).cast("long").alias("row_number"))

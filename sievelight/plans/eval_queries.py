@@ -300,6 +300,25 @@ def q_submission_issues(spark, d):
     return validation.submission_issues(rows, _expected(spark, d))
 
 
+_LINE_KIND = "CASE o_orderkey % 32 WHEN 3 THEN 'row_type' WHEN 5 THEN 'row_schema' WHEN 6 THEN 'null_id' WHEN 7 THEN 'id_type' WHEN 9 THEN 'both' WHEN 10 THEN 'flag' WHEN 11 THEN 'fraction' WHEN 12 THEN 'zero' ELSE 'sound' END"
+_LINE_GONE = "('row_type', 'null_id', 'id_type', 'both')"
+
+
+@query(f"""WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey + 2 AS row_number, {_LINE_KIND} AS k FROM orders)
+ SELECT NULL AS id, k AS code, row_number FROM r WHERE k IN ('row_type', 'null_id', 'id_type') UNION ALL SELECT CASE WHEN k = 'row_schema' THEN id END, 'row_schema', row_number FROM r WHERE k IN ('row_schema', 'both') UNION ALL SELECT NULL, 'null_id', row_number FROM r WHERE k = 'both'
+ UNION ALL SELECT id, 'noncanonical_answer', row_number FROM r WHERE k IN ('flag', 'fraction') UNION ALL SELECT id, 'missing_ids', NULL FROM r WHERE k IN {_LINE_GONE}""")
+def q_submission_lines(spark, d):
+    """A submission of JSON lines with every fault of a row: no object, other keys, no id, a number for an id, odd answers."""
+    orders = table(spark, d, "orders")
+    key, cust, m = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderkey") % 32
+    answer = F.when(m == 10, "true").when(m == 11, F.concat(cust, F.lit(".5"))).when(m == 12, "-0").when(m % 2 == 0, F.concat(F.lit('"'), cust, F.lit('"'))).otherwise(cust)
+    sound = F.concat(F.lit('{"id":"'), key, F.lit('","answer":'), answer, F.lit("}"))
+    swapped = F.concat(F.lit('{"answer":'), cust, F.lit(',"id":"'), key, F.lit('"}'))
+    line = F.when(m == 3, F.concat(F.lit("["), key, F.lit("]"))).when(m == 5, swapped).when(m == 6, F.concat(F.lit('{"id":null,"answer":'), cust, F.lit("}"))).when(m == 7, F.concat(F.lit('{"id":'), key, F.lit(',"answer":1}'))).when(m == 9, F.concat(F.lit('{"answer":'), cust, F.lit("}"))).otherwise(sound)
+    found = validation.submission_line_issues(orders.select(F.col("o_orderkey").alias("ord"), line.alias("raw")), _expected(spark, d))
+    return found.select("id", "code", "row_number")
+
+
 @query("SELECT 'answer_format' AS code UNION ALL SELECT 'id_sequence'")
 def q_independent_issues(spark, d):
     rows = inputs.submitted(spark, d).select("id", F.col("prediction").alias("answer"), F.regexp_replace("id", "x", "").cast("long").alias("ord"))

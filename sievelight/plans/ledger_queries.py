@@ -108,6 +108,75 @@ def q_classify(spark, d):
     return classifier.classify(rows).groupBy("stage", "code").agg(F.count("*").alias("n"))
 
 
+#: Every outcome in the classifier's order, with what makes it: return code, event lines (b: the answer, e: the end).
+_OUTCOMES = {
+    "success/qualified": "b e", "process/runner_exception": "b e", "timeout_spawn/timeout": "b e", "timeout_spawn/spawn_failure": "b e", "nonzero/command_nonzero": "b e", "event_json/malformed_event_json": "broken e",
+    "unsafe_error_event/unsafe_event_type": "odd failed e", "unsafe_error_event/error_event": "failed odd e", "unsafe_error_event/invalid_item_event": "bare tool e", "unsafe_error_event/unsafe_item": "tool odd e",
+    "terminal_usage/multiple_terminal_events": "b e e", "terminal_usage/invalid_usage": "b minus", "terminal_usage/missing_terminal_event": "b", "terminal_usage/terminal_not_final": "e b", "agent_json/missing_agent_message": "e",
+    "agent_json/multiple_agent_messages": "b b e", "agent_json/malformed_agent_json": "nope e", "output_schema/invalid_output_schema": "rows e", "output_schema/invalid_item_schema": "part e", "output_structure/cardinality_mismatch": "one e",
+    "output_structure/id_set_mismatch": "other e", "output_structure/duplicate_ids": "twice e", "output_structure/order_mismatch": "turned e", "target_policy/target_policy_invalid": "curt e", "target_policy/wrong_target": "wrong e",
+}
+
+
+@query(f"SELECT split_part(f, '/', 1) AS stage, split_part(f, '/', 2) AS code, event_type, count(*) AS n FROM (SELECT event_type, list_extract([{', '.join(map(D.lit, _OUTCOMES))}], CAST((event_id + user_id) % {len(_OUTCOMES)} AS INTEGER) + 1) AS f FROM events) GROUP BY ALL")
+def q_classify_all(spark, d):
+    """Runner results made from the events, with every outcome of the classifier, by event type."""
+    e = table(spark, d, "events").select("event_type", F.col("user_id").cast("string").alias("p"), F.concat(F.col("user_id").cast("string"), F.lit("-b")).alias("q"), F.pmod(F.col("event_id") + F.col("user_id"), F.lit(len(_OUTCOMES))).cast("int").alias("m"))
+    p, q = F.col("p"), F.col("q")
+    item = lambda i, a="7": F.struct(i.alias("problem_id"), F.lit("We add the two parts of the sum.\nFinal answer: " + a).alias("target_text"))
+    curt = F.struct(q.alias("problem_id"), F.lit("7").alias("target_text"))
+    said = lambda text: F.to_json(F.struct(F.lit("item.completed").alias("type"), F.struct(F.lit("agent_message").alias("type"), text.alias("text")).alias("item")))
+    items = lambda *xs: said(F.to_json(F.struct(F.array(*xs).alias("items"))))
+    lines = {
+        "b": items(item(p), item(q)), "e": F.lit('{"type":"turn.completed","usage":{"tokens": 5, "cached":0}}'), "minus": F.lit('{"type":"turn.completed","usage":{"tokens":-5}}'), "broken": F.lit("{broken"), "odd": F.lit('{"type":"odd"}'), "failed": F.lit('{"type":"turn.started","error":null}'),
+        "bare": F.lit('{"type":"item.started"}'), "tool": F.lit('{"type":"item.started","item":{"type":"tool"}}'), "nope": said(F.lit("nope")), "rows": said(F.lit('{"rows":[]}')), "part": items(F.struct(p.alias("problem_id"))), "one": items(item(p)), "other": items(item(p), item(F.lit("zz"))),
+        "twice": items(item(p), item(q), item(q)), "turned": items(item(q), item(p)), "curt": items(item(p), curt), "wrong": items(item(p), item(q, "8")),
+    }
+    made = F.element_at(F.array(*(F.concat_ws("\n", F.lit('{"type":"turn.started"}'), *(lines[x] for x in how.split())) for how in _OUTCOMES.values())), F.col("m") + 1)
+    expected = F.when(F.col("m") == list(_OUTCOMES).index("output_structure/duplicate_ids"), F.array(p, q, q)).otherwise(F.array(p, q))
+    code = F.element_at(F.array(*(F.lit({"timeout_spawn/timeout": 124, "timeout_spawn/spawn_failure": 127, "nonzero/command_nonzero": 1}.get(x, 0)) for x in _OUTCOMES)), F.col("m") + 1)
+    rows = e.select("event_type", code.alias("returncode"), F.when(F.col("m") == 1, "runner_exception").alias("failure_reason"), made.alias("stdout"), expected.alias("expected"), F.create_map(p, F.lit("7"), q, F.lit("7")).alias("answers"))
+    return classifier.classify(rows).groupBy("stage", "code", "event_type").agg(F.count("*").alias("n"))
+
+
+#: Development is the generation of a customer's orders, training the one unit of an order; both by what the tables say.
+_DEV = "SELECT 'development_generation' AS stage, CAST(o_custkey AS VARCHAR) AS id, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = count(*) THEN 'complete' WHEN count(*) FILTER (o_orderstatus = 'F') = 0 THEN 'planned' WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'running' ELSE 'interrupted' END AS s, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) AS total, sha256('c' || CAST(o_custkey AS VARCHAR)) AS contract, CAST(NULL AS VARCHAR) AS completion FROM orders GROUP BY o_custkey"
+_TRAIN = "SELECT 'fold_training', CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'P' THEN 'running' WHEN o_orderpriority = '1-URGENT' THEN 'terminal_failed' WHEN o_orderpriority = '2-HIGH' THEN 'retryable' ELSE 'ready' END, 0, 1, sha256('o' || CAST(o_orderkey AS VARCHAR)), CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN sha256('done' || CAST(o_orderkey AS VARCHAR)) END FROM orders"
+_STATUS_ROWS = f"""SELECT stage, id, CASE s WHEN 'planned' THEN 'ready' WHEN 'interrupted' THEN 'retryable' ELSE s END AS state, s IN ('complete', 'terminal_failed') AS terminal, s IN ('planned', 'interrupted', 'ready', 'retryable') AS resume_allowed, false AS repair_allowed,
+ CASE WHEN stage = 'fold_training' THEN CASE s WHEN 'ready' THEN 'start_training' WHEN 'running' THEN 'wait_for_training' WHEN 'retryable' THEN 'resume_training' WHEN 'terminal_failed' THEN 'record_terminal_training_failure' ELSE 'verify_adapter_artifact' END ELSE CASE s WHEN 'planned' THEN 'start_development' WHEN 'running' THEN 'wait_for_development' WHEN 'interrupted' THEN 'resume_development' ELSE 'verify_development_artifact' END END AS next_action,
+ CASE WHEN s = 'terminal_failed' THEN 'no_complete_resume_checkpoint' ELSE '' END AS blockers, CASE WHEN stage = 'fold_training' THEN CAST(s = 'complete' AS BIGINT) ELSE completed END AS completed_count, total AS total_count, coalesce(completion, contract) AS artifact_sha256 FROM ({_DEV} UNION ALL {_TRAIN})"""
+
+
+def _workflows(spark, d):
+    orders = table(spark, d, "orders")
+    done, held = F.count_if(F.col("o_orderstatus") == "F"), F.count_if(F.col("o_orderstatus") == "P")
+    dev = orders.groupBy("o_custkey").agg(done.alias("completed"), F.count("*").alias("total"), held.alias("held"))
+    state = F.when(F.col("completed") == F.col("total"), "complete").when(F.col("completed") == 0, "planned").when(F.col("held") > 0, "running").otherwise("interrupted")
+    cust, key = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
+    dev = dev.select(F.lit("development_generation").alias("stage"), cust.alias("id"), state.alias("ledger_state"), "completed", "total", F.sha2(F.concat(F.lit("c"), cust), 256).alias("contract_sha256"), F.lit(None).cast("string").alias("completion_sha256"))
+    status, first = F.col("o_orderstatus"), F.col("o_orderpriority")
+    state = F.when(status == "F", "complete").when(status == "P", "running").when(first == "1-URGENT", "terminal_failed").when(first == "2-HIGH", "retryable").otherwise("ready")
+    end = F.when((status == "F") & (F.col("o_orderkey") % 2 == 0), F.sha2(F.concat(F.lit("done"), key), 256))
+    train = orders.select(F.lit("fold_training").alias("stage"), key.alias("id"), state.alias("ledger_state"), F.lit(0).cast("long").alias("completed"), F.lit(1).cast("long").alias("total"), F.sha2(F.concat(F.lit("o"), key), 256).alias("contract_sha256"), end.alias("completion_sha256"))
+    return ledger.workflow_status(dev.unionByName(train))
+
+
+@query(_STATUS_ROWS)
+def q_workflow_status(spark, d):
+    """The shared status of two kinds of resume ledgers, all nine states."""
+    rows = _workflows(spark, d).withColumn("blockers", F.concat_ws(",", "blockers"))
+    return rows.select("stage", "id", "state", "terminal", "resume_allowed", "repair_allowed", "next_action", "blockers", "completed_count", "total_count", "artifact_sha256")
+
+
+@query(f"SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN i % 3 = 0 THEN 'stage' END, CASE WHEN i % 5 = 0 THEN 'counts' END, CASE WHEN i % 7 = 0 THEN 'artifact_sha256' END, CASE WHEN i % 11 = 0 THEN 'flags' END, CASE WHEN i % 13 = 0 THEN 'blockers' END], lambda x: x IS NOT NULL)) AS code FROM (SELECT CAST(id AS BIGINT) AS i FROM ({_STATUS_ROWS}) WHERE stage = 'fold_training')) GROUP BY 1")
+def q_workflow_issues(spark, d):
+    """Training statuses with five kinds of planted breach."""
+    rows, i = _workflows(spark, d).where("stage = 'fold_training'"), F.col("id").cast("long")
+    broken = rows.withColumns({"stage": F.when(i % 3 == 0, " fold_training").otherwise(F.col("stage")), "completed_count": F.when(i % 5 == 0, F.col("total_count") + 1).otherwise(F.col("completed_count")), "artifact_sha256": F.when(i % 7 == 0, F.upper(F.concat(F.lit("x"), "artifact_sha256"))).otherwise(F.col("artifact_sha256"))})
+    broken = broken.withColumns({"terminal": F.when(i % 11 != 0, F.col("terminal")), "blockers": F.when(i % 13 == 0, F.array(F.lit(""))).otherwise(F.col("blockers"))})
+    return ledger.workflow_issues(broken, "id").groupBy("code").agg(F.count("*").alias("n"))
+
+
 RUNS = inputs.SQL["runs"]
 
 

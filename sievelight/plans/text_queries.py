@@ -274,6 +274,22 @@ def q_secret_markers(spark, d):
     return docs.unionByName(pages).select("origin", "id", F.concat_ws(",", T.secret_markers(F.col("x"))).alias("markers"))
 
 
+#: Paths of the pages' files: what the url names, below folders and with endings of many kinds.
+_ENDS = ("", "/index.html", "/.env.local", "/Data/a.PARQUET", "/data/a.txt", "/../up", "/x/./id_rsa", "/notes.csv.txt", "/.csv", "//runs//a.py")
+_PATHS = f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/' WHEN 1 THEN 'reports/generated/' WHEN 2 THEN './' ELSE 'src/' END || regexp_replace(url, '^[a-z]+://', '') || list_extract([{', '.join(map(D.lit, _ENDS))}], CAST(page_id % {len(_ENDS)} AS INTEGER) + 1) AS path FROM pages"
+_LIST = lambda xs: "[" + ", ".join(map(D.lit, xs)) + "]"
+
+
+@query(f"""WITH p AS (SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS parts FROM ({_PATHS})), n AS (SELECT *, parts[-1] AS name FROM p)
+SELECT page_id, path, coalesce(starts_with(path, '/') OR len(parts) = 0 OR list_contains(parts, '..') OR list_has_any(parts, {_LIST(T.PRIVATE_FOLDERS)}) OR name IN {tuple(T.PRIVATE_NAMES)} OR starts_with(name, '.env') OR lower(regexp_extract(name, '^.+([.][^.]+)$', 1)) IN {tuple(T.PRIVATE_SUFFIXES)} OR parts[1:2] = ['reports', 'generated'], true) AS forbidden FROM n""")
+def q_forbidden_paths(spark, d):
+    """Which paths must not be published."""
+    i = F.col("page_id")
+    start = F.when(i % 4 == 0, "/").when(i % 4 == 1, "reports/generated/").when(i % 4 == 2, "./").otherwise("src/")
+    path = F.concat(start, F.regexp_replace("url", "^[a-z]+://", ""), F.element_at(F.array(*map(F.lit, _ENDS)), (i % len(_ENDS)).cast("int") + 1))
+    return table(spark, d, "pages").select("page_id", path.alias("path")).withColumn("forbidden", T.is_forbidden_path(F.col("path")))
+
+
 #: An audit of each source that tells too much: an id in some sources, a whole question in others, ids in a list.
 _TOLD = """SELECT source, CAST(count(*) AS VARCHAR) AS n, CASE WHEN length(source) = 5 THEN 'see ' || min(named) || '.' ELSE 'x' || min(named) END AS note, CASE WHEN length(source) = 4 THEN 'of: ' || max(question_raw) ELSE '-' END AS example FROM d GROUP BY source"""
 

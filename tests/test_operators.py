@@ -198,6 +198,9 @@ def test_submissions(spark):
     assert check([(0, "p1", "1"), (1, "p2", "-2"), (2, "p3", "0")]) == set()
     assert check([(0, "p2", "1"), (1, "p1", "2"), (2, "p3", "3")]) == {(None, "id_order")}
     assert check([(0, "p1", "01"), (1, "p1", "1"), (2, "zz", None), (3, None, "1")]) == {("p1", "noncanonical_answer"), ("zz", "noncanonical_answer"), ("p1", "duplicate_ids"), ("p2", "missing_ids"), ("p3", "missing_ids"), ("zz", "extra_ids"), (None, "null_id"), (None, "row_count")}
+    # Rows without an id don't shift the places of the others: no id_order beside a row too many.
+    assert check([(0, None, "1"), (1, "p1", "1"), (2, "p2", "2"), (3, "p3", "3")]) == {(None, "null_id"), (None, "row_count")}
+    assert check([(0, "", "1"), (1, "p2", "1"), (2, "p1", "2"), (3, "p3", "3")]) == {("", "null_id"), (None, "row_count"), (None, "id_order")}
     pred = spark.createDataFrame([("p1", "5"), ("p2", "x")], "id string, prediction string")
     assert {r.id: (r.answer, r.provenance, r.reason) for r in validation.resolve(pred, expected, fallback="0").collect()} == {"p1": ("5", "prediction", None), "p2": ("0", "emergency_fallback", "invalid_prediction"), "p3": ("0", "emergency_fallback", "missing_prediction")}
     assert {r.answer for r in validation.resolve(pred, expected, resolver=lambda i, p, why: F.length(i).cast("string")).collect()} == {"5", "2"}
@@ -209,6 +212,43 @@ def test_submissions(spark):
         validation.resolve(spark.createDataFrame([("q", "1")], pred.schema), expected, fallback="0")
 
 
+@pytest.mark.parametrize("places", [1, 2, 65_536])
+def test_submission_lines(spark, monkeypatch, places):
+    monkeypatch.setattr(validation, "PLACES", places)
+    expected = spark.createDataFrame([(0, "p1"), (1, "p2"), (2, "p3")], "ord long, id string")
+
+    def check(*lines):
+        rows = spark.createDataFrame(list(enumerate(lines)), "ord long, raw string")
+        return sorted((r.id or "", r.code, r.row_number or 0) for r in validation.submission_line_issues(rows, expected).collect())
+
+    line = '{{"id":"{}","answer":{}}}'.format
+    assert check(line("p1", 1), line("p2", "-0"), line("p3", '"-12"')) == []
+    assert check(line("p1", "1" * 45), line("p3", 1), line("p2", 1)) == [("", "id_order", 3)]
+    assert check("[1]", line("p1", 1), line("p3", 1), line("p2", 1), None) == [("", "id_order", 3), ("", "row_count", 0), ("", "row_type", 2), ("", "row_type", 6)]
+    assert check('{"id":"p1","id":"p1","answer":1}', "no", line("p3", "true")) == [("", "row_type", 2), ("", "row_type", 3), ("p1", "missing_ids", 0), ("p2", "missing_ids", 0), ("p3", "noncanonical_answer", 4)]
+    assert check('{"answer":1,"id":"p1"}', '{"id":"p2"}', '{"id":5,"answer":"05"}') == [("", "id_type", 4), ("p1", "row_schema", 2), ("p2", "noncanonical_answer", 3), ("p2", "row_schema", 3), ("p3", "missing_ids", 0)]
+    assert check('{"id":"","answer":1}', line("p1", "1.0"), line("p1", "null")) == [("", "null_id", 2), ("p1", "duplicate_ids", 0), ("p1", "noncanonical_answer", 3), ("p1", "noncanonical_answer", 4), ("p2", "missing_ids", 0), ("p3", "missing_ids", 0)]
+    none = spark.createDataFrame([], "ord long, raw string")
+    assert {r.code for r in validation.submission_line_issues(none, expected).collect()} == {"missing_ids", "row_count"}
+
+
+def test_workflow_status(spark):
+    schema = "k string, stage string, ledger_state string, completed long, total long, contract_sha256 string, completion_sha256 string"
+    a, b = "a" * 64, "b" * 64
+    rows = [("1", "development_generation", "interrupted", 3, 9, a, b), ("2", "fold_training", "complete", 0, 0, a, b), ("3", "fold_training", "terminal_failed", 5, 9, a, None)]
+    got = {r.k: r for r in ledger.workflow_status(spark.createDataFrame(rows, schema)).collect()}
+    assert (got["1"].state, got["1"].completed_count, got["1"].total_count, got["1"].artifact_sha256, got["1"].next_action) == ("retryable", 3, 9, a, "resume_development")
+    assert (got["2"].terminal, got["2"].completed_count, got["2"].total_count, got["2"].artifact_sha256) == (True, 1, 1, b)
+    assert (got["3"].blockers, got["3"].completed_count, got["3"].artifact_sha256) == (["no_complete_resume_checkpoint"], 0, a)
+    for stage, state in (("fold_training", "planned"), ("other", "ready"), ("fold_training", None)):
+        with pytest.raises(Exception, match="unsupported state"):
+            ledger.workflow_status(spark.createDataFrame([("1", stage, state, 1, 1, a, b)], schema)).collect()
+    sound = ledger.workflow_status(spark.createDataFrame(rows, schema))
+    assert ledger.workflow_issues(sound, "k").count() == 0
+    odd = sound.where("k = '1'").withColumns({"stage": F.lit(None).cast("string"), "state": F.lit("done"), "next_action": F.lit(" x"), "terminal": F.lit(None).cast("boolean"), "completed_count": F.lit(10), "blockers": F.array(F.lit(None).cast("string")), "artifact_sha256": F.lit("A" * 64)})
+    assert {r.code for r in ledger.workflow_issues(odd, "k").collect()} == {"stage", "state", "next_action", "flags", "counts", "blockers", "artifact_sha256"}
+
+
 def test_joins(spark):
     a = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y"), ("4", None)], "id string, fp string")
     assert joins.duplicate_summary(a, "fp").first().asDict() == {"group_count": 1, "row_count": 2, "max_group_size": 2}

@@ -120,6 +120,13 @@ def test_classifier(spark):
     }
     rows = [(f"{s}/{c}", 0, None, "\n".join(x), ["p", "q"], {"p": "7", "q": "7"}) for (s, c), x in cases.items()]
     rows += [("process/runner_exception", 0, "runner_exception", "", ["p"], None), ("timeout_spawn/timeout", 124, None, "", ["p"], None), ("timeout_spawn/spawn_failure", 127, None, "", ["p"], None), ("nonzero/command_nonzero", 1, None, "", ["p"], None)]
+    tool, odd = event("item.started", item={"type": "command"}), event("odd", error=1)
+    for want, x in (("unsafe_item", [tool, odd, end]), ("unsafe_event_type", [odd, tool, end]), ("error_event", [event("item.started", error=None, item={"type": "command"}), end])):
+        rows.append((f"unsafe_error_event/{want}", 0, None, "\n".join(x), ["p"], None))
+    for usage in ({}, None, {"a": 1.5}, {"a": True}, {"": 1}, {"a": 1, "b": "2"}, [1], {"a": {"b": 1}}):
+        rows.append(("terminal_usage/invalid_usage", 0, None, "\n".join([ok, event("turn.completed", usage=usage)]), ["p", "q"], None))
+    for usage in ({"any": 0}, {"a": 10**30, 'quo"te\\': 3}):
+        rows.append(("success/qualified", 0, None, "\n".join([ok, event("turn.completed", usage=usage)]), ["p", "q"], None))
     df = spark.createDataFrame(rows, "want string, returncode int, failure_reason string, stdout string, expected array<string>, answers map<string,string>")
     for r in classifier.classify(df).collect():
         assert f"{r.stage}/{r.code}" == r.want
