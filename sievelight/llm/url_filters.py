@@ -9,7 +9,8 @@ linked host. Iterates are cut by checkpoints every few rounds.
 
 Edge cases: a null url or one without ``://`` has empty host and path and is allowed; dangling hosts return their
 mass to the seeds; without seeds nobody is blocked; repeated pages count as often as they occur; equal scores
-allow; null html has no links.
+allow; null html has no links, and html of any length is read whole; columns named like a result are replaced, other
+extra columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, reverse: bool = False, rounds:
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = 0.0, rounds: int = 8) -> DataFrame:
     """Every page with host, path, rule and verdict, and its host's trust and distrust."""
-    known = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    known = pages.drop("host", "path", "rule", "by_rule", "verdict", "trust", "distrust").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     known = known.withColumns({"rule": rule, "by_rule": verdict})
     edges = host_edges(known).checkpoint()
