@@ -65,6 +65,29 @@ def q_parse_forms(spark, d):
     return rows.select("n_nationkey", "p.status", "p.value", "p.source", answers.reason_code(F.col("p.reason")).alias("reason_code"))
 
 
+#: Completions made from the numbers of a row: part v, quantity q, form f.
+_MIXED = "SELECT l_partkey AS v, CAST(l_quantity AS BIGINT) AS q, CAST((l_orderkey + l_linenumber) % 10 AS INTEGER) AS f FROM lineitem"
+_OUTCOME = """CASE f WHEN 0 THEN ['ok', 'final_answer', 'parsed_unambiguous_integer', v::VARCHAR] WHEN 1 THEN CASE WHEN v % 6 = 0 THEN ['ok', 'boxed', 'parsed_unambiguous_integer', (-(v // 6))::VARCHAR] ELSE ['invalid', 'boxed', 'non_integral_fraction', NULL] END
+ WHEN 2 THEN ['ok', 'hashes', 'parsed_unambiguous_integer', v::VARCHAR] WHEN 3 THEN CASE WHEN v = q THEN ['ok', 'boxed', 'parsed_unambiguous_integer', v::VARCHAR] ELSE ['conflict', 'boxed', 'conflicting_marker_values', NULL] END
+ WHEN 4 THEN CASE WHEN v % 7 = 0 THEN ['ok', 'final_answer', 'parsed_unambiguous_integer', (v // 7)::VARCHAR] ELSE ['invalid', 'final_answer', 'non_integral_fraction', NULL] END WHEN 5 THEN ['invalid', 'final_answer', 'multiple_values_in_payload', NULL] WHEN 6 THEN ['invalid', 'hashes', 'scientific_notation_not_allowed', NULL]
+ WHEN 7 THEN ['ok', 'answer', 'parsed_unambiguous_integer', v::VARCHAR] WHEN 8 THEN ['invalid', 'boxed', 'boxed_unbalanced_braces', NULL] ELSE ['ok', 'fallback', 'parsed_unambiguous_integer', v::VARCHAR] END"""
+
+
+@query(f"SELECT f AS form, o[1] AS status, o[2] AS source, o[3] AS reason_code, count(*) AS n, CAST(sum(CAST(o[4] AS BIGINT)) AS BIGINT) AS total FROM (SELECT f, {_OUTCOME} AS o FROM ({_MIXED})) GROUP BY ALL")
+def q_parse_mixed(spark, d):
+    """Outcomes and values of ten kinds of completion; the row's numbers decide fractions and conflicts."""
+    v, q = F.col("l_partkey"), F.col("l_quantity").cast("long").cast("string")
+    s = v.cast("string")
+    f = ((F.col("l_orderkey") + F.col("l_linenumber")) % 10).cast("int")
+    texts = [
+        ("so we get\n**Final answer:** ", F.format_number(v, 0), ".00"), ("first \\boxed{\\frac{-", s, "}{6}}"), ("#### (", s, ")"), ("\\boxed{", s, "} or \\boxed{", q, "}"), ("Final answer: ", s, "/7"),
+        ("Final answer: ", s, " and ", (v + 1).cast("string")), ("#### ", s, "e6"), ("answer is `$", s, "$`."), ("\\boxed{", s), ("there are ", q, " of them, or ", s, " / 1"),
+    ]
+    made = F.array(*(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in t)) for t in texts))
+    rows = table(spark, d, "lineitem").select(f.alias("form"), F.element_at(made, f + 1).alias("t")).select("form", answers.parse_answer(F.col("t")).alias("p"))
+    return rows.groupBy("form", "p.status", "p.source", answers.reason_code(F.col("p.reason")).alias("reason_code")).agg(F.count("*").alias("n"), F.sum(F.col("p.value").cast("long")).alias("total"))
+
+
 @query()
 def q_parse_documents(spark, d):
     """Outcomes over free text, where every class of marker can occur."""
@@ -126,6 +149,15 @@ def q_provenance(spark, d):
     return voting.incomplete_provenance(inputs.candidates(spark, d)).agg(F.count("*").alias("n_incomplete"))
 
 
+@query(f"SELECT route, count(*) AS n_rows, count(*) FILTER (ord = 3 OR seed % 2 = 1 OR seed % 3 = 0 OR seed % 5 = 4) AS n_incomplete FROM ({CAND}) GROUP BY 1")
+def q_provenance_mixed(spark, d):
+    """Candidates of each route, and those of them that lack their index or one of three digests."""
+    s, own = F.col("seed"), F.sha2("completion", 256)
+    rows = inputs.candidates(spark, d).withColumns({"sample_index": F.when(F.col("ord") != 3, F.col("ord")), "prompt_sha256": F.when(s % 2 == 0, own), "checkpoint_sha256": F.when(s % 3 != 0, own), "generation_config_sha256": F.when(s % 5 != 4, own)})
+    lacking = voting.incomplete_provenance(rows).groupBy("route").agg(F.count("*").alias("n_incomplete"))
+    return rows.groupBy("route").agg(F.count("*").alias("n_rows")).join(lacking, "route", "left").select("route", "n_rows", F.coalesce("n_incomplete", F.lit(0)).alias("n_incomplete"))
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(('0x' || substr(sha256('seed-v1' || chr(0) || 'salt' || chr(0) || CAST(o_orderkey AS VARCHAR) || chr(0) || '3'), 1, 16))::UBIGINT % 9223372036854775808::UBIGINT AS BIGINT) AS seed FROM orders")
 def q_seed(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), T.deterministic_seed(F.col("o_orderkey"), F.lit(3), "salt").alias("seed"))
@@ -286,6 +318,34 @@ def q_consistency(spark, d):
     return evaluation.consistency_issues(evaluation.contingency(rows, ["fold"]).withColumn("neither", F.col("neither") + (F.col("fold") == 2).cast("long"))).select("fold", "code")
 
 
+#: Both runs by block of groups, exchanged in odd blocks, with the upper end of a normal interval and a test by the squared difference.
+_BLOCKS = f"SELECT block, total, n_both, oa, ob, nn, round((ob - oa) / total, 9) AS delta, (ob - oa) / total + 1.96 * sqrt((oa + ob) / total / total) AS ci_high, (ob - oa) * (ob - oa) * 10 > (oa + ob) * 25 AS reject FROM (SELECT CAST(group_id AS BIGINT) % 97 AS block, count(*) AS total, count(*) FILTER (a_ok AND b_ok) AS n_both, count(*) FILTER (a_ok AND NOT b_ok) AS oa, count(*) FILTER (NOT a_ok AND b_ok) AS ob, count(*) FILTER (NOT a_ok AND NOT b_ok) AS nn FROM (SELECT group_id, CASE WHEN CAST(group_id AS BIGINT) % 97 % 2 = 1 THEN b_ok ELSE a_ok END AS a_ok, CASE WHEN CAST(group_id AS BIGINT) % 97 % 2 = 1 THEN a_ok ELSE b_ok END AS b_ok FROM ({_PAIRED})) GROUP BY 1)"
+
+
+def _blocks(spark, d):
+    blocks = inputs.gold(spark, d).select("id", (F.col("group_id").cast("long") % 97).alias("block"))
+    rows, odd = _paired(spark, d).join(blocks, "id"), F.col("block") % 2 == 1
+    rows = rows.select("block", F.when(odd, F.col("b_ok")).otherwise(F.col("a_ok")).alias("a_ok"), F.when(odd, F.col("a_ok")).otherwise(F.col("b_ok")).alias("b_ok"))
+    cells = evaluation.contingency(rows, ["block"])
+    a, b, n = F.col("only_a"), F.col("only_b"), F.col("total")
+    return cells.withColumns({"ci_high": (b - a) / n + F.lit(1.96) * F.sqrt((a + b) / n / n), "reject": (b - a) * (b - a) * 10 > (a + b) * 25})
+
+
+@query(f"SELECT block, total, delta, reject, delta < 0 AND ci_high < 0 AND reject AS stop FROM ({_BLOCKS})")
+def q_harm_blocks(spark, d):
+    """The harm screen where differences, intervals and decisions disagree."""
+    return evaluation.harm_screen(_blocks(spark, d)).select("block", "total", "delta", "reject", "stop")
+
+
+@query(f"SELECT block, unnest(CASE block % 6 WHEN 1 THEN ['cell_sum'] WHEN 2 THEN ['accuracy_a'] WHEN 3 THEN ['accuracy_b'] WHEN 4 THEN ['delta'] WHEN 5 THEN ['cell_sum', 'accuracy_a', 'accuracy_b', 'delta'] ELSE [] END) AS code FROM ({_BLOCKS})")
+def q_consistency_blocks(spark, d):
+    """Stored comparisons, five in six of them falsified in one or all of their fields."""
+    k = F.col("block") % 6
+    off = lambda c, m: F.when(k.isin(m, 5), F.col(c) + 0.25).otherwise(F.col(c))
+    rows = _blocks(spark, d).withColumns({"neither": F.col("neither") + k.isin(1, 5).cast("long"), "accuracy_a": off("accuracy_a", 2), "accuracy_b": off("accuracy_b", 3), "delta": off("delta", 4)})
+    return evaluation.consistency_issues(rows).select("block", "code")
+
+
 def _expected(spark, d):
     return inputs.gold(spark, d).select("id", F.col("id").cast("long").alias("ord"))
 

@@ -228,6 +228,25 @@ def q_split_issues(spark, d):
     return splits.split_issues(settled(splits.make_split(_order_groups(spark, d), **SPLIT)), 5)
 
 
+#: A split of the orders by customer, broken in every way: torn and misnamed groups, odd folds, an empty fold, repeated rows.
+_BROKEN = """SELECT o_orderkey::VARCHAR AS record_id, o_custkey::VARCHAR AS group_id, CASE WHEN o_orderkey % 40 = 3 THEN 'spare' WHEN o_orderstatus = 'P' THEN 'final_locked_holdout' ELSE 'cross_validation' END AS partition,
+ CASE WHEN o_orderkey % 40 = 1 THEN 9 WHEN o_orderkey % 40 = 2 OR o_orderstatus = 'P' THEN NULL ELSE o_custkey % 4 END AS fold FROM orders"""
+
+
+@query(f"""WITH s AS (SELECT * FROM ({_BROKEN}) UNION ALL SELECT * FROM ({_BROKEN}) WHERE CAST(record_id AS BIGINT) % 30 = 0)
+ SELECT 'duplicate_record' AS code, record_id AS subject FROM s GROUP BY record_id HAVING count(*) > 1 UNION ALL SELECT 'split_group', group_id FROM s GROUP BY group_id HAVING count(DISTINCT partition || coalesce(fold::VARCHAR, '-')) > 1
+ UNION ALL SELECT 'bad_fold', record_id FROM s WHERE partition = 'spare' OR (partition = 'cross_validation' AND coalesce(fold NOT BETWEEN 0 AND 4, true)) OR (partition = 'final_locked_holdout' AND fold IS NOT NULL)
+ UNION ALL SELECT 'empty_part', 'fold ' || f FROM (SELECT unnest(range(5)) AS f) WHERE f NOT IN (SELECT fold FROM s WHERE fold IS NOT NULL AND partition = 'cross_validation') UNION ALL SELECT 'empty_part', 'final_locked_holdout' WHERE NOT EXISTS (SELECT 1 FROM s WHERE partition = 'final_locked_holdout' AND fold IS NULL)
+ UNION ALL SELECT 'group_name', group_id FROM s GROUP BY group_id HAVING min(record_id) <> group_id""")
+def q_split_faults(spark, d):
+    """Issues of a broken split."""
+    key, m = F.col("o_orderkey"), F.col("o_orderkey") % 40
+    part = F.when(m == 3, "spare").when(F.col("o_orderstatus") == "P", splits.HOLDOUT).otherwise(splits.TRAINED)
+    fold = F.when(m == 1, 9).when((m == 2) | (F.col("o_orderstatus") == "P"), None).otherwise((F.col("o_custkey") % 4).cast("int"))
+    rows = table(spark, d, "orders").select(key.cast("string").alias("record_id"), F.col("o_custkey").cast("string").alias("group_id"), part.alias("partition"), fold.alias("fold"))
+    return splits.split_issues(rows.unionByName(rows.where(F.col("record_id").cast("long") % 30 == 0)), 5)
+
+
 _SIGN = "CASE WHEN a < 0 THEN 'negative' WHEN a > 0 THEN 'positive' ELSE 'zero' END"
 _BUCKET = "CASE WHEN abs(a) = 0 THEN '0' WHEN abs(a) <= 10 THEN '1_to_10' WHEN abs(a) <= 100 THEN '11_to_100' WHEN abs(a) <= 1000 THEN '101_to_1000' WHEN abs(a) < 1000000 THEN '1001_to_999999' ELSE 'ge_1e6' END"
 
