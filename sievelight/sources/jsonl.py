@@ -22,6 +22,8 @@ RATIONALE = """schema_version string, problem_id string, question_sha256 string,
  teacher struct<provider: string, model_id: string, model_revision: string, prompt_sha256: string, generation_config_sha256: string, seed: long, sample_index: long, raw_generation_sha256: string, reference_answer_in_prompt: boolean, network_scope: string>,
  verification struct<status: string, method: string, leaderboard_or_test_used: boolean, locked_holdout_accessed: boolean, tool_used: boolean>"""
 # ---- end of fixed values ---------------------------------------------------------------------------------------
+#: Numbers beyond six digits, as tables of more than a million problems have them.
+LONG_TRAIN_ID = r"^train-(?:[0-9]{6}|[1-9][0-9]{6,})\z"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -108,38 +110,38 @@ def read_strict(spark: SparkSession, path: str, schema: StructType | str) -> Dat
     return rows.withColumn("problem", F.when(early, F.col("problem")).otherwise(F.coalesce(whole, "problem", F.when(odd, "key_set"))))
 
 
-def _loaded(rows: DataFrame, expected: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
+def _loaded(rows: DataFrame, expected: DataFrame, own: Column, id_form: str) -> tuple[DataFrame, DataFrame]:
     """(rows in the order of ``expected`` (ord, problem_id), issues (id, code)) of lines that were read strictly."""
     rows = rows.withColumn("problem", F.coalesce("problem", own))
     sound = rows.where("problem IS NULL").select("row.*")
     issues = rows.where("problem IS NOT NULL").select(F.get_json_object("raw", "$.problem_id").alias("id"), F.col("problem").alias("code"))
-    issues = issues.unionByName(coverage_issues(sound, expected))
+    issues = issues.unionByName(coverage_issues(sound, expected, id_form=id_form))
     return sound.join(expected.select("ord", "problem_id"), "problem_id").repartitionByRange("ord").sortWithinPartitions("ord"), issues
 
 
-def load_run(spark: SparkSession, path: str, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+def load_run(spark: SparkSession, path: str, expected: DataFrame, id_form: str = TRAIN_ID) -> tuple[DataFrame, DataFrame]:
     """A run's records on exactly the ``expected`` (ord, problem_id), one sample each: (rows in that order, issues (id, code)).
 
     Codes are those of ``read_strict`` and ``coverage_issues``, sample_index (not 0) and final_lf (a file without; its id is
     the path). Range partitions hold the order: neither the rows nor the ids are gathered. A caller that wants none of the
-    rows where there is any issue asks for the issues first.
+    rows where there is any issue asks for the issues first. Tables of more than a million problems need another ``id_form``.
     """
     index = F.when(~F.coalesce(F.col("row.sample_index") == 0, F.lit(False)), "sample_index")
-    rows, issues = _loaded(read_strict(spark, path, RUN_RECORD), expected, index)
+    rows, issues = _loaded(read_strict(spark, path, RUN_RECORD), expected, index, id_form)
     return rows, issues.unionByName(unterminated(spark, path).select(F.col("path").alias("id"), F.lit("final_lf").alias("code")))
 
 
-def load_rationales(spark: SparkSession, path: str, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+def load_rationales(spark: SparkSession, path: str, expected: DataFrame, id_form: str = TRAIN_ID) -> tuple[DataFrame, DataFrame]:
     """A rationale corpus on exactly the ``expected`` (ord, problem_id): (rows in that order, issues), as ``load_run``, with nested teacher and verification."""
-    rows, issues = _loaded(read_strict(spark, path, RATIONALE), expected, F.lit(None).cast("string"))
+    rows, issues = _loaded(read_strict(spark, path, RATIONALE), expected, F.lit(None).cast("string"), id_form)
     return rows, issues.unionByName(unterminated(spark, path).select(F.col("path").alias("id"), F.lit("final_lf").alias("code")))
 
 
-def coverage_issues(rows: DataFrame, expected: DataFrame, id_col: str = "problem_id") -> DataFrame:
+def coverage_issues(rows: DataFrame, expected: DataFrame, id_col: str = "problem_id", id_form: str = TRAIN_ID) -> DataFrame:
     """(id, code): ids that repeat, aren't expected, are missing or aren't of the form of a training id."""
     from sievelight.operators.joins import universe_issues
 
-    own = rows.where(~F.col(id_col).rlike(TRAIN_ID)).select(F.col(id_col).alias("id"), F.lit("id_form").alias("code"))
+    own = rows.where(~F.col(id_col).rlike(id_form)).select(F.col(id_col).alias("id"), F.lit("id_form").alias("code"))
     return universe_issues(expected.select(F.col(id_col)), rows.select(id_col), id_col).unionByName(own)
 
 

@@ -197,11 +197,11 @@ def write_source_bank(plan: DataFrame, accepted: DataFrame, path: str, note: dic
     return publish_whole(spark, path, lambda folder: lines.write.option("lineSep", "\n").mode("errorifexists").text(folder), manifest)
 
 
-def load_source_bank(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+def load_source_bank(spark: SparkSession, path: str, expected: DataFrame, id_form: str = jsonl.TRAIN_ID) -> DataFrame:
     """The bank's rows in the order of ``expected`` (ord, problem_id), after its manifest and every line were found sound."""
     manifest = json.loads(read_text(spark, f"{path}/{MANIFEST}"))
     if not is_intact(manifest) or digest_of(spark.read.option("lineSep", "\n").text(path)) != {k: manifest[k] for k in ("rows", "hash_a", "hash_b")}:
         raise ValueError(f"{path}: the manifest doesn't match the rows")
-    rows, issues = jsonl.load_rationales(spark, path, expected)
+    rows, issues = jsonl.load_rationales(spark, path, expected, id_form)
     validation.require_valid(issues, "source bank")
     return rows
