@@ -37,9 +37,13 @@ def fingerprint_groups(records: DataFrame, fp: str, id_col: str = "id") -> DataF
 
 
 def duplicate_groups(records: DataFrame, fp: str, id_col: str = "id") -> DataFrame:
-    """(fp, n, first_id, id): every member of a group with more than one; one row per member, so a huge group stays spread."""
-    groups = fingerprint_groups(records, fp, id_col).where("n > 1")
-    return meet(records.select(F.col(fp).alias("fp"), F.col(id_col).alias("id")), groups, "fp").select("fp", "n", "first_id", "id")
+    """(fp, n, first_id, id): every member of a group with more than one; one row per member, so a huge group stays spread.
+
+    Ids and fingerprints are settled first, as in ``cross_overlap``.
+    """
+    rows = settled(records.select(F.col(fp).alias("fp"), F.col(id_col).alias("id")))
+    groups = fingerprint_groups(rows, "fp", "id").where("n > 1")
+    return meet(rows, groups, "fp").select("fp", "n", "first_id", "id")
 
 
 def duplicate_summary(records: DataFrame, fp: str, id_col: str = "id") -> DataFrame:

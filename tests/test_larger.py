@@ -21,3 +21,23 @@ def long_keys(spark, sf, tmp_path_factory):
 @pytest.mark.parametrize("name", ("q_run_records", "q_source_bank"))
 def test_numbers_of_seven_digits(spark, long_keys, name):
     assert compare(spark, connect(long_keys), name, QUERIES[name], ORACLE_SQL[name], long_keys) == ""
+
+
+def test_only_characters_that_can_change_are_told(spark):
+    """The class with its short way for ASCII against the plain one."""
+    from sievelight.functions import text as T
+
+    c = F.col("c")
+    rows = spark.createDataFrame([(chr(i),) for i in (*range(0x400), 0xFB01, 0xFFFF, 0x1F600)], "c string")
+    assert rows.where(c.rlike(T.INERT) != c.rlike(f"[^{T._inert_class()}]")).count() == 0 and T.INERT.startswith(r"[\r\x{80}-")
+
+
+def test_fingerprints_are_settled_before_they_are_tested(spark):
+    """A long chain below a test for null would run again for every test."""
+    from sievelight.functions import text as T
+    from sievelight.operators import joins
+
+    rows = T.with_views(spark.createDataFrame([("a", "x 1"), ("b", "x  1"), ("c", "y"), ("d", None)], "id string, question_raw string"))
+    found = joins.duplicate_groups(rows, "source_fp")
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.n, r.first_id, r.id) for r in found.collect()) == [(2, "a", "a"), (2, "a", "b")]
