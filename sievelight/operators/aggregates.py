@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from sievelight.functions import quality
 from sievelight.functions import text as T
 from sievelight.operators.ranking import top
+from sievelight.session import settled
 
 QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -198,13 +199,16 @@ def corpus_counts(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def audit_report(records: DataFrame) -> DataFrame:
-    """(section, name, value) of a whole audit: summaries, flags and duplicates of all three fingerprints."""
+    """(section, name, value) of a whole audit: summaries, flags and duplicates of all three fingerprints.
+
+    The fingerprints are settled first, all three in one pass: a test for null would compute such long chains over again.
+    """
     from sievelight.operators.joins import duplicate_summary
 
     def long(df: DataFrame, section: str) -> DataFrame:
         return df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*(F.col(c).cast("double") for c in df.columns)))).alias("name", "value")).select(F.lit(section).alias("section"), "name", "value")
 
-    views = T.with_views(records)
+    views = settled(T.with_views(records).select("id", "canonical_fp", "source_fp", "masked_fp"))
     out = long(question_summary(records), "question").unionByName(long(answer_summary(records), "answer"))
     out = out.unionByName(flag_histogram(records).select(F.lit("flags").alias("section"), F.col("flag").alias("name"), F.col("n").cast("double").alias("value")))
     for fp in ("canonical_fp", "source_fp", "masked_fp"):
