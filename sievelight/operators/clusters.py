@@ -39,7 +39,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def label_edges(labels: DataFrame) -> DataFrame:
-    """Edges (a, b) of a table (id, label): every member with the least of its label."""
+    """Edges (a, b) of a table (id, label): every member with the least of its label.
+
+    Labels are settled first: they can be long chains of expressions, which the tests for null would compute over again.
+    """
+    labels = settled(labels.select("id", "label"))
     least = labels.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("b"))
     return meet(labels, least, "label").where("id <> b").select(F.col("id").alias("a"), "b")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.answers import parse_answer
 from sievelight.functions.text import sha256, strip
+from sievelight.session import spread
 
 IDENTITY = ("route", "seed", "sample_index", "prompt_sha256", "checkpoint_sha256", "generation_config_sha256")
 DIGESTS = ("prompt_sha256", "checkpoint_sha256", "generation_config_sha256")
@@ -65,14 +66,18 @@ def evaluate_candidates(candidates: DataFrame, by_trace: bool = True, by_identit
     """Candidates with status and value of their answer, ``accepted`` and the reason why not.
 
     The first of a problem's candidates with a trace (or a generation identity) counts, even if its answer can't be
-    read. The checks come in the order: answer, identity, trace.
+    read. The checks come in the order: answer, identity, trace. Rows move once, to their problem, where both checks and
+    the votes are taken; a problem's candidates are those of its budget. Traces are compared as bytes, half their text.
     """
-    seen = candidates.withColumns({"__p": parse_answer(F.col("completion")), "trace": trace(F.col("completion"))})
+    seen = candidates.withColumns({"__p": parse_answer(F.col("completion")), "__k": F.unhex(trace(F.col("completion")))})
     seen = seen.withColumns({c: F.lower(c) for c in DIGESTS})  # hex digests in either case are the same
+    seen = seen.withColumns({"parse_status": F.col("__p.status"), "answer": F.when(F.col("__p.status") == "ok", F.col("__p.value"))}).drop("__p")
+    seen = spread(seen, "problem_id")
     nth = lambda *by: F.row_number().over(Window.partitionBy("problem_id", *by).orderBy("ord"))
-    seen = seen.withColumns({"__t": nth("trace") if by_trace else F.lit(1), "__i": nth(*IDENTITY) if by_identity else F.lit(1)})
-    reason = F.when(F.col("__p.status") != "ok", F.concat(F.lit("parser_"), F.col("__p.status"))).when(F.col("__i") > 1, "duplicate_generation_identity").when(F.col("__t") > 1, "duplicate_trace")
-    return seen.withColumns({"parse_status": F.col("__p.status"), "answer": F.when(F.col("__p.status") == "ok", F.col("__p.value")), "exclusion": reason}).withColumn("accepted", F.col("exclusion").isNull()).drop("__p", "__t", "__i")
+    seen = seen.withColumns({"__t": nth("__k") if by_trace else F.lit(1), "__i": nth(*IDENTITY) if by_identity else F.lit(1)})
+    reason = F.when(F.col("parse_status") != "ok", F.concat(F.lit("parser_"), "parse_status")).when(F.col("__i") > 1, "duplicate_generation_identity").when(F.col("__t") > 1, "duplicate_trace")
+    out = seen.withColumns({"trace": F.lower(F.hex("__k")), "exclusion": reason}).withColumn("accepted", F.col("exclusion").isNull())
+    return out.select(*(c for c in candidates.columns if c != "trace"), "trace", "parse_status", "answer", "exclusion", "accepted")
 
 
 def vote_table(evaluated: DataFrame, routes: dict[str, float] | None = None, bonus: float = 0.25) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.session import table
+from sievelight.session import spread, table
 
 SQL: dict[str, str] = {}
 
@@ -29,7 +29,7 @@ SQL["candidates"] = f"""SELECT CAST(l_orderkey AS VARCHAR) AS problem_id, row_nu
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = table(spark, d, "lineitem")
+    rows = spread(table(spark, d, "lineitem"), "l_orderkey")
     ord_ = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1
     text = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit("\nFinal answer: "), (F.col("l_quantity").cast("int") % 5).cast("string"))
     seen = rows.select(F.col("l_orderkey").cast("string").alias("problem_id"), ord_.alias("ord"), text.alias("completion"), F.col("l_suppkey").alias("seed"), F.col("l_returnflag").alias("route"), (F.col("l_linestatus") == "F").alias("f"))

@@ -58,5 +58,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Tasks of each core that sort a whole table.
+TASKS_A_CORE = 16
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with equal keys brought together, in so many partitions that the sorts of one task stay small beside its memory."""
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -41,3 +41,10 @@ def test_fingerprints_are_settled_before_they_are_tested(spark):
     found = joins.duplicate_groups(rows, "source_fp")
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.n, r.first_id, r.id) for r in found.collect()) == [(2, "a", "a"), (2, "a", "b")]
+
+
+def test_candidates_move_once_to_their_problem(spark, sf):
+    """After the place in the order, one exchange for both checks and the votes, in more parts than a shuffle has."""
+    said = QUERIES["q_vote"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moves = [x for x in said.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moves) == 2 and all("REPARTITION_BY_NUM" in x for x in moves)
