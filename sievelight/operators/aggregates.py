@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from fractions import Fraction
 
@@ -14,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from sievelight.functions import quality
 from sievelight.functions import text as T
+from sievelight.operators import sequences
 from sievelight.operators.ranking import top
 from sievelight.session import settled
 
@@ -137,23 +137,18 @@ def exact_sum(rows: DataFrame, value: str, by: list[str] | None = None) -> DataF
 def sequence_sha256(rows: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     """(column, n, sha256): the digest of each column's values as a compact JSON list in order.
 
-    A digest of a sequence is itself sequential, so one task reads the range-ordered partitions one after the other and
-    keeps a hash state for each column, never the list. Texts are quoted as JSON without escaping non-ASCII; nulls are null.
-    An empty table gives no row.
+    One task hashes the pieces that ``sequences`` makes, never the list. Texts are quoted as JSON without escaping
+    non-ASCII; nulls are null. An empty table gives no row.
     """
-    ordered = rows.orderBy(*order).select(*columns).coalesce(1)
-
-    def run(batches):
-        state, n = [hashlib.sha256(b"[") for _ in columns], 0
-        for b in batches:
-            for s, values in zip(state, b.columns, strict=True):
-                said = ",".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in values.to_pylist())
-                s.update((("," if n and said else "") + said).encode())
-            n += b.num_rows
-        ends = [s.hexdigest() for s in state if s.update(b"]") is None]
-        yield pa.RecordBatch.from_pydict({"column": columns, "n": [n] * len(columns), "sha256": ends}, pa.schema([("column", pa.string()), ("n", pa.int64()), ("sha256", pa.string())]))
-
-    return ordered.mapInArrow(run, "column string, n long, sha256 string")
+    encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+    found = sequences.pieces(rows.orderBy(*order).select(*columns), lambda b: [[encode(x) for x in c.to_pylist()] for c in b.columns])
+
+    def finish(states, counts, n):
+        for s in states:
+            s.update(b"]")
+        return pa.RecordBatch.from_pydict({"column": columns, "n": [n] * len(columns), "sha256": [s.hexdigest() for s in states]}, pa.schema([("column", pa.string()), ("n", pa.int64()), ("sha256", pa.string())]))
+
+    return sequences.hashed(found, [b"["] * len(columns), finish, "column string, n long, sha256 string")
 
 
 def token_profile(tokens: DataFrame, limits: tuple[int, ...] = (1024, 2048, 4096), by: list[str] | None = None) -> DataFrame:

@@ -1,12 +1,10 @@
 """Split manifests: identity digests, strict reading, what differs from a split made anew, and eligibility reports.
 
-The digest of an ordered list is sequential by nature. Rows are sorted by range, and one task reads the ranges one after
-the other and keeps hash states alone; all digests of a report come from the same pass.
+All digests of a report come from the same pass over the pieces of ``sequences``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Callable
 
@@ -15,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions import text as T
+from sievelight.operators import sequences
 from sievelight.operators.joins import binding_issues
 from sievelight.operators.ranking import meet
 from sievelight.operators.splits import HOLDOUT, TRAINED
@@ -27,8 +26,11 @@ MANIFEST_KEYS = ("actual_counts", "algorithm", "assignments", "holdout_fraction"
 # ---- end of fixed values ---------------------------------------------------------------------------------------
 
 
+_encode = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
+
+
 def _compact(x: object) -> str:
-    return json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _encode(x)
 
 
 def ids_digests(rows: DataFrame, parts: dict[str, Column], id_col: str = "record_id") -> DataFrame:
@@ -36,20 +38,16 @@ def ids_digests(rows: DataFrame, parts: dict[str, Column], id_col: str = "record
     names = list(parts)
     chosen = rows.select(F.col(id_col).cast("string").alias("id"), *(F.coalesce(c, F.lit(False)).alias(f"p{i}") for i, c in enumerate(parts.values())))
 
-    def run(batches):
-        states, n = [hashlib.sha256(b"[") for _ in names], [0] * len(names)
-        for b in batches:
-            said = pa.array([_compact(x) for x in b.column(0).to_pylist()], pa.string())
-            for i, state in enumerate(states):
-                own = said.filter(b.column(i + 1)).to_pylist()
-                if own:
-                    state.update((("," if n[i] else "") + ",".join(own)).encode())
-                    n[i] += len(own)
+    def texts(b):
+        said = pa.array([_encode(x) for x in b.column(0).to_pylist()], pa.string())
+        return [said.filter(c).to_pylist() for c in b.columns[1:]]
+
+    def finish(states, counts, _):
         for s in states:
             s.update(b"]")
-        yield pa.RecordBatch.from_pydict({"part": names, "n": n, "ids_sha256": [s.hexdigest() for s in states]}, pa.schema([("part", pa.string()), ("n", pa.int64()), ("ids_sha256", pa.string())]))
+        return pa.RecordBatch.from_pydict({"part": names, "n": counts, "ids_sha256": [s.hexdigest() for s in states]}, pa.schema([("part", pa.string()), ("n", pa.int64()), ("ids_sha256", pa.string())]))
 
-    return chosen.orderBy("id").coalesce(1).mapInArrow(run, "part string, n long, ids_sha256 string")
+    return sequences.hashed(sequences.pieces(chosen.orderBy("id"), texts), [b"["] * len(names), finish, "part string, n long, ids_sha256 string")
 
 
 def split_identity(split: DataFrame, version: str, seed: int, n_folds: int, holdout_fraction: float, algorithm: str) -> DataFrame:
@@ -59,21 +57,20 @@ def split_identity(split: DataFrame, version: str, seed: int, n_folds: int, hold
     """
     last = {"holdout_fraction": float(holdout_fraction), "n_folds": n_folds, "seed": seed}
 
-    def run(batches):
-        whole, pairs, n = hashlib.sha256(f'{{"algorithm":{_compact(algorithm)},"assignments":['.encode()), hashlib.sha256(b"["), 0
-        for b in batches:
-            rows = b.to_pylist()
-            comma = "," if n and rows else ""
-            whole.update((comma + ",".join(map(_compact, rows))).encode())
-            pairs.update((comma + ",".join(_compact([r["record_id"], r["group_id"]]) for r in rows)).encode())
-            n += len(rows)
+    def texts(b):
+        rows = b.to_pylist()
+        return [[_encode(r) for r in rows], [_encode([r["record_id"], r["group_id"]]) for r in rows]]
+
+    def finish(states, counts, n):
+        whole, pairs = states
         pairs.update(b"]")
         groups = pairs.hexdigest()
         whole.update(("]," + _compact({**last, "source_groups_sha256": groups, "version": version})[1:]).encode())
-        yield pa.RecordBatch.from_pydict({"n_records": [n], "source_groups_sha256": [groups], "split_sha256": [whole.hexdigest()]}, pa.schema([("n_records", pa.int64()), ("source_groups_sha256", pa.string()), ("split_sha256", pa.string())]))
+        return pa.RecordBatch.from_pydict({"n_records": [n], "source_groups_sha256": [groups], "split_sha256": [whole.hexdigest()]}, pa.schema([("n_records", pa.int64()), ("source_groups_sha256", pa.string()), ("split_sha256", pa.string())]))
 
     rows = split.select(F.col("record_id").cast("string"), F.col("group_id").cast("string"), "partition", F.col("fold").cast("int"))
-    return rows.orderBy("record_id").coalesce(1).mapInArrow(run, "n_records long, source_groups_sha256 string, split_sha256 string")
+    starts = [f'{{"algorithm":{_compact(algorithm)},"assignments":['.encode(), b"["]
+    return sequences.hashed(sequences.pieces(rows.orderBy("record_id"), texts), starts, finish, "n_records long, source_groups_sha256 string, split_sha256 string")
 
 
 def split_diff(stored: DataFrame, derived: DataFrame) -> DataFrame:

@@ -48,3 +48,18 @@ def test_candidates_move_once_to_their_problem(spark, sf):
     said = QUERIES["q_vote"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     moves = [x for x in said.splitlines() if "Exchange hashpartitioning" in x]
     assert len(moves) == 2 and all("REPARTITION_BY_NUM" in x for x in moves)
+
+
+def test_sequences_become_text_side_by_side(spark):
+    """The task that hashes reads pieces of text from many partitions, whatever their number, and refuses another order."""
+    import hashlib
+
+    from sievelight.operators import aggregates, sequences
+
+    rows = spark.range(5_000).repartition(7)
+    want = hashlib.sha256(("[" + ",".join(map(str, range(5_000))) + "]").encode()).hexdigest()
+    assert [tuple(r) for r in aggregates.sequence_sha256(rows, ["id"], ["id"]).collect()] == [("id", 5_000, want)]
+    found = sequences.pieces(rows.repartitionByRange(5, "id").sortWithinPartitions("id"), lambda b: [[str(x) for x in b.column(0).to_pylist()]])
+    assert found.select("place").distinct().count() == 5
+    with pytest.raises(Exception, match="out of order"):
+        sequences.hashed(found.orderBy(F.desc("place")), [b""], lambda s, n, k: None, "x long").collect()
