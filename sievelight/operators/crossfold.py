@@ -105,9 +105,10 @@ def stratified_deltas(profile: DataFrame, samples: int = 10_000, seed: int = 0,
     fold over the distinct rows of the profile; a block of samples has a random stream of its own.
     """
     spark = profile.sparkSession
-    kinds = profile.orderBy("fold", "size", "sums").limit(evaluation.MAX_PROFILE + 1).collect()
-    if len(kinds) > evaluation.MAX_PROFILE:
-        raise ValueError(f"more than {evaluation.MAX_PROFILE} distinct groups")
+    profile = settled(profile)
+    if profile.limit(evaluation.MAX_PROFILE + 1).count() > evaluation.MAX_PROFILE:
+        return _parted_deltas(profile, samples, seed)
+    kinds = profile.orderBy("fold", "size", "sums").collect()  # at most MAX_PROFILE rows
     if not kinds:
         raise ValueError("there is nothing to draw from")
     by_fold: dict[int, list] = {}
@@ -131,6 +132,41 @@ def stratified_deltas(profile: DataFrame, samples: int = 10_000, seed: int = 0,
     return spark.range(0, blocks, 1, min(blocks, spark.sparkContext.defaultParallelism)).mapInPandas(draw, "sample long, deltas array<double>")
 
 
+#: Parts of a profile that has too many rows for one task.
+PARTS = 128
+
+
+def _parted_deltas(profile: DataFrame, samples: int, seed: int) -> DataFrame:
+    """``stratified_deltas`` of a profile of any size: the same distribution, by draws in two steps.
+
+    A fold's groups first fall to the parts of its profile, then to the rows of each part; a multinomial draw is made of
+    such draws exactly. Every task draws the first step over from the streams of (seed, fold), so parts agree without
+    meeting, and gives the sums of its part for every sample. The driver and the tasks share the parts' totals alone.
+    """
+    kinds = profile.withColumn("part", F.pmod(F.xxhash64("fold", "size", "sums"), F.lit(PARTS)).cast("int"))
+    totals = {}
+    for r in kinds.groupBy("fold", "part").agg(F.sum("n").alias("n")).collect():  # at most PARTS rows a fold
+        totals.setdefault(r["fold"], {})[r["part"]] = r["n"]
+    shared = {fold: (sorted(x), np.array([x[p] for p in sorted(x)], np.int64)) for fold, x in totals.items()}
+
+    def draw(key, frame):
+        fold, part = (int(x) for x in key)
+        parts, n = shared[fold]
+        own = np.random.default_rng([seed, fold + 1]).multinomial(int(n.sum()), n / n.sum(), size=samples)[:, parts.index(part)]
+        frame = frame.assign(k=[tuple(x) for x in frame["sums"]]).sort_values(["size", "k"])
+        sums, sizes, rows = np.array(frame["k"].tolist(), np.int64), frame["size"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
+        rng, step, out = np.random.default_rng([seed, fold + 1, part + 1]), max(1, 2_000_000 // len(rows)), []
+        for at in range(0, samples, step):
+            counts = rng.multinomial(own[at : at + step], rows / rows.sum())
+            out.append(np.column_stack([counts @ sizes, counts @ sums]))
+        return pd.DataFrame({"sample": np.arange(samples), "s": list(np.concatenate(out))})
+
+    drawn = kinds.groupBy("fold", "part").applyInPandas(draw, "sample long, s array<long>")
+    width = profile.select(F.size("sums")).first()[0]
+    summed = drawn.groupBy("sample").agg(*(F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width + 1)))
+    return summed.select("sample", F.array(*(F.col(f"s{i}") / F.col("s0") for i in range(1, width + 1))).alias("deltas"))
+
+
 def compare_out_of_fold(gold: DataFrame, runs: DataFrame, split: DataFrame, reference: str, candidates: list[str], excluded: DataFrame | None = None, samples: int = 10_000, confidence: float = 0.95, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """One row for each hypothesis over the union of all folds: cells, accuracies, exact p, Holm's step over the whole family, the interval.
 

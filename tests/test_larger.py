@@ -63,3 +63,20 @@ def test_sequences_become_text_side_by_side(spark):
     assert found.select("place").distinct().count() == 5
     with pytest.raises(Exception, match="out of order"):
         sequences.hashed(found.orderBy(F.desc("place")), [b""], lambda s, n, k: None, "x long").collect()
+
+
+def test_profiles_of_any_size_are_drawn_in_parts(spark, monkeypatch):
+    """More kinds of groups than one task may hold: intervals as from a single draw, shared by equal hypotheses, whatever the partitions."""
+    import numpy as np
+
+    from sievelight.operators import crossfold, evaluation
+
+    rows = [(i % 3, i % 8 + 1, [i % 9 - 4, i % 9 - 4, i % 7 - 2], i % 5 + 1) for i in range(504)]
+    profile = spark.createDataFrame(rows, "fold int, size long, sums array<long>, n long")
+    whole = np.array([r.deltas for r in crossfold.stratified_deltas(profile, 4_000, 1).collect()])
+    monkeypatch.setattr(evaluation, "MAX_PROFILE", 100)
+    monkeypatch.setattr(crossfold, "PARTS", 7)
+    one, two = (crossfold.stratified_deltas(profile.repartition(n), 4_000, 1).orderBy("sample").collect() for n in (1, 5))
+    parted = np.array([r.deltas for r in one])
+    assert one == two and parted.shape == (4_000, 3) and (parted[:, 0] == parted[:, 1]).all()
+    assert np.allclose(np.quantile(whole, (0.025, 0.5, 0.975), axis=0), np.quantile(parted, (0.025, 0.5, 0.975), axis=0), atol=0.012)
