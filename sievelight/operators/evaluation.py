@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sievelight.functions.text import is_canonical_integer
+from sievelight.session import spread
 
 
 def graded(gold: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -40,10 +41,19 @@ def paired(gold: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.select("id", is_correct(F.col("pa"), F.col("gold")).alias("a_ok"), is_correct(F.col("pb"), F.col("gold")).alias("b_ok"))
 
 
-def contingency(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counts of both, only_a, only_b and neither, with accuracies and their difference, for each value of ``by``."""
+def contingency(rows: DataFrame, by: list[str] | None = None, weight: str | None = None, **more: Column) -> DataFrame:
+    """Counts of both, only_a, only_b and neither, with accuracies and their difference, for each value of ``by``.
+
+    A row stands for as many as its column ``weight`` says; ``more`` names conditions whose rows are counted too.
+    """
     a, b = F.col("a_ok"), F.col("b_ok")
-    out = rows.groupBy(*(by or [])).agg(F.count("*").alias("total"), F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"))
+
+    def count(cond: Column | None = None) -> Column:
+        if weight is None:
+            return F.count("*") if cond is None else F.count_if(cond)
+        return F.coalesce(F.sum(weight if cond is None else F.when(cond, F.col(weight))), F.lit(0))
+
+    out = rows.groupBy(*(by or [])).agg(count().alias("total"), count(a & b).alias("both"), count(a & ~b).alias("only_a"), count(~a & b).alias("only_b"), count(~a & ~b).alias("neither"), *(count(c).alias(name) for name, c in more.items()))
     return out.withColumns({"accuracy_a": F.round((F.col("both") + F.col("only_a")) / F.col("total"), 9), "accuracy_b": F.round((F.col("both") + F.col("only_b")) / F.col("total"), 9), "delta": F.round((F.col("only_b") - F.col("only_a")) / F.col("total"), 9)})
 
 
@@ -168,19 +178,26 @@ def compare_family(gold: DataFrame, runs: DataFrame, reference: str, labels: lis
 
     ``candidate:x``: run x against the reference. ``fallback_on_invalid:x->y``: run x with y's prediction where x has none
     that can be read, against x alone; ``n_resolved`` counts the ids where y had one. An id repeated in a run raises.
-    """
-    per_id = runs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "prediction"))).alias("said"))  # one element for each run
-    rows = gold.select("id", "gold").join(per_id, "id", "left")
-
-    def read(label: str) -> Column:
-        return F.when(is_canonical_integer(F.col("said")[label]), F.col("said")[label])
 
-    def case(name: str, a: Column, b: Column, resolved: Column) -> Column:
-        return F.struct(F.lit(name).alias("hypothesis"), is_correct(a, F.col("gold")).alias("a_ok"), is_correct(b, F.col("gold")).alias("b_ok"), resolved.alias("resolved"))
-
-    cases = [case(f"candidate:{x}", read(reference), read(x), F.lit(False)) for x in labels if x != reference]
-    cases += [case(f"fallback_on_invalid:{x}->{y}", read(x), F.coalesce(read(x), read(y)), read(x).isNull() & read(y).isNotNull()) for x in labels for y in labels if x != y]
-    each = rows.select(F.explode(F.array(*cases)).alias("h")).select("h.*")
-    resolved = each.groupBy("hypothesis").agg(F.count_if("resolved").alias("n_resolved"))
-    tested = mcnemar(contingency(each, ["hypothesis"])).join(resolved, "hypothesis")
+    A hypothesis asks of a run only whether it can be read and whether it is right. Gold rows alike in that are counted
+    first, at most three kinds for each run, and the hypotheses are made from these kinds.
+    """
+    names = list(dict.fromkeys([reference, *labels]))
+    col = {x: f"__s{i}" for i, x in enumerate(names)}
+    read = spread(runs.select("id", "label", F.when(is_canonical_integer(F.col("prediction")), F.col("prediction")).alias("prediction")), "id")
+    own = {x: F.col("label") == x for x in names}
+    per_id = read.groupBy("id").agg(*(F.max(F.when(own[x], F.col("prediction"))).alias(c) for x, c in col.items()), F.greatest(*(F.count_if(own[x]) for x in names), F.lit(0), F.lit(0)).alias("__most"), F.count_if(F.col("label").isNull()).alias("__odd"))
+    once = F.when((F.col("__most") > 1) | (F.col("__odd") > 0), F.raise_error(F.lit("an id is repeated in a run, or a run has no label")).cast("boolean")).otherwise(True)
+    said = per_id.where(once).select("id", *col.values())
+    state = {c: F.when(F.col(c).isNull(), 0).when(F.col(c) == F.col("gold"), 2).otherwise(1).alias(c) for c in col.values()}  # unread, wrong, right
+    kinds = gold.select("id", "gold").join(said, "id", "left").select(*state.values()).groupBy(*col.values()).agg(F.count("*").alias("n"))
+
+    def case(name: str, a_ok: Column, b_ok: Column, resolved: Column) -> Column:
+        return F.struct(F.lit(name).alias("hypothesis"), a_ok.alias("a_ok"), b_ok.alias("b_ok"), resolved.alias("resolved"))
+
+    none, right = ({x: F.col(c) == k for x, c in col.items()} for k in (0, 2))
+    cases = [case(f"candidate:{x}", right[reference], right[x], F.lit(False)) for x in labels if x != reference]
+    cases += [case(f"fallback_on_invalid:{x}->{y}", right[x], right[x] | (none[x] & right[y]), none[x] & ~none[y]) for x in labels for y in labels if x != y]
+    each = kinds.select("n", F.explode(F.array(*cases)).alias("h")).select("n", "h.*")
+    tested = mcnemar(contingency(each, ["hypothesis"], "n", n_resolved=F.col("resolved")))
     return holm(tested.withColumn("family", F.lit("all")), ["family"]).drop("family")

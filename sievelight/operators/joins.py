@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievelight.functions.text import is_canonical_integer
 
 from sievelight.operators.ranking import meet
-from sievelight.session import settled
+from sievelight.session import settled, spread
 
 
 def exclude(records: DataFrame, excluded: DataFrame, id_col: str = "id") -> DataFrame:
@@ -97,7 +97,7 @@ def all_routes(runs: DataFrame) -> DataFrame:
 
 def pool(parts: list[DataFrame]) -> DataFrame:
     """The union of out-of-fold results; repeated (label, id) raise when the rows are read."""
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = spread(reduce(DataFrame.unionByName, parts), "label", "id")
     n = F.count("*").over(Window.partitionBy("label", "id"))
     return rows.withColumn("__n", n).select(*(F.when(F.col("__n") > 1, F.raise_error(F.lit("an id is in more than one fold of a run"))).otherwise(F.col(c)).alias(c) if c == "id" else F.col(c) for c in rows.columns))
 

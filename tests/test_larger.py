@@ -80,3 +80,26 @@ def test_profiles_of_any_size_are_drawn_in_parts(spark, monkeypatch):
     parted = np.array([r.deltas for r in one])
     assert one == two and parted.shape == (4_000, 3) and (parted[:, 0] == parted[:, 1]).all()
     assert np.allclose(np.quantile(whole, (0.025, 0.5, 0.975), axis=0), np.quantile(parted, (0.025, 0.5, 0.975), axis=0), atol=0.012)
+
+
+def test_families_are_counted_by_kind(spark):
+    """Gold rows, repeated ids among them, are counted by what the runs say before any hypothesis is made of them."""
+    from sievelight.operators import evaluation
+
+    gold = spark.range(400).select((F.col("id") % 390).cast("string").alias("id"), (F.col("id") % 7).cast("string").alias("gold"))
+    says = F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 11 == 0, "07").otherwise((F.col("id") % F.col("k")).cast("string"))
+    runs = spark.range(380).select("id", F.explode(F.array(*map(F.lit, (7, 6, 4)))).alias("k")).select(F.concat(F.lit("r"), F.col("k").cast("string")).alias("label"), F.col("id").cast("string").alias("id"), says.alias("prediction"))
+    out = evaluation.compare_family(gold, runs, "r7", ["r7", "r6", "r4"])
+    said = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in said and "Aggregate" in said[said.index("Generate") :].split("Join")[0]
+    right = {(r.label, r.id): r.prediction for r in runs.collect() if r.prediction is not None and (r.prediction == "0" or not r.prediction.startswith("0"))}
+    rows = [(r.id, r.gold) for r in gold.collect()]
+    ok = lambda x, i, g: right.get((x, i)) == g
+    for r in out.collect():
+        kind, _, names = r.hypothesis.partition(":")
+        a, b = ("r7", names) if kind == "candidate" else names.split("->")
+        pairs = [(ok(a, i, g), ok(b, i, g) if kind == "candidate" or (a, i) not in right else ok(a, i, g)) for i, g in rows]
+        asked = 0 if kind == "candidate" else sum((a, i) not in right and (b, i) in right for i, _ in rows)
+        assert (r.total, r.both, r.only_a, r.only_b, r.neither, r.n_resolved) == (400, pairs.count((True, True)), pairs.count((True, False)), pairs.count((False, True)), pairs.count((False, False)), asked)
+    with pytest.raises(Exception, match="repeated"):
+        evaluation.compare_family(gold, runs.unionByName(runs.where("id = '3' AND label = 'r4'")), "r7", ["r7", "r4"]).collect()
