@@ -83,8 +83,8 @@ def q_parse_mixed(spark, d):
         ("so we get\n**Final answer:** ", F.format_number(v, 0), ".00"), ("first \\boxed{\\frac{-", s, "}{6}}"), ("#### (", s, ")"), ("\\boxed{", s, "} or \\boxed{", q, "}"), ("Final answer: ", s, "/7"),
         ("Final answer: ", s, " and ", (v + 1).cast("string")), ("#### ", s, "e6"), ("answer is `$", s, "$`."), ("\\boxed{", s), ("there are ", q, " of them, or ", s, " / 1"),
     ]
-    made = F.array(*(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in t)) for t in texts))
-    rows = table(spark, d, "lineitem").select(f.alias("form"), F.element_at(made, f + 1).alias("t")).select("form", answers.parse_answer(F.col("t")).alias("p"))
+    made = F.coalesce(*(F.when(f == i, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in t))) for i, t in enumerate(texts)))  # only the one that a row asks for
+    rows = table(spark, d, "lineitem").select(f.alias("form"), made.alias("t")).select("form", answers.parse_answer(F.col("t")).alias("p"))
     return rows.groupBy("form", "p.status", "p.source", answers.reason_code(F.col("p.reason")).alias("reason_code")).agg(F.count("*").alias("n"), F.sum(F.col("p.value").cast("long")).alias("total"))
 
 

@@ -103,3 +103,23 @@ def test_families_are_counted_by_kind(spark):
         assert (r.total, r.both, r.only_a, r.only_b, r.neither, r.n_resolved) == (400, pairs.count((True, True)), pairs.count((True, False)), pairs.count((False, True)), pairs.count((False, False)), asked)
     with pytest.raises(Exception, match="repeated"):
         evaluation.compare_family(gold, runs.unionByName(runs.where("id = '3' AND label = 'r4'")), "r7", ["r7", "r4"]).collect()
+
+
+def test_markers_are_searched_where_their_signs_are(monkeypatch):
+    """Only classes whose signs occur in a text are searched; letters that fold to those of a label count as theirs."""
+    from sievelight.functions import answers
+
+    asked = []
+
+    class Heard:
+        def __init__(self, name, pattern):
+            self.name, self.pattern = name, pattern
+
+        def finditer(self, text):
+            asked.append(self.name)
+            return self.pattern.finditer(text)
+
+    monkeypatch.setattr(answers, "_MARKERS", {k: Heard(k, p) for k, p in answers._MARKERS.items()})
+    for text, value, searched in (("#### (12)", "12", ["hashes"]), ("a \\boxed{\\frac{-18}{6}}", "-3", ["boxed"]), ("of them, or 7 / 1", "7", []), ("Anſwer: 5", "5", ["final_answer", "answer"]), ("Fınal anſwer is 4.", "4", ["final_answer"])):
+        asked.clear()
+        assert (answers.parse_text(text)[1], asked) == (value, searched)
