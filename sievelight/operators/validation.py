@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import text as T
 from sievelight.functions.answers import parse_answer
+from sievelight.session import settled, spread
 
 # ---- fixed values: contracts of rows and targets -----------------------------------------------------------
 SHA256_HEX = r"^[0-9a-f]{64}\z"
@@ -102,17 +103,17 @@ def _placed(rows: DataFrame) -> DataFrame:
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each 65,536
     base = rows.groupBy("__b").agg(F.count_if("usable").alias("__c")).select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("__b").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("__n", F.coalesce(F.sum(F.col("usable").cast("long")).over(inside), F.lit(0)))
+    numbered = spread(rows, "__b").withColumn("__n", F.coalesce(F.sum(F.col("usable").cast("long")).over(inside), F.lit(0)))
     return numbered.join(base, "__b").where("usable").withColumn("place", F.col("__base") + F.col("__n"))
 
 
 def _submitted(rows: DataFrame, expected: DataFrame) -> DataFrame:
     """Issues of (ord, id, answer, faults of the row, usable: it has an id)."""
     number = (F.col("ord") + 2).cast("long")
+    odd_answer = F.when(F.col("usable") & ~T.is_canonical_integer(F.col("answer")), F.array(F.lit("noncanonical_answer"))).otherwise(F.array().cast("array<string>"))
+    rows = settled(rows.select("ord", "id", F.concat("faults", odd_answer).alias("faults"), "usable"))  # lines are read once, for five uses
     out = rows.select("id", F.explode("faults").alias("code"), number.alias("row_number"))
-    named = rows.where("usable")
-    out = out.unionByName(named.where(~T.is_canonical_integer(F.col("answer"))).select("id", F.lit("noncanonical_answer").alias("code"), number.alias("row_number")))
-    seen = _placed(rows).groupBy("id").agg(F.count("*").alias("n"), F.min("place").alias("at"))
+    seen = spread(_placed(rows).select("id", "place"), "id").groupBy("id").agg(F.count("*").alias("n"), F.min("place").alias("at"))
     sets = expected.select("id", F.col("ord").alias("want")).join(seen, "id", "full_outer")
     codes = F.array_compact(F.array(F.when(F.col("n") > 1, "duplicate_ids"), F.when(F.col("n").isNull(), "missing_ids"), F.when(F.col("want").isNull(), "extra_ids")))
     odd = sets.select("id", F.explode(codes).alias("code"), F.lit(None).cast("long").alias("row_number"))

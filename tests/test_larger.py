@@ -123,3 +123,12 @@ def test_markers_are_searched_where_their_signs_are(monkeypatch):
     for text, value, searched in (("#### (12)", "12", ["hashes"]), ("a \\boxed{\\frac{-18}{6}}", "-3", ["boxed"]), ("of them, or 7 / 1", "7", []), ("Anſwer: 5", "5", ["final_answer", "answer"]), ("Fınal anſwer is 4.", "4", ["final_answer"])):
         asked.clear()
         assert (answers.parse_text(text)[1], asked) == (value, searched)
+
+
+def test_lines_of_a_submission_are_parsed_once(spark):
+    from sievelight.operators import validation
+
+    lines = spark.range(5).select(F.col("id").alias("ord"), F.concat(F.lit('{"id":"p'), F.col("id").cast("string"), F.lit('","answer":1}')).alias("raw"))
+    found = validation.submission_line_issues(lines, spark.range(4).select(F.col("id").alias("ord"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("id")))
+    assert "parse_json" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted((r.id or "", r.code) for r in found.collect()) == [("", "row_count"), ("p4", "extra_ids")]
