@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sievelight.functions.text import is_canonical_integer
 from sievelight.operators import evaluation
 from sievelight.operators.joins import exclude
-from sievelight.session import settled
+from sievelight.session import settled, spread
 
 
 def eligible(split: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -30,11 +30,18 @@ def coverage_issues(runs: DataFrame, wanted: DataFrame, labels: list[str]) -> Da
     Rows of undeclared labels are ``undeclared_label``, whatever their ids.
     """
     declared = F.col("label").isin(*labels)
-    have = runs.where(declared).groupBy("label", "id").agg(F.count("*").alias("n"), F.min("fold").alias("lo"), F.max("fold").alias("hi"))
-    want = wanted.select("id", "fold", F.explode(F.array(*map(F.lit, labels))).alias("label"))
+    none = F.lit(None).cast("int")
+    rows = spread(runs.select("id", "label", F.col("fold").cast("long").alias("fold")), "id")
+    of = {x: F.col("label") == x for x in labels}
+    # One row for each id, with what every label holds of it: labels share the grouping and the join.
+    held = F.array(*(F.struct(F.lit(x).alias("label"), F.count_if(c).alias("n"), F.min(F.when(c, F.col("fold"))).alias("lo"), F.max(F.when(c, F.col("fold"))).alias("hi")) for x, c in of.items()))
+    have = rows.where(declared).groupBy("id").agg(held.alias("held"))
+    nothing = F.array(*(F.struct(F.lit(x).alias("label"), F.lit(0).cast("long").alias("n"), none.cast("long").alias("lo"), none.cast("long").alias("hi")) for x in labels))
+    met = wanted.select("id", "fold", F.lit(True).alias("wanted")).join(have, "id", "full_outer").select("id", "fold", "wanted", F.explode(F.coalesce("held", nothing)).alias("h")).select("id", "fold", "wanted", "h.*")
     off = ~(F.col("lo").eqNullSafe(F.col("fold")) & F.col("hi").eqNullSafe(F.col("fold")))
-    codes = F.array_compact(F.array(F.when(F.col("n").isNull(), "missing"), F.when(F.col("fold").isNull(), "extra"), F.when(F.col("n") > 1, "duplicate"), F.when(F.col("n").isNotNull() & F.col("fold").isNotNull() & off, "wrong_fold")))
-    out = want.join(have, ["label", "id"], "full_outer").select("label", "id", F.explode(codes).alias("code"))
+    got = F.col("n") > 0
+    codes = F.array_compact(F.array(F.when(~got & F.col("wanted"), "missing"), F.when(got & F.col("fold").isNull(), "extra"), F.when(F.col("n") > 1, "duplicate"), F.when(got & F.col("fold").isNotNull() & off, "wrong_fold")))
+    out = met.select("label", "id", F.explode(codes).alias("code"))
     return out.unionByName(runs.where(~F.coalesce(declared, F.lit(False))).select("label", "id", F.lit("undeclared_label").alias("code")))
 
 

@@ -132,3 +132,14 @@ def test_lines_of_a_submission_are_parsed_once(spark):
     found = validation.submission_line_issues(lines, spark.range(4).select(F.col("id").alias("ord"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("id")))
     assert "parse_json" not in found._jdf.queryExecution().executedPlan().toString().lower()
     assert sorted((r.id or "", r.code) for r in found.collect()) == [("", "row_count"), ("p4", "extra_ids")]
+
+
+def test_coverage_groups_ids_and_not_labels(spark, sf):
+    """The runs are read for declared and for other labels, and all labels of an id share one group."""
+    from sievelight.operators import crossfold
+
+    assert QUERIES["q_oof_coverage"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 12
+    runs = spark.createDataFrame([("a", 0, "1"), ("a", 0, "1"), ("a", 1, "2"), ("b", None, "1"), ("b", 0, "9"), ("c", 0, "1"), (None, 0, "1"), ("a", 0, None)], "label string, fold int, id string")
+    wanted = spark.createDataFrame([("1", 0), ("2", 0), ("3", 1)], "id string, fold int")
+    got = sorted((r.label or "", r.id or "", r.code) for r in crossfold.coverage_issues(runs, wanted, ["a", "b"]).collect())
+    assert got == [("", "1", "undeclared_label"), ("a", "", "extra"), ("a", "1", "duplicate"), ("a", "2", "wrong_fold"), ("a", "3", "missing"), ("b", "1", "wrong_fold"), ("b", "2", "missing"), ("b", "3", "missing"), ("b", "9", "extra"), ("c", "1", "undeclared_label")]
