@@ -161,8 +161,10 @@ class Coder:
         """(flat ids, their number for each text) as the library gives them."""
         flat, size = [], []
         if self.fast is not None:
+            whole = b"\0".join(texts)
+            special = [x for x in self.special if x in whole]  # mostly none, so that pieces aren't searched one by one
             for t in texts:
-                if any(x in t for x in self.special):
+                if special and any(x in t for x in special):
                     own = self.tok.encode(t.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
                 else:
                     own = self.fast.encode_ordinary(t.decode("utf-8", "surrogatepass"))

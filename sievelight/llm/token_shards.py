@@ -116,7 +116,7 @@ def write(documents: DataFrame, folder: str | None = None, path: str | None = No
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 keys = np.array([k for k, _, _ in held], "<i8")
-                row = (state["shard"], state["block"], int(keys[0]), len(held), sum(len(x) for _, _, x in held), keys.tobytes(), np.array([o for _, o, _ in held], "<i4").tobytes(), np.array([len(x) for _, _, x in held], "<u4").tobytes(), width, b"".join(x.astype(f"<u{width}").tobytes() for _, _, x in held))
+                row = (state["shard"], state["block"], int(keys[0]), len(held), sum(len(x) + 1 for _, _, x in held), keys.tobytes(), np.array([o for _, o, _ in held], "<i4").tobytes(), np.array([len(x) + 1 for _, _, x in held], "<u4").tobytes(), width, np.concatenate([y for _, _, x in held for y in (x, end)]).astype(f"<u{width}").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
                 held.clear()
                 state.update(block=state["block"] + 1, bytes=0)
@@ -131,7 +131,7 @@ def write(documents: DataFrame, folder: str | None = None, path: str | None = No
                 key = _NULL if ids_[i] is None else ids_[i]
                 state["seen"] = state["seen"] + 1 if key == state["last"] else 0
                 state["last"] = key
-                held.append((key, state["seen"], np.concatenate((ids, end))))
+                held.append((key, state["seen"], ids))
                 state["bytes"] += (len(ids) + 1) * width
                 if state["bytes"] >= BLOCK_BYTES:
                     yield from flush()

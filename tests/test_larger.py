@@ -143,3 +143,20 @@ def test_coverage_groups_ids_and_not_labels(spark, sf):
     wanted = spark.createDataFrame([("1", 0), ("2", 0), ("3", 1)], "id string, fold int")
     got = sorted((r.label or "", r.id or "", r.code) for r in crossfold.coverage_issues(runs, wanted, ["a", "b"]).collect())
     assert got == [("", "1", "undeclared_label"), ("a", "", "extra"), ("a", "1", "duplicate"), ("a", "2", "wrong_fold"), ("a", "3", "missing"), ("b", "1", "wrong_fold"), ("b", "2", "missing"), ("b", "3", "missing"), ("b", "9", "extra"), ("c", "1", "undeclared_label")]
+
+
+def test_pieces_are_not_searched_one_by_one():
+    """Special tokens are looked for in all pieces at once; where one occurs, its piece goes to the library."""
+    from sievelight.llm import bpe
+
+    class Counted(list):
+        times = 0
+
+        def __iter__(self):
+            Counted.times += 1
+            return super().__iter__()
+
+    coder = bpe.Coder(bpe.default_path())
+    coder.special = Counted(coder.special)
+    coder._library([b" word%d" % i for i in range(50)])
+    assert Counted.times <= 1
