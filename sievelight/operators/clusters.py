@@ -7,6 +7,8 @@ a star and never a clique; hubs are only aggregated, and joined where their rows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,34 +40,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components: not settled after {max_rounds} rounds")
 
 
-def label_edges(labels: DataFrame) -> DataFrame:
-    """Edges (a, b) of a table (id, label): every member with the least of its label.
-
-    Labels are settled first: they can be long chains of expressions, which the tests for null would compute over again.
-    """
-    labels = settled(labels.select("id", "label"))
-    least = labels.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("b"))
-    return meet(labels, least, "label").where("id <> b").select(F.col("id").alias("a"), "b")
+def _links(pairs: DataFrame | None, labels: DataFrame | None) -> DataFrame:
+    """(id, least): the least member of each label that an id shares with others and of each pair that it is in."""
+    parts = []
+    if labels is not None:
+        labels = settled(labels.select("id", "label").where("id IS NOT NULL AND label IS NOT NULL"))  # labels can be long chains of expressions
+        least = labels.groupBy("label").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("label", "least")
+        parts.append(meet(labels, least, "label").select("id", "least"))
+    if pairs is not None:
+        least = F.least("a", "b")
+        parts += [pairs.where("a <> b").select(F.col(side).alias("id"), least.alias("least")) for side in ("a", "b")]
+    return settled(parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts))
 
 
 def build_clusters(ids: DataFrame, pairs: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """(id, group_id) of every id; ``pairs`` (a, b) and equal ``labels`` (id, label) join records, transitively.
 
     The group is named after its least member. Pairs with an id that isn't in ``ids`` raise.
+
+    Only the least members of labels and pairs are nodes of the graph, and an id in several joins theirs: where most
+    ids share one label, the rounds go over the few that tie labels together, not over the table.
     """
-    edges = None
     if pairs is not None:
         named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
         stray = named.join(ids, "id", "left_anti").select("id").limit(1).collect()
         if stray:
             raise ValueError(f"a pair names an unknown id: {stray[0][0]!r}")
-        edges = pairs.select("a", "b")
-    if labels is not None:
-        more = label_edges(labels)
-        edges = more if edges is None else edges.unionByName(more)
-    if edges is None:
+    elif labels is None:
         return ids.select("id", F.col("id").alias("group_id"))
-    found = components(edges)
+    links = _links(pairs, labels)
+    first = settled(links.groupBy("id").agg(F.min("least").alias("first"), F.max("least").alias("last")))
+    several = first.where("first <> last").select("id", "first")
+    roots = components(meet(links, several, "id").where("least <> first").select(F.col("least").alias("a"), F.col("first").alias("b")))
+    found = first.select("id", "first").join(roots, F.col("first") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("root", "first").alias("root"))
     return ids.join(found, ids["id"] == found["node"], "left").select("id", F.coalesce("root", "id").alias("group_id"))
 
 

@@ -160,3 +160,88 @@ def test_pieces_are_not_searched_one_by_one():
     coder.special = Counted(coder.special)
     coder._library([b" word%d" % i for i in range(50)])
     assert Counted.times <= 1
+
+
+def test_only_ties_between_labels_are_walked(spark, monkeypatch):
+    """The rounds get an edge for each id that ties labels together, not one for each member of a label."""
+    from sievelight.operators import clusters
+
+    seen = []
+    monkeypatch.setattr(clusters, "components", lambda edges, found=clusters.components: (seen.append(edges.count()), found(edges))[1])
+    ids = spark.range(2_000).selectExpr("lpad(cast(id as string), 4, '0') AS id")
+    n = F.col("id").cast("int")
+    labels = ids.select("id", F.explode(F.array(F.concat(F.lit("own"), "id"), F.when(n < 1_990, F.concat(F.lit("k"), (n % 2).cast("string"))), F.when(n.isin(7, 1_000), F.lit("tie")))).alias("label"))
+    got = {r.id: r.group_id for r in clusters.build_clusters(ids, labels=labels).collect()}
+    assert got == {f"{i:04}": "0000" if i < 1_990 else f"{i:04}" for i in range(2_000)} and seen == [2]
+
+
+def test_clusters_of_labels_and_pairs_are_those_of_a_union(spark):
+    """Random labels (several an id, null, repeated) and pairs, against joining one by one."""
+    import random
+
+    from sievelight.operators import clusters
+
+    rnd = random.Random(3)
+    for n, n_labels, n_pairs in ((300, 90, 40), (300, 400, 0), (200, 0, 150), (40, 4, 3)):
+        ids = [f"{i:03}" for i in range(n)]
+        labels = [(rnd.choice(ids), rnd.choice([None, *map(str, range(n_labels))])) for _ in range(n)] * 2 if n_labels else None
+        pairs = [(rnd.choice(ids), rnd.choice(ids)) for _ in range(n_pairs)] if n_pairs else None
+        top = {i: i for i in ids}
+
+        def find(i, top=top):
+            while top[i] != i:
+                i = top[i]
+            return i
+
+        members: dict[str, list[str]] = {}
+        for i, k in labels or []:
+            if k is not None:
+                members.setdefault(k, []).append(i)
+        for a, b in [*(pairs or []), *((x, m[0]) for m in members.values() for x in m)]:
+            lo, hi = sorted((find(a), find(b)))
+            top[hi] = lo
+        frame = lambda rows, kind: None if rows is None else spark.createDataFrame(rows, kind)
+        got = clusters.build_clusters(frame([(i,) for i in ids], "id string"), frame(pairs, "a string, b string"), frame(labels, "id string, label string"))
+        assert {r.id: r.group_id for r in got.collect()} == {i: find(i) for i in ids}
+
+
+def test_pair_clusters_of_rows_without_source_or_text(spark, tmp_path):
+    """A null source or length makes a null label, as in SQL, and joins nothing."""
+    rows = [(1, "x", "en", None, 5), (2, "y", "en", None, 5), (3, "z", "en", "a", 5), (4, None, "en", "a", 5), (5, "X", "en", "b", None), (6, "y ", "en", "c", None), (7, "w", "en", "c", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").toPandas().astype({"n_chars": "Int64"}).to_parquet(f"{tmp_path}/documents.parquet", index=False)
+    assert compare(spark, connect(str(tmp_path)), "q_pair_clusters", QUERIES["q_pair_clusters"], ORACLE_SQL["q_pair_clusters"], str(tmp_path)) == ""
+
+
+def test_text_views_keep_steps_from_texts_that_lack_their_signs(spark):
+    """The gated chain against the plain one on odd texts; no step is written out for each test that leads to it."""
+    import random
+
+    from sievelight.functions import text as T
+
+    def plain(c):
+        x = F.replace(F.regexp_replace(c, r"\r\n?", "\n"), F.lit(" "), F.lit(" "))
+        x = T._nfkc_folded(x)
+        x = F.replace(F.translate(x, T.DASHES + T.DIVIDE, "---/"), F.lit(T.TIMES), F.lit(r"\times"))
+        x = F.regexp_replace(F.regexp_replace(x, T.FRACTIONS, r"\\frac"), T.SIZING, "")
+        for mark in T.DELIMITERS:
+            x = F.replace(x, F.lit(mark), F.lit(""))
+        x = F.regexp_replace(F.regexp_replace(x, "(?U)" + T.SPACING, ""), rf"(?U) *[\s\x1c-\x1f&&[^ ]]{T.WS}*| {{2,}}", " ")
+        return F.regexp_replace(T.strip(x), f"(?<={T.EDGES}) | (?={T.EDGES})", "")
+
+    def plain_source(x):
+        x = F.regexp_replace(x, "(?iU)" + T.EXERCISE_NUMBER, "")
+        x = F.when(x.endswith("#"), F.regexp_replace(x, rf"(?U){T.WS}*#{T.WS}*\z", "")).otherwise(x)
+        for mark in "?.!":
+            x = F.replace(x, F.lit(f" {mark}"), F.lit(mark))
+        return T.strip(x)
+
+    bits = [*T.SPACES, *T.DELIMITERS, *T.DASHES, T.TIMES, T.DIVIDE, "\\", "\\,", "\\quad", "\\left", "\\dfrac", "＄", "＼", "\r\n", "#", " ?", " .", "!", "1. ", "٣) ", "Find", "(", "]", "ß", "É", "ﬁ", "a", "bc", *[" "] * 9, *["xy"] * 9]
+    rnd = random.Random(1)
+    texts = spark.createDataFrame([("".join(rnd.choices(bits, k=rnd.choice((1, 2, 4, 9, 20)))),) for _ in range(4_000)] + [("",), (None,)], "c string").repartition(8)
+    new = texts.select("c", T.canonical_text(F.col("c")).alias("x"))
+    new = new.select("c", "x", T.source_format_text(F.col("c"), F.col("x")).alias("s")).localCheckpoint()
+    old = texts.select("c", plain(F.col("c")).alias("x")).localCheckpoint()
+    old = old.select("c", "x", plain_source(F.col("x")).alias("s"))
+    assert new.exceptAll(old).count() == 0 and new.count() == old.count()
+    said = texts.select(T.canonical_text(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("translate(") < 6
