@@ -261,12 +261,13 @@ def leaks(report: DataFrame, forbidden: tuple[str, ...] = ("id", "answer", "ques
 LEAST_VALUE = 6
 
 
-def redaction_issues(report: DataFrame, secrets: DataFrame) -> DataFrame:
+def redaction_issues(report: DataFrame, secrets: DataFrame, first_place: bool = False) -> DataFrame:
     """(kind, column, n_values, n_cells) where cells of an aggregate report hold values of ``secrets`` (kind, value): ids, answers, texts.
 
     A value counts where it stands in a cell of any type (nested ones as JSON) and isn't part of a longer word or number;
     the result tells how many, never which. Values meet the places of the report by their first LEAST_VALUE characters,
     so neither side is gathered or broadcast, and texts are compared whole. Nulls and shorter values are left out.
+    With ``first_place`` only the first place of a value in a cell decides, as where SQL's strpos finds it; by default any place does.
     """
     as_text = lambda f: F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("struct", "array", "map") else F.col(f"`{f.name}`").cast("string")
     cells = report.select(F.explode(F.array(*(F.struct(F.lit(f.name).alias("column"), as_text(f).alias("cell")) for f in report.schema))).alias("c")).select("c.*").where(F.length("cell") >= LEAST_VALUE)
@@ -278,7 +279,10 @@ def redaction_issues(report: DataFrame, secrets: DataFrame) -> DataFrame:
     word = lambda c: F.coalesce(c.rlike(r"^[\p{L}\p{N}]"), F.lit(False))
     before, after = F.when(F.col("at") > 1, F.substring("cell", F.col("at") - 1, F.lit(1))), F.substring("cell", F.col("at") + size, F.lit(1))
     whole = ~(word(F.col("value")) & word(before)) & ~(word(F.right("value", F.lit(1))) & word(after))
-    met = places.join(values, "start").where((F.substring("cell", F.col("at"), size) == F.col("value")) & whole)
+    met = places.join(values, "start").where(F.substring("cell", F.col("at"), size) == F.col("value")).select("kind", "column", "value", "cell_id", "at", whole.alias("whole"))
+    if first_place:
+        met = met.groupBy("kind", "column", "value", "cell_id").agg(F.min_by("whole", "at").alias("whole"))
+    met = met.where("whole")
     return met.groupBy("kind", "column").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("cell_id").alias("n_cells"))
 
 

@@ -245,3 +245,16 @@ def test_text_views_keep_steps_from_texts_that_lack_their_signs(spark):
     assert new.exceptAll(old).count() == 0 and new.count() == old.count()
     said = texts.select(T.canonical_text(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
     assert said.count("translate(") < 6
+
+
+def test_redaction_goes_by_the_first_place_of_a_value(spark, tmp_path):
+    """Values that stand in a word before they stand alone, and a question that is a source's name."""
+    from sievelight.operators import validation
+
+    texts = ["zz the cats saw the cat", "zz the dog saw the dogs", "zz thenow and now, now", "the cat", "the dog", "now, now", "source", "src1", None, "zz"]
+    rows = [(i, t, "en", s, 5) for i, (t, s) in enumerate(zip(texts, ["abc1", "abc2", "abc3", *["source"] * 4, "abc45", "abc45", "abc4"]))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").toPandas().to_parquet(f"{tmp_path}/documents.parquet", index=False)
+    assert compare(spark, connect(str(tmp_path)), "q_redaction", QUERIES["q_redaction"], ORACLE_SQL["q_redaction"], str(tmp_path)) == ""
+    report, secrets = spark.createDataFrame([(texts[0],), (texts[1],)], "note string"), spark.createDataFrame([("q", "the cat"), ("q", "the dog")], "kind string, value string")
+    assert [tuple(r) for r in validation.redaction_issues(report, secrets).collect()] == [("q", "note", 2, 2)]
+    assert [tuple(r) for r in validation.redaction_issues(report, secrets, first_place=True).collect()] == [("q", "note", 1, 1)]
