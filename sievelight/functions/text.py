@@ -135,6 +135,16 @@ def masked_template_text(c: Column, canonical: Column | None = None) -> Column:
     return F.when(x.rlike("[0-9]"), F.regexp_replace(x, NUMBER, "$1<num>")).otherwise(x)
 
 
+def packed_hex(c: Column) -> Column:
+    """Lower-case hex digits as bytes, half as many to move and to settle; any other text as it is. ``unpacked_hex`` turns it back."""
+    is_hex = c.rlike(r"^(?:[0-9a-f]{2})+\z")
+    return F.struct(F.when(is_hex, F.unhex(c)).alias("bytes"), F.when(~is_hex, c).alias("text"))
+
+
+def unpacked_hex(c: Column) -> Column:
+    return F.coalesce(F.lower(F.hex(c["bytes"])), c["text"])
+
+
 def sha256(c: Column) -> Column:
     return F.sha2(c.cast("string").cast("binary"), 256)
 

@@ -51,14 +51,19 @@ def chunks(ids: DataFrame, size: int, id_col: str = "id", digest: str | None = N
 
 
 def in_order(df: DataFrame, key: str, name: str = "rn") -> DataFrame:
-    """``df`` with its row numbers by ``key``: a range exchange, the count of each partition, and numbers within them."""
+    """``df`` with its row numbers by ``key``: a range exchange, the count of each partition, and places within them.
+
+    Rows are sorted and get their places before they are settled, so they aren't moved again to be numbered: they stay in
+    their range partitions, in order.
+    """
     from sievelight.session import settled
 
-    parts = settled(df.repartitionByRange(key).withColumn("__p", F.spark_partition_id()))
+    place = F.monotonically_increasing_id()  # the partition, and below it 33 bits for the place in it
+    parts = settled(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__m", place)).withColumn("__p", F.shiftright("__m", 33))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
     base = parts.groupBy("__p").agg(F.count("*").alias("__c")).select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(key))
-    return parts.withColumn("__n", own).join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + F.col("__n")).select(*df.columns, name)
+    number = F.col("__base") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return parts.join(F.broadcast(base), "__p").withColumn(name, number).select(*df.columns, name)
 
 
 def hash_sample(ids: DataFrame, k: int, namespace: str, plan: str, id_col: str = "id") -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from sievelight.functions import text as T
+from sievelight.session import settled
+
 # ---- fixed values ----------------------------------------------------------------------------------------------
 MAX_LINE_BYTES = 16 << 20
 TRAIN_ID = r"^train-[0-9]{6}\z"
@@ -24,6 +28,8 @@ RATIONALE = """schema_version string, problem_id string, question_sha256 string,
 # ---- end of fixed values ---------------------------------------------------------------------------------------
 #: Numbers beyond six digits, as tables of more than a million problems have them.
 LONG_TRAIN_ID = r"^train-(?:[0-9]{6}|[1-9][0-9]{6,})\z"
+#: Names of files that Spark's readers decompress.
+PACKED = r"(?i)\.(?:gz|bz2|deflate|lz4|snappy|zst)$"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -48,11 +54,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
 def unterminated(spark: SparkSession, path: str) -> DataFrame:
     """(path) of the files whose last line lacks its LF: their lines, with an LF for each, make more bytes than the file has.
 
-    Lines are counted where the splits of the files are read, so files of any size will do.
+    Lines are counted where the splits of the files are read, so files of any size will do. The size of a compressed file
+    doesn't tell how many bytes it holds. Its lines are read once more, up to each brace and LF: what isn't closed so gets
+    two bytes too many, so only a file without its last LF gets one more than by LF alone.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-    sums = lines.groupBy("path", "size").agg(F.sum(F.octet_length("value") + 1).alias("n"))
-    return sums.where("n > size").select("path")
+
+    def counted(end: str) -> DataFrame:
+        lines = spark.read.option("lineSep", end).text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+        return lines.withColumn("packed", F.col("path").rlike(PACKED)).withColumn("bytes", F.octet_length("value") + len(end))
+
+    found = counted("\n").where("NOT packed").groupBy("path", "size").agg(F.sum("bytes").alias("n")).where("n > size").select("path")
+    if not any(re.search(PACKED, f) for f in spark.read.text(path).inputFiles()):
+        return found
+    both = counted("\n").where("packed").select("path", F.col("bytes").alias("n")).unionByName(counted("}\n").where("packed").select("path", (-F.col("bytes")).alias("n")))
+    return found.unionByName(both.groupBy("path").agg(F.sum("n").alias("n")).where("n = -1").select("path"))
 
 
 @F.arrow_udf(StringType())
@@ -110,13 +125,19 @@ def read_strict(spark: SparkSession, path: str, schema: StructType | str) -> Dat
     return rows.withColumn("problem", F.when(early, F.col("problem")).otherwise(F.coalesce(whole, "problem", F.when(odd, "key_set"))))
 
 
+def _in_order_of(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    return rows.join(expected.select("ord", "problem_id"), "problem_id").repartitionByRange("ord").sortWithinPartitions("ord")
+
+
 def _loaded(rows: DataFrame, expected: DataFrame, own: Column, id_form: str) -> tuple[DataFrame, DataFrame]:
-    """(rows in the order of ``expected`` (ord, problem_id), issues (id, code)) of lines that were read strictly."""
+    """(rows in the order of ``expected`` (ord, problem_id), issues (id, code)) of lines that were read strictly.
+
+    What is told of a line, its id and its problem, is settled: all issues come from one strict reading.
+    """
     rows = rows.withColumn("problem", F.coalesce("problem", own))
-    sound = rows.where("problem IS NULL").select("row.*")
-    issues = rows.where("problem IS NOT NULL").select(F.get_json_object("raw", "$.problem_id").alias("id"), F.col("problem").alias("code"))
-    issues = issues.unionByName(coverage_issues(sound, expected, id_form=id_form))
-    return sound.join(expected.select("ord", "problem_id"), "problem_id").repartitionByRange("ord").sortWithinPartitions("ord"), issues
+    told = settled(rows.select(F.when(F.col("problem").isNull(), F.col("row.problem_id")).otherwise(F.get_json_object("raw", "$.problem_id")).alias("id"), F.col("problem").alias("code")))
+    issues = told.where("code IS NOT NULL").unionByName(coverage_issues(told.where("code IS NULL").select(F.col("id").alias("problem_id")), expected, id_form=id_form))
+    return _in_order_of(rows.where("problem IS NULL").select("row.*"), expected), issues
 
 
 def load_run(spark: SparkSession, path: str, expected: DataFrame, id_form: str = TRAIN_ID) -> tuple[DataFrame, DataFrame]:
@@ -137,6 +158,13 @@ def load_rationales(spark: SparkSession, path: str, expected: DataFrame, id_form
     return rows, issues.unionByName(unterminated(spark, path).select(F.col("path").alias("id"), F.lit("final_lf").alias("code")))
 
 
+def sound_rationales(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """The rows of ``load_rationales`` where its issues were found to be none: the lines aren't read strictly again, and digests move as bytes."""
+    digests = ("question_sha256", "target_sha256")
+    rows = read_jsonl(spark, path, RATIONALE).select("row.*").withColumns({c: T.packed_hex(F.col(c)) for c in digests})
+    return _in_order_of(rows, expected).withColumns({c: T.unpacked_hex(F.col(c)) for c in digests})
+
+
 def coverage_issues(rows: DataFrame, expected: DataFrame, id_col: str = "problem_id", id_form: str = TRAIN_ID) -> DataFrame:
     """(id, code): ids that repeat, aren't expected, are missing or aren't of the form of a training id."""
     from sievelight.operators.joins import universe_issues

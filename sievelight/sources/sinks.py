@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sievelight.functions import text as T
 from sievelight.operators import validation
 from sievelight.operators.ledger import in_order
-from sievelight.session import discard
+from sievelight.session import discard, release
 from sievelight.sources import jsonl
 
 MANIFEST = "_MANIFEST.json"
@@ -160,8 +161,17 @@ def source_bank(plan: DataFrame, accepted: DataFrame) -> DataFrame:
     agent_message_sha256. A row's sample_index is its position in the plan, numbered within range partitions. A planned
     problem without exactly one accepted answer raises when the rows are read.
     """
+    return _bank_rows(_planned(plan, accepted))
+
+
+def _planned(plan: DataFrame, accepted: DataFrame) -> DataFrame:
+    """What the plan has and what was accepted for it, settled in plan order: (ord, problem_id, question_sha256 packed, n, a, rn)."""
     one = accepted.groupBy("problem_id").agg(F.count("*").alias("n"), F.first(F.struct(*(c for c in accepted.columns if c != "problem_id"))).alias("a"))
-    rows = in_order(plan.select("ord", "problem_id", "question_sha256"), "ord").join(one, "problem_id", "left")
+    rows = plan.select("ord", "problem_id", T.packed_hex(F.col("question_sha256")).alias("question_sha256"))
+    return in_order(rows.join(one, "problem_id", "left"), "ord")
+
+
+def _bank_rows(rows: DataFrame) -> DataFrame:
     position = F.when(F.coalesce(F.col("n"), F.lit(0)) != 1, F.raise_error(F.concat(F.lit("not exactly one accepted answer: "), "problem_id"))).otherwise(F.col("rn") - 1)
     no, a = F.lit(False), (lambda c: F.col(f"a.{c}"))
     teacher = F.struct(
@@ -169,7 +179,7 @@ def source_bank(plan: DataFrame, accepted: DataFrame) -> DataFrame:
         position.alias("sample_index"), a("agent_message_sha256").alias("raw_generation_sha256"), no.alias("reference_answer_in_prompt"), F.lit("training_only").alias("network_scope"),
     )
     verification = F.struct(F.lit("accepted").alias("status"), F.lit("reference_answer_exact_match").alias("method"), no.alias("leaderboard_or_test_used"), no.alias("locked_holdout_accessed"), no.alias("tool_used"))
-    return rows.select("ord", F.lit(SOURCE_ROW).alias("schema_version"), "problem_id", "question_sha256", a("target_text").alias("target_text"), F.sha2(a("target_text"), 256).alias("target_sha256"), teacher.alias("teacher"), verification.alias("verification"))
+    return rows.select("ord", F.lit(SOURCE_ROW).alias("schema_version"), "problem_id", T.unpacked_hex(F.col("question_sha256")).alias("question_sha256"), a("target_text").alias("target_text"), F.sha2(a("target_text"), 256).alias("target_sha256"), teacher.alias("teacher"), verification.alias("verification"))
 
 
 def _sorted_json(df: DataFrame) -> Column:
@@ -184,17 +194,21 @@ def _sorted_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*(tidy(F.col(f.name), f.dataType).alias(f.name) for f in fields)), {"ignoreNullFields": "false"})
 
 
-def write_source_bank(plan: DataFrame, accepted: DataFrame, path: str, note: dict | None = None) -> dict:
-    """Publishes the bank as JSON lines in parts whose name order is the plan's, together with its manifest or not at all."""
+def write_source_bank(plan: DataFrame, accepted: DataFrame, path: str, note: dict | None = None, compression: str = "none") -> dict:
+    """Publishes the bank as JSON lines in parts whose name order is the plan's, together with its manifest or not at all.
+
+    ``compression`` is that of the parts, as Spark's text writer names it. The rows are settled in their order, so that they
+    are written where they are, after the exchanges that brought them there are gone.
+    """
     spark = plan.sparkSession
     rows = source_bank(plan, accepted)
-    parts = rows.repartitionByRange("ord").sortWithinPartitions("ord")
-    lines = parts.select(_sorted_json(rows.drop("ord")).alias("value"))
+    release(spark)
+    lines = rows.select(_sorted_json(rows.drop("ord")).alias("value"))
 
     def manifest(folder: str) -> dict:
         return (note or {}) | {"kind": "source_bank", "schema_version": SOURCE_ROW} | digest_of(spark.read.option("lineSep", "\n").text(folder))
 
-    return publish_whole(spark, path, lambda folder: lines.write.option("lineSep", "\n").mode("errorifexists").text(folder), manifest)
+    return publish_whole(spark, path, lambda folder: lines.write.option("lineSep", "\n").option("compression", compression).mode("errorifexists").text(folder), manifest)
 
 
 def load_source_bank(spark: SparkSession, path: str, expected: DataFrame, id_form: str = jsonl.TRAIN_ID) -> DataFrame:
@@ -202,6 +216,6 @@ def load_source_bank(spark: SparkSession, path: str, expected: DataFrame, id_for
     manifest = json.loads(read_text(spark, f"{path}/{MANIFEST}"))
     if not is_intact(manifest) or digest_of(spark.read.option("lineSep", "\n").text(path)) != {k: manifest[k] for k in ("rows", "hash_a", "hash_b")}:
         raise ValueError(f"{path}: the manifest doesn't match the rows")
-    rows, issues = jsonl.load_rationales(spark, path, expected, id_form)
+    _, issues = jsonl.load_rationales(spark, path, expected, id_form)
     validation.require_valid(issues, "source bank")
-    return rows
+    return jsonl.sound_rationales(spark, path, expected)

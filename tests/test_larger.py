@@ -258,3 +258,61 @@ def test_redaction_goes_by_the_first_place_of_a_value(spark, tmp_path):
     report, secrets = spark.createDataFrame([(texts[0],), (texts[1],)], "note string"), spark.createDataFrame([("q", "the cat"), ("q", "the dog")], "kind string, value string")
     assert [tuple(r) for r in validation.redaction_issues(report, secrets).collect()] == [("q", "note", 2, 2)]
     assert [tuple(r) for r in validation.redaction_issues(report, secrets, first_place=True).collect()] == [("q", "note", 1, 1)]
+
+
+def test_packed_lines_end_with_their_lf(spark, tmp_path):
+    """The size of a compressed file tells nothing of its bytes: a whole one has no issue, one whose last LF is gone has."""
+    import gzip
+
+    from sievelight.sources import jsonl
+
+    for i, (text, bad) in enumerate((('{"a":{"b":1}}\n{"a":2}\n', 0), ('{"a":2}\n{"a":{"b":1}}', 1), ('{"a":2}\n{"a":1', 1), ('{"a":2}\nx\n', 0), ("x\n\n", 0), ("x", 1), ("}\n}\n", 0), ("", 0))):
+        (tmp_path / f"a{i}.jsonl.gz").write_bytes(gzip.compress(text.encode()))
+        (tmp_path / f"b{i}.jsonl").write_text(text)
+        assert [jsonl.unterminated(spark, f"{tmp_path}/{x}").count() for x in (f"a{i}.jsonl.gz", f"b{i}.jsonl")] == [bad, bad], text
+    assert sorted(r.path.rsplit("/", 1)[1] for r in jsonl.unterminated(spark, str(tmp_path)).collect()) == ["a1.jsonl.gz", "a2.jsonl.gz", "a5.jsonl.gz", "b1.jsonl", "b2.jsonl", "b5.jsonl"]
+
+
+def test_packed_bank_is_the_plain_one(spark, tmp_path):
+    import gzip
+
+    from sievelight.sources import sinks
+
+    plan = spark.range(500).select((500 - F.col("id")).alias("ord"), F.format_string("train-%06d", "id").alias("problem_id"), F.sha2(F.col("id").cast("string"), 256).alias("question_sha256"))
+    accepted = plan.select("problem_id", F.concat(F.lit("ü\n"), "problem_id").alias("target_text"), *(F.lit(c).alias(c) for c in ("provider", "model_id", "model_revision", "prompt_sha256", "execution_sha256", "agent_message_sha256")), F.lit(5).alias("seed"))
+    a, b = (sinks.write_source_bank(plan, accepted, str(tmp_path / c), compression=c) for c in ("none", "gzip"))
+    assert a == b
+    plain, packed = (sorted((tmp_path / c).glob("part-*")) for c in ("none", "gzip"))
+    assert "".join(p.read_text() for p in plain) == "".join(gzip.decompress(p.read_bytes()).decode() for p in packed)
+    assert sum(p.stat().st_size for p in packed) * 4 < sum(p.stat().st_size for p in plain)
+    rows = sinks.load_source_bank(spark, str(tmp_path / "gzip"), plan).collect()
+    assert [(r.problem_id, r.teacher.sample_index) for r in rows] == [(f"train-{499 - i:06d}", i) for i in range(500)]
+
+
+def test_numbers_and_issues_come_from_one_pass(spark, tmp_path):
+    """Settled rows have their places and aren't moved again; all issues of lines come from one strict reading."""
+    from sievelight.operators import ledger
+    from sievelight.sources import jsonl
+
+    rows = ledger.in_order(spark.range(1_000).select((F.col("id") * 7 % 1_001).alias("k")).repartition(7), "k")
+    assert [tuple(r) for r in rows.orderBy("rn").collect()] == [(k, i + 1) for i, k in enumerate(sorted(i * 7 % 1_001 for i in range(1_000)))]
+    assert "row_number" not in rows._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "a.jsonl").write_text("{}\n")
+    _, issues = jsonl.load_rationales(spark, str(tmp_path / "a.jsonl"), spark.createDataFrame([(1, "train-000001")], "ord long, problem_id string"))
+    assert "strict_json" not in issues._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id or "", r.code) for r in issues.collect()) == [("", "key_set"), ("train-000001", "missing")]
+
+
+def test_digests_move_as_bytes_and_come_back(spark, tmp_path):
+    """Any text comes back as it was; the bank is written where its rows were settled, without an exchange."""
+    from sievelight.functions import text as T
+    from sievelight.sources import sinks
+
+    rows = spark.createDataFrame([(x,) for x in ("00ff", "0a1B", "abc", "", "é", "ab\n", "cafe" * 16, None)], "c string")
+    packed = rows.select("c", T.packed_hex(F.col("c")).alias("p"))
+    assert packed.where(~T.unpacked_hex(F.col("p")).eqNullSafe(F.col("c"))).count() == 0 and packed.where("p.bytes IS NOT NULL").count() == 2
+    plan = spark.range(50).select("id", F.col("id").alias("ord"), F.col("id").cast("string").alias("problem_id"), F.sha2(F.col("id").cast("string"), 256).alias("question_sha256"))
+    accepted = plan.select("problem_id", *(F.lit(c).alias(c) for c in ("target_text", "provider", "model_id", "model_revision", "prompt_sha256", "execution_sha256", "agent_message_sha256")), F.col("id").alias("seed"))
+    bank = sinks.source_bank(plan, accepted)
+    said = bank._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" not in said and "SortMergeJoin" not in said and bank.where("question_sha256 = sha2(problem_id, 256) AND teacher.sample_index = ord").count() == 50
