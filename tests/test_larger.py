@@ -316,3 +316,19 @@ def test_digests_move_as_bytes_and_come_back(spark, tmp_path):
     bank = sinks.source_bank(plan, accepted)
     said = bank._jdf.queryExecution().executedPlan().toString()
     assert "Exchange rangepartitioning" not in said and "SortMergeJoin" not in said and bank.where("question_sha256 = sha2(problem_id, 256) AND teacher.sample_index = ord").count() == 50
+
+
+@pytest.mark.parametrize("carried, block", ((100, 500), (8, 20)))
+def test_redaction_of_long_cells(spark, monkeypatch, carried, block):
+    """A place carries little of its cell; values of every length are found in every part of it, across all borders."""
+    from sievelight.operators import validation
+
+    monkeypatch.setattr(validation, "CARRIED", carried)
+    monkeypatch.setattr(validation, "CELL_BLOCK", block)
+    cell = " ".join(f"w{i * 7919 % 100_003}" for i in range(2_500))
+    values = [cell[a:b] for a in (0, 489, 990, 7_300, len(cell) - 700) for n in (6, 7, 99, 100, 101, 600, 1_700) if (b := a + n) <= len(cell)] + [cell, cell[-6:], cell[:150] + "x", cell[1:] + "y"]
+    word = lambda x, y: x.isalnum() and y.isalnum()
+    want = {v for v in values if any(cell.startswith(v, p) and not (p and word(v[0], cell[p - 1])) and not (p + len(v) < len(cell) and word(v[-1], cell[p + len(v)])) for p in range(len(cell)))}
+    secrets = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "kind string, value string")
+    found = validation.redaction_issues(spark.createDataFrame([(cell,)], "note string"), secrets)
+    assert {values[int(r.kind)] for r in found.collect()} == want and 2 < len(want) < len(values)
