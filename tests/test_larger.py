@@ -318,7 +318,7 @@ def test_digests_move_as_bytes_and_come_back(spark, tmp_path):
     assert "Exchange rangepartitioning" not in said and "SortMergeJoin" not in said and bank.where("question_sha256 = sha2(problem_id, 256) AND teacher.sample_index = ord").count() == 50
 
 
-@pytest.mark.parametrize("carried, block", ((100, 500), (8, 20)))
+@pytest.mark.parametrize("carried, block", ((32, 500), (20, 30)))
 def test_redaction_of_long_cells(spark, monkeypatch, carried, block):
     """A place carries little of its cell; values of every length are found in every part of it, across all borders."""
     from sievelight.operators import validation
